@@ -39,7 +39,7 @@ LETTERS = 8
 MARGIN = 0.04
 
 _TAG = re.compile(r"<[^<>]{0,2000}>")
-_END = re.compile(r"(?<=[.!?…؟])[\"'”»“«)\]]*\s+|[\r\n]+|(?<=[.!?…؟])[\"”»“«]+|\s*[“«”»]\s*|(?<=\s)\"|\"(?=\s|$)")
+_END = re.compile(r"(?<=[.!?…؟])[\"'”»“«)\]]*\s+|\n\s*\n|(?<=[.!?…؟])[\"”»“«]+|\s*[“«”»]\s*|(?<=\s)\"|\"(?=\s|$)")
 _NAME = re.compile(r"\b[A-Z][a-z]+(?=[ \t]+(?:[A-Z]{1,3}-)?\d)")
 _CODE = re.compile(r"[^\W\d_]{1,4}-\d+|\S*\d\S*")
 _SPACE = re.compile(r"[\W\d_]+")
@@ -69,7 +69,7 @@ def evidence(sentence: str) -> str:
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
-    """(start, end) of the sentences of a text, in order; tags and line ends also part sentences."""
+    """(start, end) of the sentences of a text, in order; tags, empty lines and quotation marks also part sentences."""
     if not text:
         return []
     out, at = [], 0
@@ -120,7 +120,7 @@ class Model:
     def segments(self, text: str | None) -> list[tuple[int, int, str, float]]:
         """(start, end, language, confidence): neighbouring sentences of one language are one segment.
 
-        Sentences with fewer than LETTERS letters go with the text's; a text without words is one segment `und`.
+        Sentences with fewer than LETTERS letters go with the one before; a text without words is one segment `und`.
         """
         spans = sentences(text)
         judged = []
@@ -140,12 +140,14 @@ class Model:
         main = max(sorted(weights), key=weights.get)
         k = self.languages.index(main)
         out: list[list] = []
+        before = next(j[0] for _, _, _, j in judged if j)
         for start, end, words, j in judged:
-            language, confidence = main, 0.0
+            language, confidence = before, 0.0
             if j:
                 language, confidence, distances = j
                 if language != main and (distances[k] - min(distances)) / max(distances[k], 1e-9) < MARGIN:
                     language, confidence = main, 0.0
+                before = language
             if out and out[-1][2] == language:
                 out[-1][1] = end
                 out[-1][3].append((confidence, max(len(words), 1)))
