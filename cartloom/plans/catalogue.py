@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
+
 from cartloom.plans import problems
 
-_MODULES = (problems,)
-QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
-SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
+QUERIES, SQL = dict(problems.QUERIES), dict(problems.SQL)
+for _name in ("windows",):
+    _module = importlib.import_module(f"cartloom.plans.{_name}")
+    QUERIES |= _module.R.queries
+    SQL |= _module.R.sql
