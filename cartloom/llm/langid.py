@@ -83,11 +83,18 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def grams(words: str) -> Counter:
-    return Counter(words[i : i + n] for n in LENGTHS for i in range(len(words) - n + 1) if not (n == 1 and words[i] == " "))
-
-
-def profile(counts: Counter) -> list[str]:
+def grams(word: str) -> list[str]:
+    """The n-grams of a word with a blank before and after it."""
+    padded = f" {word} "
+    return [padded[i : i + n] for n in LENGTHS for i in range(len(padded) - n + 1) if not (n == 1 and padded[i] == " ")]
+
+
+def profile(words: Counter) -> list[str]:
+    """The most frequent n-grams of counted words, in order."""
+    counts: Counter = Counter()
+    for word, n in words.items():
+        for g in grams(word):
+            counts[g] += n
     return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:PROFILE]]
 
 
@@ -98,21 +105,36 @@ class Model:
         self.languages = sorted(profiles)
         names = sorted({g for p in profiles.values() for g in p})
         self.index = {g: i for i, g in enumerate(names)}
-        self.ranks = np.full((len(names) + 1, len(self.languages)), PROFILE, dtype=np.float32)
+        self.ranks = np.full((len(names), len(self.languages)), PROFILE, dtype=np.float32)
         for k, language in enumerate(self.languages):
             for rank, g in enumerate(profiles[language]):
                 self.ranks[self.index[g], k] = rank
+        self.known: dict[str, tuple[np.ndarray, int]] = {}
         self.judge = lru_cache(maxsize=50_000)(self._judge)
 
+    def _word(self, word: str) -> tuple[np.ndarray, int]:
+        """(indexes of the word's n-grams that are in a profile, number of its others)."""
+        found = self.known.get(word)
+        if found is None:
+            all_grams = grams(word)
+            at = [self.index[g] for g in all_grams if g in self.index]
+            if len(self.known) > 200_000:
+                self.known.clear()
+            found = self.known[word] = (np.array(at, dtype=np.int32), len(all_grams) - len(at))
+        return found
+
     def _judge(self, words: str) -> tuple[str, float, tuple[float, ...]]:
-        """(language, confidence, distances): confidence is how much farther the second profile is than the first, in parts."""
-        counts = grams(words)
-        order = sorted(counts.items(), key=lambda x: -x[1])
-        at = np.fromiter((self.index.get(g, -1) for g, _ in order), dtype=np.int64, count=len(order))
-        n = np.fromiter((c for _, c in order), dtype=np.int64, count=len(order))
+        """(language, confidence, distances): confidence is how much farther the second profile is than the first, in parts.
+
+        N-grams in no profile are as far from all of them.
+        """
+        parts = [self._word(w) for w in words.split()]
+        at, n = np.unique(np.concatenate([p[0] for p in parts]), return_counts=True)
+        others = sum(p[1] for p in parts)
         # tied n-grams share the rank in the middle of their tie
-        place = (np.searchsorted(-n, -n, side="left") + np.searchsorted(-n, -n, side="right") - 1) / 2
-        distance = np.abs(self.ranks[at] - place[:, None]).mean(axis=0)
+        order = np.sort(-n)
+        place = (np.searchsorted(order, -n, side="left") + np.searchsorted(order, -n, side="right") - 1) / 2
+        distance = (np.abs(self.ranks[at] - place[:, None]).sum(axis=0) + others * float(PROFILE)) / max(len(at) + others, 1)
         best = np.argsort(distance, kind="stable")
         margin = float(distance[best[1]] - distance[best[0]]) / float(max(distance[best[1]], 1e-9)) if len(best) > 1 else 1.0
         return self.languages[best[0]], margin, tuple(distance.tolist())
@@ -167,7 +189,7 @@ def train(labelled: list[tuple[str, str]]) -> Model:
         counts: dict[str, Counter] = {}
         for lang, words in kept:
             if model is None or model.judge(words)[0] == lang:
-                counts.setdefault(lang, Counter()).update(grams(words))
+                counts.setdefault(lang, Counter()).update(words.split())
         model = Model({lang: profile(c) for lang, c in counts.items()})
     return model
 
@@ -187,7 +209,7 @@ def language_segments(docs: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or train(training_sample(docs))
     profiles = {x: [] for x in model.languages}
     for k, language in enumerate(model.languages):
-        at = np.flatnonzero(model.ranks[:-1, k] < PROFILE)
+        at = np.flatnonzero(model.ranks[:, k] < PROFILE)
         names = list(model.index)
         profiles[language] = [names[i] for i in at[np.argsort(model.ranks[at, k])]]
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # PROFILE n-grams per language
