@@ -29,7 +29,7 @@ def days_between(a: Column | str, b: Column | str) -> Column:
 
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return F.asin(F.sqrt(F.least(a, F.lit(1.0)))) * (2 * EARTH_KM)
+    return F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a))) * (2 * EARTH_KM)
 
 
 def hash_millionth(text: Column) -> Column:
