@@ -244,7 +244,7 @@ def centroids(spark, d):
 
 
 @R.query(f"""WITH {ORDERS}, {ITEMS}, {_CENTRE}, f AS (SELECT order_id, arg_min(seller_id, order_item_id) AS seller_id, min(deadline) AS deadline FROM i WHERE seller_id IS NOT NULL GROUP BY 1), c AS (SELECT customer_id, any_value(lpad(nullif(trim(customer_zip_code_prefix), ''), 5, '0')) AS zip, any_value(customer_state) AS customer_state FROM olist_customers_dataset GROUP BY 1), s AS (SELECT seller_id, any_value(lpad(nullif(trim(seller_zip_code_prefix), ''), 5, '0')) AS zip, any_value(seller_state) AS seller_state FROM olist_sellers_dataset GROUP BY 1)
-  SELECT o.order_id, f.seller_id, concat_ws('->', seller_state, customer_state) AS lane, round(2 * 6371.0::DOUBLE * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))), 4) AS km, round((epoch_us(deadline) - epoch_us(shipped)) / 86400000000.0::DOUBLE, 6) AS slack_days FROM o JOIN f USING (order_id) LEFT JOIN c USING (customer_id) LEFT JOIN s ON s.seller_id = f.seller_id LEFT JOIN z a ON a.zip = s.zip LEFT JOIN z b ON b.zip = c.zip""")
+  SELECT o.order_id, f.seller_id, concat_ws('->', seller_state, customer_state) AS lane, round(2 * 6371.0::DOUBLE * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))), 4) AS km, round((epoch_us(deadline) - epoch_us(shipped)) / 86400000000.0::DOUBLE, 9) AS slack_days FROM o JOIN f USING (order_id) LEFT JOIN c USING (customer_id) LEFT JOIN s ON s.seller_id = f.seller_id LEFT JOIN z a ON a.zip = s.zip LEFT JOIN z b ON b.zip = c.zip""")
 def fq03_06_08_canonical(spark, d):
     """One row per order: first seller, lane, distance between the zip centroids, days left at the handoff."""
     f = items(spark, d).where("seller_id is not null").groupBy("order_id").agg(F.min_by("seller_id", "order_item_id").alias("seller_id"), F.min("deadline").alias("deadline"))
@@ -254,7 +254,7 @@ def fq03_06_08_canonical(spark, d):
     at = lambda side: z.select(F.col("zip").alias(f"zip_{side}"), F.col("lat").alias(f"lat_{side}"), F.col("lng").alias(f"lng_{side}"))
     rows = orders(spark, d).select("order_id", "customer_id", "shipped").join(f, "order_id").join(c, "customer_id", "left").join(s, "seller_id", "left").join(at("a"), "zip_a", "left").join(at("b"), "zip_b", "left")
     km = S.haversine_km(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b"))
-    return rows.select("order_id", "seller_id", F.concat_ws("->", "seller_state", "customer_state").alias("lane"), F.round(km, 4).alias("km"), F.round(S.days_between("shipped", "deadline"), 6).alias("slack_days"))
+    return rows.select("order_id", "seller_id", F.concat_ws("->", "seller_state", "customer_state").alias("lane"), F.round(km, 4).alias("km"), F.round(S.days_between("shipped", "deadline"), 9).alias("slack_days"))
 
 
 _BREACH = "c AS (SELECT order_id, min(seller_id) AS seller, min(deadline) AS deadline, sum(price) AS price, sum(freight) AS freight FROM i GROUP BY 1 HAVING count(DISTINCT seller_id) = 1 AND count(seller_id) = count(*) AND count(DISTINCT deadline) = 1), k AS (SELECT order_id AS id, seller, bought AS ts, CAST(shipped > deadline AS INT) AS y, price, freight, delivered FROM o JOIN c USING (order_id) WHERE bought IS NOT NULL AND shipped IS NOT NULL)"
