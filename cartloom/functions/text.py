@@ -143,5 +143,5 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def char_ngrams(col: Column, n: int) -> Column:
-    at = F.sequence(F.lit(1), F.length(col) - (n - 1))
-    return F.when(F.length(col) >= n, F.transform(at, lambda i: F.substring(col, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """Runs of n characters, in one pass over the text (a substring by position would scan from its start each time)."""
+    return F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))

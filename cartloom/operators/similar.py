@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartloom.functions.text import char_ngrams, dedup_text
-from cartloom.session import cut
+from cartloom.session import cut, shuffle_width
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.85, head: int = 2) -> DataFrame:
@@ -19,17 +19,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.85, head:
     """
     texts = docs.select("doc_id", dedup_text("text").alias("t")).where("t is not null and t <> ''")
     classes = cut(texts.groupBy("t").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")))
-    sets = classes.select("class_id", "copies", F.array_join(F.slice(F.split("t", " "), 1, head), " ").alias("bucket"), F.array_distinct(F.when(F.length("t") >= n, char_ngrams(F.col("t"), n)).otherwise(F.array("t"))).alias("g"))
-    sets = cut(sets.withColumn("k", F.size("g")))
-    tokens = sets.select("class_id", "bucket", "k", F.explode("g").alias("gram"))
-    shared = tokens.groupBy("bucket", "gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    sets = classes.repartition(shuffle_width(docs.sparkSession), "class_id").select("class_id", "copies", F.array_join(F.slice(F.split("t", " "), 1, head), " ").alias("bucket"), F.array_distinct(F.transform(F.when(F.length("t") >= n, char_ngrams(F.col("t"), n)).otherwise(F.array("t")), lambda x: F.xxhash64(x))).alias("g"))
+    sets = cut(sets).withColumn("k", F.size("g"))  # n-grams as 64-bit hashes
+    tokens = sets.select("class_id", "k", F.explode("g").alias("gram"), "bucket").select("class_id", "k", F.xxhash64("bucket", "gram").alias("gram"))
+    shared = tokens.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     per = Window.partitionBy("class_id")
     need = F.ceil(F.col("k") * threshold - 1e-9)
-    near = tokens.join(shared, ["bucket", "gram"]).withColumn("c", F.count(F.lit(1)).over(per)).where(F.col("c") >= need)
+    near = tokens.join(shared, "gram").withColumn("c", F.count(F.lit(1)).over(per)).where(F.col("c") >= need)
     near = near.withColumn("place", F.row_number().over(per.orderBy("df", "gram"))).where(F.col("place") <= F.col("c") - need + 1)
-    a = near.select("bucket", "gram", F.col("class_id").alias("a"), F.col("k").alias("ka"))
-    b = near.select("bucket", "gram", F.col("class_id").alias("b"), F.col("k").alias("kb"))
-    pairs = a.join(b, ["bucket", "gram"]).where((F.col("a") < F.col("b")) & (F.least("ka", "kb") >= F.greatest("ka", "kb") * threshold - 1e-9)).select("a", "b").distinct()
+    a = near.select("gram", F.col("class_id").alias("a"), F.col("k").alias("ka"))
+    b = near.select("gram", F.col("class_id").alias("b"), F.col("k").alias("kb"))
+    pairs = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.least("ka", "kb") >= F.greatest("ka", "kb") * threshold - 1e-9)).select("a", "b").distinct()
     left = sets.select(F.col("class_id").alias("a"), F.col("g").alias("ga"), F.col("copies").alias("na"))
     right = sets.select(F.col("class_id").alias("b"), F.col("g").alias("gb"), F.col("copies").alias("nb"))
     same = F.size(F.array_intersect("ga", "gb"))

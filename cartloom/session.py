@@ -53,5 +53,14 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan with work for all cores: a table of few files is dealt out, one of many splits is left as it is.
+
+    Only for scans (their number of partitions is known without running anything) before costly work per row.
+    """
+    width = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= width else scan.repartition(width)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
