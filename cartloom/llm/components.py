@@ -6,7 +6,7 @@ n^2. All rounds keep their edges in the shared folder; nothing is gathered on th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cartloom.session import cut, discard
@@ -19,24 +19,30 @@ def tie_edges(keys: DataFrame) -> DataFrame:
     return keys.join(first, "key").where("node > dst").select(F.col("node").alias("src"), "dst").distinct()
 
 
+def _kept(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """edges in the shared folder, with their number and a hash of them, taken while they are written."""
+    seen = Observation()
+    out = cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(src, dst))").alias("h")))
+    return out, dict(seen.get)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): for every node with an edge, the smallest node it is connected to.
 
     edges: (src, dst), src > dst. Nodes without an edge do not appear: they are their own component.
     """
-    now = cut(edges)
+    now, before = _kept(edges)
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
         large = cut(both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct())
         low = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(low, "src").where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        then = cut(small.unionByName(low.select("src", F.col("m").alias("dst"))).distinct())
-        a, b = (x.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(src, dst))")).first() for x in (now, then))
+        then, after = _kept(small.unionByName(low.select("src", F.col("m").alias("dst"))).distinct())
         discard(now)
         discard(large)
-        now = then
-        if a == b:
+        now, same, before = then, after == before, after
+        if same:
             return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 

@@ -56,8 +56,11 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def sized(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
-    """(doc_id, tokens, curve): the number of tokens and the Hilbert key; a text without tokens has 0 and the middle's key."""
+def sized(docs: DataFrame, folder: str = TOKENIZERS, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, tokens, curve) and the columns of `carry`: the number of tokens and the Hilbert key; a text without tokens has 0
+    and the middle's key.
+    """
+    carry = carry or []
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -70,9 +73,10 @@ def sized(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
                     if len(ids):
                         middles[i] = DIRECTIONS[(ids * 2654435761 >> 7) & 0xFFF].mean(axis=0)
                 grid = np.clip((np.tanh(2 * middles) + 1) * (1 << (BITS - 1)), 0, (1 << BITS) - 1).astype(np.int64)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "tokens": sizes, "curve": hilbert(grid)})
+                yield part[["doc_id", *carry]].assign(tokens=sizes, curve=hilbert(grid))
 
-    return docs.select("doc_id", "text").mapInPandas(measure, "doc_id bigint, tokens bigint, curve bigint")
+    extra = "".join(f"{c} {t}, " for c, t in docs.select(*carry).dtypes)
+    return docs.select("doc_id", *carry, "text").mapInPandas(measure, f"doc_id bigint, {extra}tokens bigint, curve bigint")
 
 
 class _Containers:

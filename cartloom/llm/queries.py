@@ -10,7 +10,7 @@ from cartloom.llm import langid, mixing, overlap, packing
 from cartloom.llm.components import with_component
 from cartloom.llm.pairs import together
 from cartloom.llm.splits import SHARES, SPLITS, split_groups
-from cartloom.session import cut
+from cartloom.session import cut, spread
 from cartloom.sources.tables import table
 
 TRAIN, HELD = "train", ("validation", "protected_test")
@@ -87,7 +87,7 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
 def split_documents(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, text, source, train, held: documents with a split, by normalized split name."""
     sides = assignments(spark, d).groupBy(F.col("row_index").alias("doc_id")).agg(F.max(F.col("split") == TRAIN).alias("train"), F.max(F.col("split").isin(*HELD)).alias("held"), F.max(F.when(F.col("split").isin(*HELD), F.col("split"))).alias("held_split")).where("train or held")
-    return table(spark, d, "documents").select("doc_id", "text", "source").join(sides, "doc_id")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "source")).join(sides, "doc_id")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +113,7 @@ def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
-    return packing.packed_documents(table(spark, d, "documents"))
+    return packing.packed_documents(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -122,8 +122,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def _drawn(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    sizes = packing.sized(docs).select("doc_id", "tokens")
-    items = cut(sizes.join(docs.select("doc_id", "source"), "doc_id"))
+    items = cut(packing.sized(spread(docs.select("doc_id", "source", "text")), carry=["source"]))
     return mixing.draw(items, table(spark, d, "mix_targets"))
 
 
@@ -136,18 +135,18 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "lang"))
     return langid.mislabelled(docs, langid.language_segments(docs))
 
 
 def p10_documents(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, lang, confidence, share, n_langs: a row per language a document holds."""
-    return langid.document_languages(langid.language_segments(table(spark, d, "documents")))
+    return langid.document_languages(langid.language_segments(spread(table(spark, d, "documents").select("doc_id", "text", "lang"))))
 
 
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     """Every segment of every document with its language and confidence."""
-    return langid.language_segments(table(spark, d, "documents"))
+    return langid.language_segments(spread(table(spark, d, "documents").select("doc_id", "text", "lang")))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_assign, p1_balance, p5_found, p5_pairs, p7_found, p7_report, p7_coverage, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_documents, p10_segments)}
