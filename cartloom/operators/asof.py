@@ -89,4 +89,4 @@ def as_known(events: DataFrame, entity: str, at: str, changes: DataFrame, attrib
     wide = changes.select("_entity", F.col("number").alias("version_number"), F.struct(*attributes).alias("_attributes"))
     found = numbered.join(wide, ["_entity", "version_number"], "left").drop("_entity")
     found = found.unionByName(without.select("_row", F.lit(0).alias("version_number")), allowMissingColumns=True)
-    return found.select(*[F.col(f"_row.{c}").alias(c) for c in kept], *[F.col(f"_attributes.{a}").alias(a) for a in attributes], "version_number")
+    return found.select(*[F.col("_row")[c].alias(c) for c in kept], *[F.col(f"_attributes.{a}").alias(a) for a in attributes], "version_number")

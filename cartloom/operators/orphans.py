@@ -51,13 +51,14 @@ def orphan_references(children: DataFrame, parents: DataFrame, ref: Column, seen
 
     ref/parent_key: cleaned key columns (null: refers to nothing, never an orphan). seen: when the child row was
     delivered; null gives only `missing`. late: the parent's first delivery is after `seen`; deleted: it was
-    withdrawn at or before `seen`. Repeated child rows are judged one by one. With no parents all are missing.
+    withdrawn at or before `seen`. Repeated child rows are judged one by one; a column `reason` of
+    the children is replaced. With no parents all are missing.
     """
     gone = parent_deleted if parent_deleted is not None else F.lit(None).cast("timestamp")
     runs = parent_runs(parents, parent_key, parent_loaded, gone)
     block, position = block_of(ref)
-    kept = children.columns
-    rows = children.withColumns({"_seen": seen, "_block": block, "_pos": position}).where(F.col("_block").isNotNull())
+    kept = [c for c in children.columns if c != "reason"]
+    rows = children.select(F.struct(*kept).alias("_row"), seen.alias("_seen"), block.alias("_block"), position.alias("_pos")).where(F.col("_block").isNotNull())
     joined = rows.join(runs.withColumnRenamed("block", "_block"), "_block", "left")
     preceding = F.element_at(F.filter("runs", lambda r: r["start"] <= F.col("_pos")), -1)
     joined = joined.withColumn("_run", F.when(F.col("runs").isNotNull() & (F.element_at("runs", 1)["start"] <= F.col("_pos")), preceding))
@@ -68,4 +69,4 @@ def orphan_references(children: DataFrame, parents: DataFrame, ref: Column, seen
         .when(F.col("_mark.first") > F.col("_seen"), "late")
         .when(F.col("_mark.gone") <= F.col("_seen"), "deleted")
     )
-    return joined.withColumn("_mark", mark).withColumn("reason", reason).where("reason is not null").select(*kept, "reason")
+    return joined.withColumn("_mark", mark).withColumn("_reason", reason).where("_reason is not null").select(*[F.col("_row")[c].alias(c) for c in kept], F.col("_reason").alias("reason"))
