@@ -48,7 +48,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def with_component(records: DataFrame, node: str, keys: list[str]) -> DataFrame:
-    """records plus `component`. keys: columns whose equal values tie records; null ties nothing."""
+    """records plus `component` (replaced if there). keys: columns whose equal values tie records; null ties nothing.
+
+    A record whose node is null is tied to nothing and has a null component. Rows that repeat a node are tied by it.
+    """
+    records = records.drop("component")
     pairs = records.select(F.col(node).alias("node"), F.explode(F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{i}:"), F.col(k).cast("string"))) for i, k in enumerate(keys)])).alias("key"))
     found = components(tie_edges(pairs))
     return records.join(found.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", F.col(node)))

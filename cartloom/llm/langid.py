@@ -39,9 +39,9 @@ LETTERS = 8
 MARGIN = 0.04
 
 _TAG = re.compile(r"<[^<>]{0,2000}>")
-_END = re.compile(r"(?<=[.!?…؟])[\"'”»“«)\]]*\s+|\n\s*\n|(?<=[.!?…؟])[\"”»“«]+|\s*[“«”»]\s*|(?<=\s)\"|\"(?=\s|$)")
+_END = re.compile(r"(?<=[.!?…؟])[\"'”»“«)\]]*\s+|\n\s*\n|(?<=[.!?…؟])[\"”»“«]+|[“«”»]|(?<=\s)\"|\"(?=\s|$)")
 _NAME = re.compile(r"\b[A-Z][a-z]+(?=[ \t]+(?:[A-Z]{1,3}-)?\d)")
-_CODE = re.compile(r"[^\W\d_]{1,4}-\d+|\S*\d\S*")
+_DIGIT = re.compile(r"\d")
 _SPACE = re.compile(r"[\W\d_]+")
 
 
@@ -64,7 +64,8 @@ def fold(text: str) -> str:
 
 def evidence(sentence: str) -> str:
     """What of a sentence speaks for a language: its words, folded, one blank between and around; "" without any."""
-    kept = _SPACE.sub(" ", fold(_CODE.sub(" ", _NAME.sub(" ", sentence)))).strip()
+    words = " ".join(w for w in _NAME.sub(" ", sentence).split() if not _DIGIT.search(w))
+    kept = _SPACE.sub(" ", fold(words)).strip()
     return f" {kept} " if kept else ""
 
 
@@ -83,10 +84,10 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def grams(word: str) -> list[str]:
+def grams(word: str) -> Iterator[str]:
     """The n-grams of a word with a blank before and after it."""
     padded = f" {word} "
-    return [padded[i : i + n] for n in LENGTHS for i in range(len(padded) - n + 1) if not (n == 1 and padded[i] == " ")]
+    return (padded[i : i + n] for n in LENGTHS for i in range(len(padded) - n + 1) if not (n == 1 and padded[i] == " "))
 
 
 def profile(words: Counter) -> list[str]:
@@ -116,11 +117,13 @@ class Model:
         """(indexes of the word's n-grams that are in a profile, number of its others)."""
         found = self.known.get(word)
         if found is None:
-            all_grams = grams(word)
-            at = [self.index[g] for g in all_grams if g in self.index]
+            all_at = np.fromiter((self.index.get(g, -1) for g in grams(word)), dtype=np.int32)
+            at = all_at[all_at >= 0]
+            found = (at, len(all_at) - len(at))
             if len(self.known) > 200_000:
                 self.known.clear()
-            found = self.known[word] = (np.array(at, dtype=np.int32), len(all_grams) - len(at))
+            if len(word) <= 64:
+                self.known[word] = found
         return found
 
     def _judge(self, words: str) -> tuple[str, float, tuple[float, ...]]:
@@ -142,8 +145,11 @@ class Model:
     def segments(self, text: str | None) -> list[tuple[int, int, str, float]]:
         """(start, end, language, confidence): neighbouring sentences of one language are one segment.
 
+        A model without profiles can tell no language: all is `und` with confidence 0.
         Sentences with fewer than LETTERS letters go with the one before; a text without words is one segment `und`.
         """
+        if not self.languages:
+            return [(0, len(text or ""), UNKNOWN, 0.0)]
         spans = sentences(text)
         judged = []
         for start, end in spans:
@@ -179,11 +185,9 @@ class Model:
 
 
 def train(labelled: list[tuple[str, str]]) -> Model:
-    """labelled: (language, text). Raises ValueError if there is no text of any language."""
+    """labelled: (language, text). Without any text the model has no profiles."""
     kept = [(lang, evidence(text[s:e])) for lang, text in labelled for s, e in sentences(text)]
     kept = [(lang, words) for lang, words in kept if len(words) - 2 >= LETTERS]
-    if not kept:
-        raise ValueError("no labelled text to train profiles on")
     model = None
     for _ in range(2):
         counts: dict[str, Counter] = {}
@@ -204,7 +208,8 @@ def training_sample(docs: DataFrame, per_language: int = SAMPLE) -> list[tuple[s
 def language_segments(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, segment, start, end, lang, confidence, n_langs): docs has doc_id, text, lang.
 
-    start and end are character positions. Null and empty texts and texts without words have one segment `und`.
+    start and end are character positions. Null and empty texts and texts without words have one segment `und`; without a labelled
+    document to learn from all have.
     """
     model = model or train(training_sample(docs))
     profiles = {x: [] for x in model.languages}

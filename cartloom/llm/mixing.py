@@ -66,7 +66,7 @@ def draw(items: DataFrame, targets: DataFrame, total: int | None = None, seed: i
     spark = items.sparkSession
     names = spark.createDataFrame([(r["source"],) for r in rows], "source string")
     number = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    pool = items.where("tokens > 0").join(F.broadcast(names), "source").withColumn("_u", number)
+    pool = items.select("doc_id", "source", "tokens").where("tokens > 0").join(F.broadcast(names), "source").withColumn("_u", number)
     bins = pool.groupBy("source", F.floor(F.col("_u") * BINS).cast("int").alias("bin")).agg(F.sum("tokens").alias("t")).collect()  # BINS rows per source
     mass: dict[str, np.ndarray] = {}
     for source, b, t in bins:
