@@ -69,10 +69,10 @@ def split_groups(records: DataFrame, label: str | None, labels: list, shares: tu
 
     label/labels: a column and the values whose shares should be alike in all splits (rows with other values, null
     included, count for the size only). Components are atoms: one larger than a split's target makes that split larger.
-    No records give no rows.
+    Records without a component are left out. No records give no rows.
     """
     counts = [F.count_if(F.col(label) == F.lit(v)).alias(f"c{i}") for i, v in enumerate(labels)] if label else []
-    atoms = cut(records.groupBy("component").agg(F.count(F.lit(1)).alias("size"), *counts))
+    atoms = cut(records.where("component is not null").groupBy("component").agg(F.count(F.lit(1)).alias("size"), *counts))
     columns = ["size", *[f"c{i}" for i in range(len(counts))]]
     total = atoms.agg(F.count(F.lit(1)), *[F.sum(c) for c in columns]).first()
     number, sums = total[0], np.array([x or 0 for x in total[1:]], dtype=float)
@@ -83,7 +83,8 @@ def split_groups(records: DataFrame, label: str | None, labels: list, shares: tu
 
     def search(pdf: pd.DataFrame, target: np.ndarray) -> pd.DataFrame:
         pdf = pdf.sort_values("component", ignore_index=True)
-        u = pd.util.hash_array(pdf["component"].to_numpy() ^ seed).astype(np.uint64) / 2.0**64
+        mixed = pd.util.hash_pandas_object(pdf["component"], index=False).to_numpy() ^ np.uint64(seed)
+        u = pd.util.hash_array(mixed).astype(np.uint64) / 2.0**64
         start = np.searchsorted(np.cumsum(share)[:-1], u, side="right")
         weights = pdf[columns].to_numpy(dtype=float)
         order = anneal(weights, start.astype(int), target, seed)
