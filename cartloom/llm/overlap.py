@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartloom.session import cut, discard, shuffle_width
+from cartloom.session import cut, shuffle_width
 
 SPAN = 3
 SHARE = 0.6
@@ -138,7 +138,7 @@ def suffix_array(reps: DataFrame, span: int, share: float) -> DataFrame:
     lcp: words in common with the suffix before (0 at the start of a partition); place: of the suffix's run in the order of
     the text's shared runs; c: their number.
     """
-    runs = cut(runs_of(reps, span))
+    runs = runs_of(reps, span)  # made twice from the words, which costs less than keeping them
     near = runs.join(shared_runs(runs), "run")
     per_text = Window.partitionBy("rep")
     order = per_text.orderBy("df", "run")
@@ -167,9 +167,7 @@ def suffix_array(reps: DataFrame, span: int, share: float) -> DataFrame:
             pdf["lcp"] = out
             yield pdf
 
-    out = cut(ordered.mapInPandas(lcps, "head bigint, rep bigint, train boolean, held boolean, n int, c bigint, place int, lcp int"))
-    discard(runs)
-    return out
+    return cut(ordered.mapInPandas(lcps, "head bigint, rep bigint, train boolean, held boolean, n int, c bigint, place int, lcp int"))
 
 
 def near_classes(reps: DataFrame, span: int = SPAN, share: float = SHARE) -> DataFrame:
