@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import struct
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,3 +57,13 @@ def softmax(logits: Column, temperature: float = 1.0) -> Column:
 def argmax(values: Column) -> Column:
     """0-based place of the first largest value."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+
+
+def vector_digest(values: list[float]) -> str:
+    """SHA-256 of a vector of predictions as little-endian doubles. For the driver: small vectors."""
+    return hashlib.sha256(struct.pack(f"<{len(values)}d", *values)).hexdigest()
+
+
+def json_digest(value: object) -> str:
+    """SHA-256 of a value as JSON with sorted keys and no blanks."""
+    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()

@@ -207,6 +207,11 @@ def test_hash_bucket_and_softmax(spark):
     assert sum(p.p) == pytest.approx(1) and p.a == 1
 
 
+def test_digests():
+    assert S.json_digest({"b": 1, "a": 2}) == S.json_digest({"a": 2, "b": 1}) != S.json_digest({"a": 1, "b": 2})
+    assert S.vector_digest([0.1, 0.2]) != S.vector_digest([0.2, 0.1])
+
+
 # --- metrics, baskets, splits
 
 
