@@ -1,15 +1,15 @@
 """Metrics as queries over (group, y, s) with y in 0/1 and a score, and over (truth, guess) labels.
 
-Rows are first reduced to one per group and distinct score, so ties are exact and windows run over reduced rows. A group's
-distinct scores are one window partition; `roc_auc_global` has the form without groups, for scores too many for one task.
+Rows are first reduced to one per group and distinct score, so ties are exact, and cumulated in a range-partitioned order, so
+no task has to hold a whole group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.operators.windows import running_totals
+from cartloom.operators.windows import running_totals, running_within
 
 
 def by_score(rows: DataFrame, group: list[str]) -> DataFrame:
@@ -19,9 +19,8 @@ def by_score(rows: DataFrame, group: list[str]) -> DataFrame:
 
 def ranked(rows: DataFrame, group: list[str]) -> DataFrame:
     """by_score with tp and fp: positives and negatives at this score or above; all_p, all_q: the group's totals."""
-    every = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    down = every.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    return by_score(rows, group).select(*group, "s", "p", "q", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(every).alias("all_p"), F.sum("q").over(every).alias("all_q"))
+    run = running_within(by_score(rows, group), group, [F.desc("s")], {"p": "p", "q": "q"})
+    return run.withColumnsRenamed({"cum_p": "tp", "cum_q": "fp"})
 
 
 def roc_auc(rows: DataFrame, group: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from cartloom.operators.asof import time_cuts
 from cartloom.session import cut, shuffle_width
 
 DAY_US = 86_400_000_000
@@ -55,19 +56,52 @@ def trailing_load(keys: list[str], us: str, tie: str, days: int) -> Column:
     return _trailing(F.lit(1), keys, us, tie, days * DAY_US) - 1
 
 
-def asof_totals(probes: DataFrame, facts: DataFrame, key: str, at: str, known: str, value: str) -> DataFrame:
+def running_by_time(df: DataFrame, ties: list[str], amounts: dict[str, str], pieces: int | None = None) -> DataFrame:
+    """df plus cum_<name> for each amount, summed per _entity in (_us, ties) order up to and with the row.
+
+    df has _entity (text) and _us. An entity above 1/pieces of all rows is cut at quantiles of its times; each piece is summed for
+    itself and the totals of the pieces before it are added, so no entity is one task's.
+    """
+    pieces = pieces or shuffle_width(df.sparkSession)
+    cuts = time_cuts(df.select("_entity", "_us"), pieces)
+    place = F.size(F.filter("_cuts", lambda c: c < F.col("_us")))
+    # `cuts` has at most `pieces` rows
+    cut_rows = df.join(F.broadcast(cuts), "_entity", "left").withColumn("_piece", F.when(F.col("_cuts").isNull(), 0).otherwise(place))
+    totals = cut_rows.where("_cuts is not null").groupBy("_entity", "_piece").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in amounts.items()])
+    earlier = Window.partitionBy("_entity").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_entity", "_piece", *[F.sum(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in amounts])
+    local = Window.partitionBy("_entity", "_piece").orderBy("_us", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut_rows.drop("_cuts").withColumns({f"_l_{n}": F.sum(c).over(local) for n, c in amounts.items()}).join(F.broadcast(offsets), ["_entity", "_piece"], "left")
+    return out.select(*df.columns, *[(F.coalesce(f"_l_{n}", F.lit(0)) + F.coalesce(f"_o_{n}", F.lit(0))).alias(f"cum_{n}") for n in amounts])
+
+
+def prior_totals(df: DataFrame, key: str, at: str, tie: str, value: str) -> DataFrame:
+    """df plus prior_n, prior_mean, prior_std (sample) of `value` over the rows of the key before each, in (at, tie) order; by running_by_time.
+
+    Null values are skipped by mean and std but are rows for prior_n. Rows without a key or time are left out.
+    """
+    v = F.col(value).cast("double")
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(key).cast("string").alias("_entity"), micros(at).alias("_us"), F.col(tie).alias("_tie"), F.lit(1).alias("_one"), v.isNotNull().cast("int").alias("_has"), F.coalesce(v, F.lit(0.0)).alias("_v"), F.coalesce(v * v, F.lit(0.0)).alias("_vv"))
+    run = running_by_time(rows.where("_entity is not null and _us is not null"), ["_tie"], {"one": "_one", "has": "_has", "v": "_v", "vv": "_vv"})
+    n, s, q = F.col("cum_has") - F.col("_has"), F.col("cum_v") - F.col("_v"), F.col("cum_vv") - F.col("_vv")
+    mean = F.try_divide(s, n)
+    spread = F.when(n > 1, F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))))
+    return run.select("_row.*", (F.col("cum_one") - 1).cast("int").alias("prior_n"), mean.alias("prior_mean"), spread.alias("prior_std"))
+
+
+def asof_totals(probes: DataFrame, facts: DataFrame, key: str, at: str, known: str, value: str, pieces: int | None = None) -> DataFrame:
     """probes plus prior_n and prior_sum over the facts of the key known strictly before the probe's time.
 
-    One shuffle: both sides go on one timeline; a fact at the probe's very time comes after it. Probes without a key or time
-    have no facts.
+    Both sides go on one timeline; a fact at the probe's very time comes after it. Probes without a key or time have no facts.
     """
     kept = probes.columns
-    p = probes.select(F.struct(*kept).alias("_row"), F.col(key).alias("_k"), micros(at).alias("_us"), F.lit(0).alias("_kind"))
-    f = facts.select(F.col(key).alias("_k"), micros(known).alias("_us"), F.lit(1).alias("_kind"), F.col(value).cast("double").alias("_v")).where("_k is not null and _us is not null")
-    line = Window.partitionBy("_k").orderBy("_us", "_kind").rowsBetween(Window.unboundedPreceding, -1)
-    both = p.unionByName(f, allowMissingColumns=True)
-    both = both.withColumn("prior_n", F.coalesce(F.sum("_kind").over(line), F.lit(0))).withColumn("prior_sum", F.coalesce(F.sum("_v").over(line), F.lit(0.0)))
-    return both.where("_kind = 0").select("_row.*", F.when(F.col("_k").isNull() | F.col("_us").isNull(), 0).otherwise(F.col("prior_n")).alias("prior_n"), F.when(F.col("_k").isNull() | F.col("_us").isNull(), 0.0).otherwise(F.col("prior_sum")).alias("prior_sum"))
+    p = probes.select(F.struct(*kept).alias("_row"), F.col(key).cast("string").alias("_entity"), micros(at).alias("_us"), F.lit(0).alias("_fact"), F.lit(0.0).alias("_v"))
+    whole = F.col("_entity").isNotNull() & F.col("_us").isNotNull()
+    f = facts.select(F.col(key).cast("string").alias("_entity"), micros(known).alias("_us"), F.lit(1).alias("_fact"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_v")).where(whole)
+    run = running_by_time(p.where(whole).unionByName(f, allowMissingColumns=True), ["_fact"], {"n": "_fact", "s": "_v"}, pieces)
+    found = run.where("_fact = 0").select("_row", F.col("cum_n").alias("prior_n"), F.col("cum_s").alias("prior_sum"))
+    none = p.where(~whole).select("_row", F.lit(0).cast("bigint").alias("prior_n"), F.lit(0.0).alias("prior_sum"))
+    return found.unionByName(none).select("_row.*", "prior_n", "prior_sum")
 
 
 def in_order(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -105,3 +139,26 @@ def running_totals(df: DataFrame, order: list[Column], amounts: dict[str, str])
     for n, c in amounts.items():
         joined = joined.withColumn(f"cum_{n}", F.coalesce(F.sum(c).over(local), F.lit(0)) + F.col(f"_before_{n}"))
     return joined.drop("_part", "_row", *[f"_before_{n}" for n in amounts]), totals
+
+
+def running_within(df: DataFrame, keys: list[str], order: list[Column], amounts: dict[str, str]) -> DataFrame:
+    """df plus cum_<name> within each key's rows in the given order and all_<name>, the key's total.
+
+    Rows are ordered by (keys, order) and summed as in running_totals; what lies before a key's first row is taken off. Keys may
+    be few and large: no task has a whole key.
+    """
+    run, totals = running_totals(df, [*[F.col(k) for k in keys], *order], amounts)
+    if not keys:
+        return run.withColumns({f"all_{n}": F.lit(totals[n]) for n in amounts})
+    first = run.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(*[a for n, c in amounts.items() for a in (F.min(F.col(f"cum_{n}") - F.coalesce(c, F.lit(0))).alias(f"_first_{n}"), F.max(f"cum_{n}").alias(f"_last_{n}"))])
+    match = F.lit(True)
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    both = run.join(first, match)
+    return both.select(*df.columns, *[x for n in amounts for x in ((F.col(f"cum_{n}") - F.col(f"_first_{n}")).alias(f"cum_{n}"), (F.col(f"_last_{n}") - F.col(f"_first_{n}")).alias(f"all_{n}"))])
+
+
+def positions_within(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """df plus position (0-based) within its key in the given order, and n_rows of the key."""
+    out = running_within(df.withColumn("_one", F.lit(1)), keys, order, {"one": "_one"})
+    return out.withColumn("position", F.col("cum_one") - 1).withColumn("n_rows", F.col("all_one")).drop("_one", "cum_one", "all_one")

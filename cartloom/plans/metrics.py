@@ -82,10 +82,9 @@ _TOP = "k AS (SELECT g, y, s, row_number() OVER (PARTITION BY g ORDER BY s DESC,
 
 @R.query(f"WITH {SCORED}, {_TOP} SELECT g, c AS capacity, round(avg(y), 8) AS precision, round(sum(y) / CAST(max(pos) AS DOUBLE), 8) AS recall, round(avg(y) / (max(pos) / CAST(max(n) AS DOUBLE)), 8) AS lift FROM k, c WHERE rn <= greatest(1, ceil(n * c / 100.0)) GROUP BY 1, 2")
 def mt06_capacity(spark, d):
-    every = Window.partitionBy("g")
-    k = scored(spark, d).select("g", "y", F.row_number().over(every.orderBy(F.desc("s"), "id")).alias("rn"), N().over(every).alias("n"), F.sum("y").over(every).alias("pos"))
-    rows = k.withColumn("capacity", F.explode(F.array(*[F.lit(c) for c in (1, 5, 10, 20)]))).where(F.col("rn") <= F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("capacity") / 100)))
-    return rounded(rows.groupBy("g", "capacity").agg(F.avg("y").alias("precision"), (F.sum("y") / F.max("pos")).alias("recall"), (F.avg("y") / (F.max("pos") / F.max("n"))).alias("lift")), "g", "capacity")
+    k = W.running_within(scored(spark, d).select("g", "id", "y", "s", F.lit(1).alias("one")), ["g"], [F.desc("s"), F.col("id")], {"n": "one", "y": "y"})
+    rows = k.withColumn("capacity", F.explode(F.array(*[F.lit(c) for c in (1, 5, 10, 20)]))).where(F.col("cum_n") <= F.greatest(F.lit(1), F.ceil(F.col("all_n") * F.col("capacity") / 100)))
+    return rounded(rows.groupBy("g", "capacity").agg(F.avg("y").alias("precision"), (F.sum("y") / F.max("all_y")).alias("recall"), (F.avg("y") / (F.max("all_y") / F.max("all_n"))).alias("lift")), "g", "capacity")
 
 
 @R.query(f"WITH {SCORED}, h AS (SELECT unnest([0.05, 0.1, 0.15, 0.2, 0.3]) AS h), c AS (SELECT h AS threshold, {_CM.format(t='h')} FROM t, h GROUP BY 1) SELECT CAST(threshold AS DOUBLE) AS threshold, tp, fp, fn, tn, {_RATES} FROM c")

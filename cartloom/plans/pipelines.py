@@ -136,13 +136,9 @@ def rated_groups(spark, d):
 @R.query(f"WITH {_G}, r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY k) - 1 AS p, count(*) OVER (PARTITION BY stratum) AS m FROM h) SELECT item, stratum, CASE WHEN p < floor(m * 0.7) THEN 'train' WHEN p < floor(m * 0.85) THEN 'validation' ELSE 'test' END AS part FROM r")
 def sp05_stratified_groups(spark, d):
     """Whole items in 70/15/15, by their hash order within each stratum."""
-    out = None
-    for stratum in ("low", "high"):
-        rows, n = W.positions(rated_groups(spark, d).where(F.col("stratum") == stratum), [F.col("k")])
-        part = F.when(F.col("position") < int(n * 0.7 + 1e-9), "train").when(F.col("position") < int(n * 0.85 + 1e-9), "validation").otherwise("test")
-        got = rows.select("item", "stratum", part.alias("part"))
-        out = got if out is None else out.unionByName(got)
-    return out
+    rows, m = W.positions_within(rated_groups(spark, d), ["stratum"], [F.col("k")]), F.col("n_rows").cast("double")
+    part = F.when(F.col("position") < F.floor(m * 0.7), "train").when(F.col("position") < F.floor(m * 0.85), "validation").otherwise("test")
+    return rows.select("item", "stratum", part.alias("part"))
 
 
 _SP06 = "c AS (SELECT group_key, count(*) AS n, count(DISTINCT customer_rating) > 1 AS conflict FROM split_assignments WHERE group_key IS NOT NULL GROUP BY 1)"
@@ -189,8 +185,7 @@ _DOCS = "x AS (SELECT DISTINCT row_index AS id, customer_rating AS label, sha256
 
 def labelled(spark, d):
     x = table(spark, d, "split_assignments").where("customer_rating is not null").select(F.col("row_index").alias("id"), F.col("customer_rating").alias("label")).distinct().withColumn("k", F.sha2(F.concat(F.lit("s2:"), F.col("id").cast("string")), 256))
-    own = Window.partitionBy("label")
-    return x.select("*", (F.row_number().over(own.orderBy("k", "id")) - 1).alias("p"), N().over(own).alias("m"))
+    return W.positions_within(x, ["label"], [F.col("k"), F.col("id")]).withColumnsRenamed({"position": "p", "n_rows": "m"})
 
 
 @R.query(f"WITH {_DOCS} SELECT id, label, CASE WHEN p < floor(m * 0.8) THEN 'train' WHEN p < floor(m * 0.9) THEN 'validation' ELSE 'test' END AS part, p < (SELECT min(m) FROM r) AS balanced FROM r")

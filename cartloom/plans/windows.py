@@ -51,6 +51,13 @@ def wn04_07_seller_prior(spark, d):
     return seller_orders(spark, d).select("seller", "id", W.prior_count(["seller"], ["ts", "id"]).alias("prior_n"), F.round(F.avg("y").over(w), 8).alias("prior_mean"), F.round(F.stddev_samp("y").over(w), 8).alias("prior_std"), F.percentile("qty", F.lit(0.5)).over(w).alias("prior_median"))
 
 
+@R.query(f"WITH {SELLER_ORDERS} SELECT seller, id, CAST(row_number() OVER ({_PART}) - 1 AS INT) AS prior_n, round(avg(y) OVER w, 8) AS prior_mean, round(stddev_samp(y) OVER w, 8) AS prior_std FROM so WINDOW w AS ({_PART} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def wn04_06_prior_totals(spark, d):
+    """The same counts, means and deviations from running sums that split a large seller over tasks."""
+    rows = W.prior_totals(seller_orders(spark, d).select("seller", "id", "ts", "y"), "seller", "ts", "id", "y")
+    return rows.select("seller", "id", "prior_n", F.round("prior_mean", 8).alias("prior_mean"), F.round("prior_std", 8).alias("prior_std"))
+
+
 @R.query(f"WITH {SELLER_ORDERS} SELECT seller, id, round(CASE WHEN count(*) OVER w >= 3 THEN avg(y) OVER w END, 8) AS mean_30 FROM so WINDOW w AS ({_PART} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)")
 def wn08_rolling_30(spark, d):
     return seller_orders(spark, d).select("seller", "id", F.round(W.prior_rows(F.avg("y"), ["seller"], ["ts", "id"], 30, 3), 8).alias("mean_30"))

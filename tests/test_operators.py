@@ -55,6 +55,33 @@ def test_asof_totals_are_strict(spark):
     assert got == {1: (1, 1.0), 2: (0, 0.0), 3: (0, 0.0), 4: (0, 0.0)}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_prior_totals_split_a_large_key(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), i, T0 + DAY * rng.randrange(40), rng.choice([0.5, 1.0, None, 3.0])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, id int, t timestamp, v double")
+    got = {r.id: r for r in W.prior_totals(df, "k", "t", "id", "v").collect()}
+    totals = {r.id: (r.prior_n, r.prior_sum) for r in W.asof_totals(df, df, "k", "t", "t", "v", pieces=7).collect()}
+    for k, i, t, _ in rows:
+        strict = [v for kk, _, tt, v in rows if kk == k and k and tt < t]
+        assert totals[i] == (len(strict), pytest.approx(sum(v or 0 for v in strict)))
+        if k is None:
+            assert i not in got
+            continue
+        before = [v for kk, j, tt, v in rows if kk == k and (tt, j) < (t, i)]
+        known = [v for v in before if v is not None]
+        assert got[i].prior_n == len(before)
+        assert got[i].prior_mean == (pytest.approx(sum(known) / len(known)) if known else None)
+        mean = sum(known) / len(known) if known else 0
+        assert got[i].prior_std == (pytest.approx((sum((v - mean) ** 2 for v in known) / (len(known) - 1)) ** 0.5, abs=1e-6) if len(known) > 1 else None)
+
+
+def test_positions_within(spark):
+    rows = [("a", 3), ("a", 1), (None, 2), ("b", 5), ("a", 2), (None, 1)]
+    got = {(r.k, r.v): (r.position, r.n_rows) for r in W.positions_within(spark.createDataFrame(rows, "k string, v int"), ["k"], [F.col("v")]).collect()}
+    assert got == {("a", 1): (0, 3), ("a", 2): (1, 3), ("a", 3): (2, 3), (None, 1): (0, 2), (None, 2): (1, 2), ("b", 5): (0, 1)}
+
+
 def test_positions_and_running_totals(spark):
     rng = random.Random(5)
     rows = [(i, rng.randrange(10)) for i in range(500)]
