@@ -89,6 +89,34 @@ def prior_totals(df: DataFrame, key: str, at: str, tie: str, value: str) -> Data
     return run.select("_row.*", (F.col("cum_one") - 1).cast("int").alias("prior_n"), mean.alias("prior_mean"), spread.alias("prior_std"))
 
 
+def split_trailing(df: DataFrame, key: str, at: str, tie: str, value: str, rows_back: int, least: int, days_back: int, load_days: int) -> DataFrame:
+    """df plus mean_rows, mean_days and load: prior_rows, shifted_trailing_mean and trailing_load for keys too large for one task.
+
+    Each row gets its place and the running sum of its key (running_by_time). A frame is the difference of two running sums, and
+    the row where it begins is found by its place: for a number of rows by counting back, for a number of days by counting the
+    rows before that time (asof_totals); then an equi-join on (key, place). Rows without a key or time are left out.
+    """
+    kept = df.columns
+    v = F.col(value).cast("double")
+    rows = df.select(F.struct(*kept).alias("_row"), F.col(key).cast("string").alias("_entity"), micros(at).alias("_us"), F.col(tie).alias("_tie"), F.lit(1).alias("_one"), v.isNotNull().cast("int").alias("_has"), F.coalesce(v, F.lit(0.0)).alias("_v")).where("_entity is not null and _us is not null")
+    run = cut(running_by_time(rows, ["_tie"], {"one": "_one", "has": "_has", "v": "_v"}))
+    for name, us in (("_n_days", F.col("_us") - days_back * DAY_US + 1), ("_n_load", F.col("_us") - load_days * DAY_US)):
+        run = run.withColumn("_probe", F.timestamp_micros(us)).drop("prior_n", "prior_sum")
+        run = asof_totals(run, rows.select("_entity", F.timestamp_micros("_us").alias("_t"), "_one"), "_entity", "_probe", "_t", "_one").withColumnRenamed("prior_n", name).drop("prior_sum", "_probe")
+    marks = [F.col("_entity"), F.col("cum_one").alias("_place"), F.col("cum_has").alias("_has_at"), F.col("cum_v").alias("_v_at")]
+    starts = cut(run).select(*marks)
+
+    def less(frame: DataFrame, place, name: str) -> DataFrame:
+        begin = starts.withColumnsRenamed({"_has_at": f"_has_{name}", "_v_at": f"_v_{name}", "_place": f"_place_{name}"})
+        return frame.withColumn(f"_place_{name}", place).join(begin, ["_entity", f"_place_{name}"], "left").na.fill(0, [f"_has_{name}", f"_v_{name}"])
+
+    run = less(run, F.col("cum_one") - 1, "end")
+    run = less(run, F.col("cum_one") - 1 - rows_back, "rows")
+    run = less(run, F.col("_n_days") - 1, "days")
+    mean = lambda name: F.try_divide(F.col("_v_end") - F.col(f"_v_{name}"), F.col("_has_end") - F.col(f"_has_{name}"))
+    return run.select("_row.*", F.when(F.col("cum_one") - 1 >= least, mean("rows")).alias("mean_rows"), mean("days").alias("mean_days"), (F.col("cum_one") - 1 - F.col("_n_load")).alias("load"))
+
+
 def asof_totals(probes: DataFrame, facts: DataFrame, key: str, at: str, known: str, value: str, pieces: int | None = None) -> DataFrame:
     """probes plus prior_n and prior_sum over the facts of the key known strictly before the probe's time.
 

@@ -78,6 +78,15 @@ def wn10_load_7d(spark, d):
     return seller_orders(spark, d).select("seller", "id", W.trailing_load(["seller"], "us", "id", 7).alias("load_7d"))
 
 
+@R.query(f"""WITH {SELLER_ORDERS}, s AS (SELECT *, lag(y) OVER ({_PART}) AS v FROM so), r AS (SELECT seller, id, CASE WHEN count(*) OVER w >= 3 THEN avg(y) OVER w END AS mean_rows FROM so WINDOW w AS ({_PART} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
+  m AS (SELECT a.seller, a.id, avg(b.v) AS mean_days FROM s a LEFT JOIN s b ON b.seller = a.seller AND b.ts > a.ts - INTERVAL 30 DAY AND (b.ts, b.id) <= (a.ts, a.id) GROUP BY 1, 2), l AS (SELECT a.seller, a.id, count(b.id) AS load FROM so a LEFT JOIN so b ON b.seller = a.seller AND b.ts >= a.ts - INTERVAL 7 DAY AND (b.ts, b.id) < (a.ts, a.id) GROUP BY 1, 2)
+  SELECT seller, id, round(mean_rows, 8) AS mean_rows, round(mean_days, 8) AS mean_days, load FROM r JOIN m USING (seller, id) JOIN l USING (seller, id)""")
+def wn08_10_split_windows(spark, d):
+    """The same three frames from running sums and equi-joins on places, which split a large seller over tasks."""
+    rows = W.split_trailing(seller_orders(spark, d).select("seller", "id", "ts", "y"), "seller", "ts", "id", "y", 30, 3, 30, 7)
+    return rows.select("seller", "id", F.round("mean_rows", 8).alias("mean_rows"), F.round("mean_days", 8).alias("mean_days"), "load")
+
+
 @R.query("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n, sum(CAST(o_orderstatus = 'F' AS INT)) AS y FROM orders GROUP BY 1)
   SELECT a.day, CAST(sum(CASE WHEN b.day = a.day - 1 THEN b.n END) AS BIGINT) AS n_1d, CAST(sum(CASE WHEN b.day >= a.day - 7 THEN b.n END) AS BIGINT) AS n_7d, round(sum(CASE WHEN b.day >= a.day - 30 THEN b.y END) / CAST(sum(CASE WHEN b.day >= a.day - 30 THEN b.n END) AS DOUBLE), 8) AS rate_30d,
   round(sum(CASE WHEN b.day >= a.day - 90 THEN b.y END) / CAST(sum(CASE WHEN b.day >= a.day - 90 THEN b.n END) AS DOUBLE), 8) AS rate_90d, round(sum(b.y) / CAST(sum(b.n) AS DOUBLE), 8) AS rate_all FROM d a LEFT JOIN d b ON b.day < a.day GROUP BY 1""")

@@ -55,6 +55,16 @@ def test_asof_totals_are_strict(spark):
     assert got == {1: (1, 1.0), 2: (0, 0.0), 3: (0, 0.0), 4: (0, 0.0)}
 
 
+def test_split_trailing_is_the_plain_windows(spark):
+    rows = [("hot" if i % 4 else k, i, t, y) for k, i, t, y in ties(9, 200)]
+    df = spark.createDataFrame(rows, "k string, id int, ts timestamp, y int")
+    split = {r.id: (r.mean_rows, r.mean_days, r.load) for r in W.split_trailing(df, "k", "ts", "id", "y", 30, 3, 30, 7).collect()}
+    plain = df.withColumn("us", W.micros("ts")).withColumn("r", W.prior_rows(F.avg("y"), ["k"], ["us", "id"], 30, 3))
+    plain = W.shifted_trailing_mean(plain, ["k"], "us", "id", "y", 30, "m").withColumn("l", W.trailing_load(["k"], "us", "id", 7))
+    near = lambda x: None if x is None else pytest.approx(x)
+    assert split == {r.id: (near(r.r), near(r.m), r.l) for r in plain.collect()}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_prior_totals_split_a_large_key(spark, seed):
     rng = random.Random(seed)
