@@ -10,7 +10,6 @@ the first assigns to another language than the label's. Numbers and names follow
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartloom.llm.overlap import FOLDS
+
 #: The languages, with their two- and three-letter codes and English names.
 LANGUAGES = {
     "en": ("en", "eng", "english"),
@@ -57,9 +58,7 @@ def label_language(col: Column | str) -> Column:
 
 def fold(text: str) -> str:
     """Lower case without accents, marks, stretch signs and invisible characters."""
-    if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) not in ("Mn", "Me", "Cf") and c != "ـ")
-    return text.casefold()
+    return (text if text.isascii() else text.translate(FOLDS)).casefold()
 
 
 def evidence(sentence: str) -> str:

@@ -34,15 +34,17 @@ KEPT = 12
 _TAG = re.compile(r"<[^<>]{0,2000}>")
 _DROP = {"Mn", "Me", "Cf", "Mc"}
 _WORD = re.compile(r"[^\W_]+")
-_FOLD: dict[str, str] = {}
 
 
-def _fold(ch: str) -> str:
-    out = _FOLD.get(ch)
-    if out is None:
-        out = "".join(c for c in unicodedata.normalize("NFKD", ch) if c != "ـ" and unicodedata.category(c) not in _DROP)
-        _FOLD[ch] = out
-    return out
+class _Folds(dict):
+    """Code point -> what is left of it without accents, marks, stretch signs and invisible characters; filled as needed."""
+
+    def __missing__(self, point: int) -> str:
+        out = self[point] = "".join(c for c in unicodedata.normalize("NFKD", chr(point)) if c != "ـ" and unicodedata.category(c) not in _DROP)
+        return out
+
+
+FOLDS = _Folds()
 
 
 def plain_words(text: str | None) -> list[str]:
@@ -53,7 +55,7 @@ def plain_words(text: str | None) -> list[str]:
     if "&" in text:
         text = _TAG.sub(" ", html.unescape(text))
     if not text.isascii():
-        text = "".join(map(_fold, text))
+        text = text.translate(FOLDS)
     return _WORD.findall(text.casefold())
 
 
@@ -110,64 +112,69 @@ def classes(texts: DataFrame) -> DataFrame:
 
 
 def runs_of(reps: DataFrame, span: int) -> DataFrame:
-    """(run, rep, train, held, n, pos): each distinct run of a text at its first position; n is their number."""
+    """(run, rep, mark): each distinct run of a text at its first position. mark packs their number n, the position and the sides.
+
+    mark = n * 2^33 + position * 4 + held * 2 + train: three columns travel instead of six.
+    """
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at : at + 512]
                 first = [np.unique(run_hashes(np.asarray(w, dtype=np.int64), span), return_index=True) for w in part["words"]]
-                n = np.array([len(r) for r, _ in first])
-                yield pd.DataFrame({
-                    "run": np.concatenate([r for r, _ in first]) if len(first) else [],
-                    "rep": np.repeat(part["rep"].to_numpy(), n), "train": np.repeat(part["train"].to_numpy(), n), "held": np.repeat(part["held"].to_numpy(), n),
-                    "n": np.repeat(n, n), "pos": np.concatenate([p for _, p in first]) if len(first) else [],
-                })
+                n = np.array([len(r) for r, _ in first], dtype=np.int64)
+                sides = part["held"].to_numpy(dtype=np.int64) * 2 + part["train"].to_numpy(dtype=np.int64)
+                marks = np.repeat((n << 33) + sides, n) + (np.concatenate([p for _, p in first]) << 2)
+                yield pd.DataFrame({"run": np.concatenate([r for r, _ in first]), "rep": np.repeat(part["rep"].to_numpy(), n), "mark": marks})
 
-    return reps.select("rep", "train", "held", "words").mapInPandas(explode, "run bigint, rep bigint, train boolean, held boolean, n int, pos int")
+    return reps.select("rep", "train", "held", "words").mapInPandas(explode, "run bigint, rep bigint, mark bigint")
 
 
 def shared_runs(runs: DataFrame) -> DataFrame:
-    """(run, df): the runs that occur on both sides."""
-    return runs.groupBy("run").agg(F.count(F.lit(1)).alias("df"), F.max("train").alias("t"), F.max("held").alias("h")).where("df > 1 and t and h").select("run", "df")
+    """(run, df): the runs that occur on both sides. Both counts are one sum: train's times 2^32, held's."""
+    both = F.sum(F.expr("(mark & 1L) * 4294967296L + (shiftright(mark, 1) & 1L)")).alias("both")
+    t, h = F.expr("shiftright(both, 32)"), F.expr("both & 4294967295L")
+    return runs.groupBy("run").agg(both).where((t > 0) & (h > 0)).select("run", (t + h).alias("df"))
 
 
 def suffix_array(reps: DataFrame, span: int, share: float) -> DataFrame:
-    """The suffixes that can matter, in order: head (run hash of the first words), tail (the words kept), rep, train, held, n, c, place, lcp.
+    """The suffixes that can matter, in order: head (the interval: a hash of the first `span` words), rep, train, held, n, c, place, lcp.
 
-    lcp: words in common with the suffix before (0 at the start of a partition); place: of the suffix's run in the order of
-    the text's shared runs; c: their number.
+    lcp: words in common with the suffix before it (0 at the start of an interval or of a batch). A suffix without a neighbour of its
+    interval is left out. place: of the suffix's run in the order of the text's shared runs; c: their number.
     """
     runs = runs_of(reps, span)  # made twice from the words, which costs less than keeping them
     near = runs.join(shared_runs(runs), "run")
     per_text = Window.partitionBy("rep")
     order = per_text.orderBy("df", "run")
+    near = near.withColumn("n", F.expr("cast(shiftright(mark, 33) as int)"))
     need = F.ceil(F.col("n") * share - 1e-9)
     kept = (
         near.withColumn("c", F.count(F.lit(1)).over(per_text)).where(F.col("c") >= need)
         .withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("c") - need + 1)
-        .select("run", "rep", "train", "held", "n", "c", "place", "pos")
+        .select("run", "rep", F.expr("(mark & 1L) = 1 as train"), F.expr("(mark & 2L) = 2 as held"), "n", "c", "place", F.expr("cast(shiftright(mark, 2) & 2147483647L as int) as pos"))
     )
     suffixes = kept.join(reps.select("rep", "words"), "rep").select(
         F.col("run").alias("head"), F.slice("words", F.col("pos") + 1, KEPT).alias("tail"), "rep", "train", "held", "n", "c", "place"
     )
     ordered = suffixes.repartitionByRange(shuffle_width(reps.sparkSession), "head", "tail", "rep").sortWithinPartitions("head", "tail", "rep")
 
-    def lcps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head, tail = None, None
+    def intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = np.zeros(len(pdf), dtype=np.int32)
-            for i, (h, t) in enumerate(zip(pdf["head"].to_numpy(), pdf["tail"])):
-                if h == head:
-                    k = min(len(t), len(tail))
-                    differ = np.flatnonzero(t[:k] != tail[:k])
-                    out[i] = differ[0] if len(differ) else k
-                head, tail = h, t
-            pdf = pdf.drop(columns="tail")
-            pdf["lcp"] = out
-            yield pdf
-
-    return cut(ordered.mapInPandas(lcps, "head bigint, rep bigint, train boolean, held boolean, n int, c bigint, place int, lcp int"))
+            if not len(pdf):
+                continue
+            head, tail = pdf["head"].to_numpy(), pdf["tail"].to_numpy()
+            joined = np.r_[False, head[1:] == head[:-1]]
+            lcp = np.zeros(len(pdf), dtype=np.int32)
+            for i in np.flatnonzero(joined):
+                k = min(len(tail[i]), len(tail[i - 1]))
+                differ = np.flatnonzero(tail[i][:k] != tail[i - 1][:k])
+                lcp[i] = differ[0] if len(differ) else k
+            keep = joined | np.r_[joined[1:], True]
+            keep[0] = True  # the neighbours of a batch's first and last suffix are not seen here
+            yield pdf.drop(columns="tail").assign(lcp=lcp)[keep]
+
+    return cut(ordered.mapInPandas(intervals, "head bigint, rep bigint, train boolean, held boolean, n int, c bigint, place int, lcp int"))
 
 
 def near_classes(reps: DataFrame, span: int = SPAN, share: float = SHARE) -> DataFrame:
