@@ -6,8 +6,8 @@ array with a common prefix of at least SPAN words; a run of such neighbours that
 a pair across the splits is a candidate where its members share an interval. Only suffixes that can matter are kept
 in the array, and this loses no pair: of two texts with a share s of their SPAN-word runs in common, each has at
 least s of its own runs in the other, so of a text's runs that occur on both sides, put in one order for all texts
-(rarest first), one of the first (number of these - ceil(s x all its runs) + 1) is shared. An exact comparison of the
-runs follows. Coverage uses all suffixes: a word is covered where a run of `least` words around it occurs in train.
+(rarest first), k of the first (number of these - ceil(s x all its runs) + k) are shared, for any k up to ceil(s x all its runs);
+a candidate has to share HITS intervals (fewer where a text is too short). An exact comparison of the runs follows. Coverage uses all suffixes: a word is covered where a run of `least` words around it occurs in train.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from cartloom.session import cut, shuffle_width
 
 SPAN = 3
 SHARE = 0.6
+#: Intervals that a pair must share.
+HITS = 3
 #: Words of a suffix that are kept to sort it.
 KEPT = 12
 
@@ -151,7 +153,7 @@ def suffix_array(reps: DataFrame, span: int, share: float) -> DataFrame:
     need = F.ceil(F.col("n") * share - 1e-9)
     kept = (
         near.withColumn("c", F.count(F.lit(1)).over(per_text)).where(F.col("c") >= need)
-        .withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("c") - need + 1)
+        .withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("c") - need + F.least(F.lit(HITS), need))
         .select("run", "rep", F.expr("(mark & 1L) = 1 as train"), F.expr("(mark & 2L) = 2 as held"), "n", "c", "place", F.expr("cast(shiftright(mark, 2) & 2147483647L as int) as pos"))
     )
     suffixes = kept.join(reps.select("rep", "words"), "rep").select(
@@ -188,7 +190,9 @@ def near_classes(reps: DataFrame, span: int = SPAN, share: float = SHARE) -> Dat
         & (F.least("n_t", "n_h") >= F.greatest("n_t", "n_h") * share - 1e-9)
         & (most >= (F.col("n_t") + F.col("n_h")) * (share / (1 + share)) - 1e-9)
     )
-    candidates = cut(a.join(b, "head").where(alike).select("rep_t", "rep_h").distinct())
+    hits = F.least(F.lit(HITS), F.ceil(F.least("n_t", "n_h") * share - 1e-9))
+    pairs = a.join(b, "head").where(alike).groupBy("rep_t", "rep_h").agg(F.count(F.lit(1)).alias("hits"), F.first(hits).alias("least"))
+    candidates = cut(pairs.where("hits >= least").select("rep_t", "rep_h"))
 
     def pick(side: str) -> DataFrame:
         wanted = candidates.select(F.col(side).alias("rep")).distinct()
