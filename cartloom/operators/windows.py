@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -190,3 +192,23 @@ def positions_within(df: DataFrame, keys: list[str], order: list[Column]) -> Dat
     """df plus position (0-based) within its key in the given order, and n_rows of the key."""
     out = running_within(df.withColumn("_one", F.lit(1)), keys, order, {"one": "_one"})
     return out.withColumn("position", F.col("cum_one") - 1).withColumn("n_rows", F.col("all_one")).drop("_one", "cum_one", "all_one")
+
+
+def percentiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact percentiles with linear interpolation; nulls are skipped, no values give None.
+
+    Distinct values are counted and their counts cumulated in range-partitioned order; only the values at the wanted places (two
+    per share) come to the driver. The built-in exact percentile would hold every distinct value in one task.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    run, totals = running_totals(counts, [F.col("x")], {"n": "n"})
+    last = (totals["n"] or 0) - 1
+    if last < 0:
+        return [None] * len(shares)
+    places = sorted({p for q in shares for p in (math.floor(q * last), math.ceil(q * last))})
+    wanted = F.lit(False)
+    for p in places:
+        wanted = wanted | ((F.col("cum_n") - F.col("n") <= p) & (F.col("cum_n") > p))
+    rows = run.where(wanted).select("x", "n", "cum_n").collect()
+    at = {p: r.x for r in rows for p in places if r.cum_n - r.n <= p < r.cum_n}
+    return [at[math.floor(q * last)] + (at[math.ceil(q * last)] - at[math.floor(q * last)]) * (q * last - math.floor(q * last)) for q in shares]

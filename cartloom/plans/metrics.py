@@ -103,8 +103,8 @@ def mt07_sweep(spark, d):
 @R.query(f"WITH {SCORED}, e AS (SELECT quantile_cont(s, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM t) SELECT len(list_filter(e, lambda x: x < s)) AS bin, count(*) AS n, round(avg(s), 8) AS mean_score, round(avg(y), 8) AS mean_y FROM t, e GROUP BY 1")
 def mt08_quantile_bins(spark, d):
     rows = scored(spark, d)
-    edges = rows.agg(F.percentile("s", F.array(*[F.lit(i / 10) for i in range(1, 10)]))).first()[0] or []
-    place = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("s")))
+    edges = [e for e in W.percentiles(rows, "s", [i / 10 for i in range(1, 10)]) if e is not None]
+    place = sum((F.when(F.col("s") > e, 1).otherwise(0) for e in edges), F.lit(0))
     return rounded(rows.groupBy(place.alias("bin")).agg(N().alias("n"), F.avg("s").alias("mean_score"), F.avg("y").alias("mean_y")), "bin", "n")
 
 

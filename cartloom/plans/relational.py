@@ -404,8 +404,9 @@ def ag28_supported_stats(spark, d):
 
 @R.query("SELECT round(quantile_cont(n_chars, 0.5), 6) AS p50, round(quantile_cont(n_chars, 0.9), 6) AS p90, round(quantile_cont(n_chars, 0.99), 6) AS p99, max(n_chars) AS p100, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS std FROM documents")
 def ag29_30_length_stats(spark, d):
-    p = lambda q: F.round(F.percentile("n_chars", F.lit(q)), 6)
-    return table(spark, d, "documents").agg(p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"), F.max("n_chars").alias("p100"), F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.stddev_pop("n_chars"), 6).alias("std"))
+    docs = table(spark, d, "documents")
+    at = dict(zip(("p50", "p90", "p99"), W.percentiles(docs, "n_chars", [0.5, 0.9, 0.99])))
+    return docs.agg(*[F.round(F.lit(v).cast("double"), 6).alias(k) for k, v in at.items()], F.max("n_chars").alias("p100"), F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.stddev_pop("n_chars"), 6).alias("std"))
 
 
 @R.query("WITH p AS (SELECT lower(trim(sku)) AS sku, count(*) AS n, avg(customer_rating) AS m FROM split_assignments WHERE trim(sku) <> '' GROUP BY 1) SELECT round(corr(n, m), 6) AS corr, count(*) FILTER (WHERE n >= 10) AS n_ten, count(*) FILTER (WHERE n = 1) AS n_one FROM p WHERE m IS NOT NULL")
@@ -443,7 +444,7 @@ def ag36_multi_seed(spark, d):
 @R.query("""WITH q AS (SELECT quantile_cont(n_chars, [1 / 3.0::DOUBLE, 2 / 3.0::DOUBLE]) AS c FROM documents) SELECT CASE WHEN n_chars <= c[1] THEN 'short' WHEN n_chars <= c[2] THEN 'middle' ELSE 'long' END AS third, count(*) AS n, round(avg(n_chars), 6) AS mean FROM documents, q GROUP BY 1""")
 def ag37_tertile_slices(spark, d):
     docs = table(spark, d, "documents")
-    low, high = docs.agg(F.percentile("n_chars", F.array(F.lit(1 / 3), F.lit(2 / 3)))).first()[0]
+    low, high = W.percentiles(docs, "n_chars", [1 / 3, 2 / 3])
     third = F.when(F.col("n_chars") <= low, "short").when(F.col("n_chars") <= high, "middle").otherwise("long")
     return docs.groupBy(third.alias("third")).agg(N().alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"))
 

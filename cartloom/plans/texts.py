@@ -69,11 +69,12 @@ def sc19_20_sp01_hash_partition(spark, d):
     return b.select("user_id", "bucket", F.when(F.col("bucket") < 0.20, "test").when(F.col("bucket") < 0.36, "evaluate").otherwise("fit").alias("part"))
 
 
-@R.query("SELECT event_type, sha256(string_agg(CAST(user_id AS VARCHAR), chr(10) ORDER BY CAST(user_id AS VARCHAR))) AS digest FROM (SELECT DISTINCT event_type, user_id FROM events) GROUP BY 1")
+@R.query("SELECT event_type, count(*) AS n_ids, CAST(sum(CAST(concat('0x', substr(md5(CAST(user_id AS VARCHAR)), 1, 8)) AS BIGINT)) AS BIGINT) AS digest FROM (SELECT DISTINCT event_type, user_id FROM events WHERE user_id IS NOT NULL) GROUP BY 1")
 def sc21_set_digest(spark, d):
-    """An order-free digest of each small set of ids (for large sets, add 64-bit hashes instead)."""
-    ids = F.array_sort(F.collect_set(F.col("user_id").cast("string")))
-    return table(spark, d, "events").groupBy("event_type").agg(F.sha2(F.array_join(ids, "\n"), 256).alias("digest"))
+    """An order-free digest of each set of ids: their number and the sum of hashes, so no set is gathered."""
+    ids = table(spark, d, "events").where("user_id is not null").select("event_type", "user_id").distinct()
+    part = F.conv(F.substring(F.md5(F.col("user_id").cast("string")), 1, 8), 16, 10).cast("bigint")
+    return ids.groupBy("event_type").agg(N().alias("n_ids"), F.sum(part).alias("digest"))
 
 
 @R.query("""WITH l AS (SELECT event_id, [value / 10, 3.0, ln(1 + value)] AS z FROM events), e AS (SELECT event_id, z, [exp(x - list_max(z)) for x in z] AS p FROM l) SELECT event_id, round(p[1] / list_sum(p), 6) AS p0, round(p[2] / list_sum(p), 6) AS p1, list_position(z, list_max(z)) - 1 AS best FROM e""")

@@ -86,6 +86,17 @@ def test_prior_totals_split_a_large_key(spark, seed):
         assert got[i].prior_std == (pytest.approx((sum((v - mean) ** 2 for v in known) / (len(known) - 1)) ** 0.5, abs=1e-6) if len(known) > 1 else None)
 
 
+def test_percentiles(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    values = [rng.choice([1, 2, 2, 7, rng.random() * 9]) for _ in range(101)]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    shares = [0.0, 0.1, 0.33, 0.5, 0.99, 1.0]
+    assert W.percentiles(df, "v", shares) == pytest.approx(list(np.quantile(values, shares)))
+    assert W.percentiles(df.limit(0), "v", [0.5]) == [None]
+
+
 def test_positions_within(spark):
     rows = [("a", 3), ("a", 1), (None, 2), ("b", 5), ("a", 2), (None, 1)]
     got = {(r.k, r.v): (r.position, r.n_rows) for r in W.positions_within(spark.createDataFrame(rows, "k string, v int"), ["k"], [F.col("v")]).collect()}
