@@ -172,3 +172,22 @@ SQL = {
       SELECT 'split_assignments' AS record_table, id AS record_id FROM t WHERE root IN (SELECT root FROM x)
       UNION ALL SELECT 'user_partitions', user_id FROM user_partitions GROUP BY user_id HAVING min(lower(trim(partition))) <> max(lower(trim(partition)))""",
 }
+
+# the markup of the given texts; the tests have literal cases for other entities
+_WORDS = r"""t AS (SELECT row_index AS doc_id, max(lower(trim(split)) = 'train') AS train, max(lower(trim(split)) IN ('validation', 'protected_test')) AS held, max(CASE WHEN lower(trim(split)) IN ('validation', 'protected_test') THEN lower(trim(split)) END) AS held_split
+    FROM split_assignments WHERE nullif(trim(split), '') IS NOT NULL GROUP BY 1),
+  w AS (SELECT d.doc_id, source, held_split, train, held, regexp_extract_all(strip_accents(lower(regexp_replace(regexp_replace(regexp_replace(replace(text, '&nbsp;', ' '), '<[^<>]*>', ' ', 'g'), '[\x{0640}\p{Cf}]', '', 'g'), '\p{M}', '', 'g'))), '[\p{L}\p{N}]+') AS w
+    FROM documents d JOIN t USING (doc_id) WHERE train OR held)"""
+_NEAR = f"""{_WORDS}, s AS (SELECT doc_id, train, held, unnest(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [concat(w[i], ' ', w[i + 1], ' ', w[i + 2]) for i in range(1, len(w) - 1)] END)) AS g FROM w WHERE len(w) > 0),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.train AND b.held AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+  p AS (SELECT x AS doc_train, y AS doc_held FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c >= 0.6 * (a.n + b.n - c))"""
+
+SQL |= {
+    "p7_found": f"WITH {_NEAR} SELECT DISTINCT least(doc_train, doc_held) AS doc_id_a, greatest(doc_train, doc_held) AS doc_id_b FROM p",
+    "p7_report": f"""WITH {_NEAR}, k AS (SELECT row_index AS doc_id, max(nullif(trim(group_key), '')) AS g, min(customer_rating) AS low, max(customer_rating) AS high FROM split_assignments GROUP BY 1),
+      r AS (SELECT g FROM k WHERE g IS NOT NULL GROUP BY 1 HAVING min(low) <> max(high)), h AS (SELECT doc_held AS doc_id, count(*) AS n FROM p GROUP BY 1)
+      SELECT held_split AS split, source, count(*) AS n_documents, CAST(sum(n) AS BIGINT) AS n_pairs, count(r.g) AS n_conflicting, count(DISTINCT r.g) AS n_conflicting_groups FROM h JOIN w USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN r ON r.g = k.g GROUP BY 1, 2""",
+    "p7_coverage": f"""WITH {_WORDS}, u AS (SELECT doc_id, train, held, len(w) AS m, unnest(CASE WHEN len(w) < 8 THEN [{{'i': 1, 'g': concat('=', array_to_string(w, ' '))}}] ELSE [{{'i': i, 'g': array_to_string(w[i : i + 7], ' ')}} for i in range(1, len(w) - 6)] END) AS r FROM w WHERE len(w) > 0),
+      b AS (SELECT r.g AS g FROM u GROUP BY 1 HAVING bool_or(train) AND bool_or(held)), v AS (SELECT DISTINCT doc_id, unnest(range(r.i, r.i + least(m, 8))) AS at_word FROM u JOIN b ON b.g = u.r.g WHERE held)
+      SELECT w.doc_id, held_split AS split, source, len(w) AS n_words, CAST(coalesce(x.n, 0) AS BIGINT) AS covered FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM v GROUP BY 1) x USING (doc_id) WHERE held AND len(w) > 0""",
+}
