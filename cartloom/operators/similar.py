@@ -1,7 +1,7 @@
 """Near-duplicate texts inside buckets, exactly and without a cap on buckets.
 
 Texts with the same normal form are one class. Two classes of a bucket are linked if the Jaccard similarity of their
-character n-grams reaches the threshold. Candidates share one of the rarest n-grams of each (prefix filter), which loses none.
+character n-grams reaches the threshold. Candidates share HITS of the rarest n-grams of each (prefix filter), which loses none.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from cartloom.functions.text import char_ngrams, dedup_text
 from cartloom.session import cut, shuffle_width
 
+#: Rare n-grams that two classes must share to be compared.
+HITS = 3
+
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.85, head: int = 2) -> DataFrame:
     """(doc_id, class_id, n_links): docs has doc_id, text. class_id: the smallest doc_id with the same normal form; n_links: other
@@ -26,10 +29,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.85, head:
     per = Window.partitionBy("class_id")
     need = F.ceil(F.col("k") * threshold - 1e-9)
     near = tokens.join(shared, "gram").withColumn("c", F.count(F.lit(1)).over(per)).where(F.col("c") >= need)
-    near = near.withColumn("place", F.row_number().over(per.orderBy("df", "gram"))).where(F.col("place") <= F.col("c") - need + 1)
+    near = near.withColumn("place", F.row_number().over(per.orderBy("df", "gram"))).where(F.col("place") <= F.col("c") - need + F.least(F.lit(HITS), need))
     a = near.select("gram", F.col("class_id").alias("a"), F.col("k").alias("ka"))
     b = near.select("gram", F.col("class_id").alias("b"), F.col("k").alias("kb"))
-    pairs = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.least("ka", "kb") >= F.greatest("ka", "kb") * threshold - 1e-9)).select("a", "b").distinct()
+    least = F.least(F.lit(HITS), F.ceil(F.least("ka", "kb") * threshold - 1e-9))
+    pairs = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.least("ka", "kb") >= F.greatest("ka", "kb") * threshold - 1e-9))
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.first(least).alias("least")).where("hits >= least").select("a", "b")
     left = sets.select(F.col("class_id").alias("a"), F.col("g").alias("ga"), F.col("copies").alias("na"))
     right = sets.select(F.col("class_id").alias("b"), F.col("g").alias("gb"), F.col("copies").alias("nb"))
     same = F.size(F.array_intersect("ga", "gb"))

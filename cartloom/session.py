@@ -34,11 +34,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _file(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: a short lineage that outlives any executor."""
+    """Write `df` to the shared folder and read it back: a short lineage that outlives any executor.
+
+    The table is deleted by `discard`, or when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cartloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target, fs = _file(spark, path)
+    fs.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._cartloom_path = path
     return out
@@ -46,11 +56,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files behind a frame made by `cut`."""
-    spark, path = df.sparkSession, getattr(df, "_cartloom_path", None)
+    path = getattr(df, "_cartloom_path", None)
     if path:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        target, fs = _file(df.sparkSession, path)
+        fs.delete(target, True)
 
 
 def spread(scan: DataFrame) -> DataFrame:
