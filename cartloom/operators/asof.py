@@ -9,7 +9,7 @@ counts for itself, and the pieces' totals (a few rows per cut) are added as offs
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cartloom.session import cut, shuffle_width
@@ -20,9 +20,11 @@ MAX_PIECES = 512
 
 def time_cuts(timeline: DataFrame, pieces: int) -> DataFrame:
     """entity -> cuts array<timestamp in microseconds>, only for entities above 1/pieces of all rows: at most `pieces` rows."""
-    counts = timeline.groupBy("_entity").agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    heavy = counts.where(F.col("_n") > total / pieces).select("_entity", "_n").collect()  # at most `pieces` rows by the condition
+    all_rows = Observation()
+    counts = timeline.groupBy("_entity").agg(F.count(F.lit(1)).alias("_n")).observe(all_rows, F.sum("_n").alias("n"))
+    largest = counts.orderBy(F.desc("_n")).limit(pieces).collect()  # no more than `pieces` entities can be above 1/pieces
+    total = all_rows.get["n"] or 0
+    heavy = [r for r in largest if r["_n"] > total / pieces]
     spark = timeline.sparkSession
     if not heavy:
         return spark.createDataFrame([], "_entity string, _cuts array<bigint>")
