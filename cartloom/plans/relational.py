@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -179,15 +181,33 @@ def jn09_two_havings(spark, d):
     return items(spark, d).where("seller_id is not null").groupBy("seller_id").agg(N().alias("n"), F.avg("price").alias("p")).where("n >= 50 and p > 60").select("seller_id")
 
 
+def interval_grid(suppliers: DataFrame, lines: DataFrame, first: dt.date | None, last: dt.date | None, step: int = 1) -> DataFrame:
+    """(s_suppkey, day, n): lines shipped in the 14 days from each start, for every supplier and each `step`th day from first to last.
+
+    Lines are counted per day first and summed over a dense calendar, so a large supplier has no more rows than there are days.
+    """
+    nodes = suppliers.select("s_suppkey").where("s_suppkey is not null").distinct()
+    per = lines.select(F.col("l_suppkey").alias("s_suppkey"), F.to_date("l_shipdate").alias("day")).where("s_suppkey is not null and day is not null").groupBy("s_suppkey", "day").agg(N().alias("n"))
+    start, end = F.lit(first).cast("date"), F.lit(last).cast("date")
+    dense = nodes.select("s_suppkey", F.explode(F.sequence(start, F.date_add(end, 13))).alias("day")).join(per, ["s_suppkey", "day"], "left")
+    w = Window.partitionBy("s_suppkey").orderBy("day").rowsBetween(0, 13)
+    windows = dense.select("s_suppkey", "day", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n"))
+    return windows.where((F.col("day") <= end) & (F.datediff("day", start) % step == 0))
+
+
 @R.query("""WITH g AS (SELECT s_suppkey, CAST(unnest(generate_series(TIMESTAMP '1997-01-01', TIMESTAMP '1997-03-31', INTERVAL 7 DAY)) AS DATE) AS day FROM supplier WHERE s_suppkey <= 20)
   SELECT s_suppkey, day, count(l_shipdate) AS n FROM g LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_shipdate >= day AND l_shipdate < day + INTERVAL 14 DAY GROUP BY 1, 2""")
 def jn11_12_interval_grid(spark, d):
-    """Two-week windows starting every week: each line goes to the windows it lies in, the empty ones come from the grid."""
-    starts = F.sequence(F.lit("1997-01-01").cast("date"), F.lit("1997-03-31").cast("date"), F.expr("interval 7 days"))
-    grid = table(spark, d, "supplier").where("s_suppkey <= 20").select("s_suppkey", F.explode(starts).alias("day"))
-    lines = table(spark, d, "lineitem").where("l_suppkey <= 20 and l_shipdate >= '1997-01-01' and l_shipdate < '1997-04-15'").select(F.col("l_suppkey").alias("s_suppkey"), F.to_date("l_shipdate").alias("ship"))
-    hits = lines.select("s_suppkey", F.explode(F.filter(starts, lambda s: (s <= F.col("ship")) & (F.col("ship") < F.date_add(s, 14)))).alias("day")).groupBy("s_suppkey", "day").agg(N().alias("n"))
-    return grid.join(hits, ["s_suppkey", "day"], "left").na.fill(0, ["n"])
+    """The part of jn11_12_all_windows that its SQL lists: 20 suppliers, a start a week, 13 weeks."""
+    return interval_grid(table(spark, d, "supplier").where("s_suppkey <= 20"), table(spark, d, "lineitem").where("l_suppkey <= 20"), dt.date(1997, 1, 1), dt.date(1997, 3, 31), 7)
+
+
+@R.query()
+def jn11_12_all_windows(spark, d):
+    """Two-week windows of every supplier from every day between the first and the last ship date, the empty ones too."""
+    lines = table(spark, d, "lineitem")
+    first, last = lines.agg(F.to_date(F.min("l_shipdate")), F.to_date(F.max("l_shipdate"))).first()
+    return interval_grid(table(spark, d, "supplier"), lines, first, last)
 
 
 @R.query("""SELECT count(*) AS n_predictions, count(*) FILTER (WHERE v.first IS NULL) AS n_without, count(*) FILTER (WHERE v.first > CAST(left(replace(p.features_as_of, 'T', ' '), 19) AS TIMESTAMP)) AS n_before FROM (SELECT DISTINCT prediction_id, seller_id, features_as_of FROM prediction_log WHERE features_as_of LIKE '%Z') p
