@@ -184,12 +184,30 @@ def tx18_near_duplicates(spark, d):
     return near_duplicates(table(spark, d, "documents"))
 
 
-@R.query(f"WITH t AS (SELECT doc_id, text, {_DEDUP} AS t FROM documents WHERE {_ASCII}), e AS (SELECT min(doc_id) AS doc_id, any_value(t) AS t FROM t GROUP BY text), f AS (SELECT min(doc_id) AS doc_id FROM e GROUP BY t) SELECT (SELECT count(*) FROM t) AS n_rows, (SELECT count(*) FROM t) - (SELECT count(*) FROM e) AS n_exact, (SELECT count(*) FROM e) - (SELECT count(*) FROM f) AS n_near, (SELECT count(*) FROM f) AS n_left")
-def tx19_staged_dedup(spark, d):
-    rows = table(spark, d, "documents").where(F.col("text").rlike("^[\\x00-\\x7f]*$")).select(F.sha2("text", 256).alias("k"), T.dedup_text("text").alias("t"))
+def stages(docs):
+    """Rows, those removed as exact copies, then as equal in normal form, and those left.
+
+    The normal form keeps a-z and 0-9 only, so all texts without any (as Arabic ones) are one near class: n_no_letters of
+    n_near are removed for that. Null texts are copies of each other and read 'None', as Python's str makes them.
+    """
+    rows = docs.select(F.sha2("text", 256).alias("k"), T.dedup_text(F.coalesce("text", F.lit("None"))).alias("t"))
     exact = rows.groupBy("k", "t").agg(N().alias("n"))
     near = exact.groupBy("t").agg(F.sum("n").alias("n"), N().alias("m"))
-    return near.agg(F.sum("n").alias("n_rows"), F.sum(F.col("n") - F.col("m")).alias("n_exact"), F.sum(F.col("m") - 1).alias("n_near"), N().alias("n_left"))
+    surplus = F.col("m") - 1
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return near.agg(total(F.col("n")).alias("n_rows"), total(F.col("n") - F.col("m")).alias("n_exact"), total(surplus).alias("n_near"), N().alias("n_left"), total(F.when(F.col("t") == "", surplus)).alias("n_no_letters"))
+
+
+@R.query(f"WITH t AS (SELECT doc_id, text, {_DEDUP} AS t FROM documents WHERE {_ASCII}), e AS (SELECT min(doc_id) AS doc_id, any_value(t) AS t FROM t GROUP BY text), f AS (SELECT min(doc_id) AS doc_id FROM e GROUP BY t) SELECT (SELECT count(*) FROM t) AS n_rows, (SELECT count(*) FROM t) - (SELECT count(*) FROM e) AS n_exact, (SELECT count(*) FROM e) - (SELECT count(*) FROM f) AS n_near, (SELECT count(*) FROM f) AS n_left")
+def tx19_staged_dedup(spark, d):
+    """The part of tx19_all_texts that its SQL lists: ASCII texts."""
+    return stages(table(spark, d, "documents").where(F.col("text").rlike("^[\\x00-\\x7f]*$"))).drop("n_no_letters")
+
+
+@R.query()
+def tx19_all_texts(spark, d):
+    """The stages over every text."""
+    return stages(table(spark, d, "documents"))
 
 
 @R.query("WITH g AS (SELECT group_key, count(*) AS n, count(DISTINCT customer_rating) AS labels FROM split_assignments WHERE group_key IS NOT NULL GROUP BY 1) SELECT count(*) FILTER (WHERE labels > 1) AS n_keys, CAST(coalesce(sum(n) FILTER (WHERE labels > 1), 0) AS BIGINT) AS n_rows FROM g")

@@ -1,6 +1,8 @@
 """Whole jobs that no SQL is compared with, against plain Python on small tables."""
 
 import datetime as dt
+import hashlib
+import re
 
 from cartloom.plans import catalogue
 
@@ -28,3 +30,23 @@ def test_all_windows_of_all_suppliers(spark, tmp_path):
 
 def test_all_windows_of_no_lines(spark, tmp_path):
     assert run(spark, tmp_path, "jn11_12_all_windows", supplier=([(1,)], "s_suppkey bigint"), lineitem=([], "l_suppkey bigint, l_shipdate timestamp")) == []
+
+
+TEXTS = ["Olá, Ação!", "ola acao", "l ao", "Olá, Ação!", "شكرا", "شكراً", "شكرا", "Straße 7", "STRASSE 7", "strae 7", "İzmir \u212aelvin", "izmir kelvin", "a  b\tc", "a bc", "", None, None, "none", "Ünï", "12", "\u0661\u0662"]
+SCHEMA = "doc_id bigint, text string"
+
+
+def normal(text):
+    return re.sub(r"\s+", " ", re.sub("[^a-z0-9 ]", "", str(text).lower())).strip()
+
+
+def test_stages_over_all_texts(spark, tmp_path):
+    (got,) = run(spark, tmp_path, "tx19_all_texts", documents=(list(enumerate(TEXTS)), SCHEMA))
+    exact = list(dict.fromkeys(TEXTS))
+    left = {normal(t) for t in exact}
+    assert got.asDict() == {"n_rows": len(TEXTS), "n_exact": len(TEXTS) - len(exact), "n_near": len(exact) - len(left), "n_left": len(left), "n_no_letters": sum(normal(t) == "" for t in exact) - 1}
+
+
+def test_stages_over_no_texts(spark, tmp_path):
+    (got,) = run(spark, tmp_path, "tx19_all_texts", documents=([], SCHEMA))
+    assert set(got) == {0}
