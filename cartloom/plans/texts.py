@@ -99,10 +99,17 @@ _ASCII = "regexp_full_match(text, '[\\x00-\\x7f]*')"
 
 @R.query(f"SELECT doc_id, sha256(text) AS raw_key, sha256({_DEDUP}) AS normal_key FROM documents WHERE {_ASCII}")
 def tx03_04_keys(spark, d):
-    """Exact and normalized keys of the ASCII texts (lower case of other letters differs between engines)."""
+    """The part of tx03_04_all_keys that its SQL lists: ASCII texts (lower case of other letters differs between engines)."""
     return table(spark, d, "documents").where(F.col("text").rlike("^[\\x00-\\x7f]*$")).select("doc_id", F.sha2("text", 256).alias("raw_key"), F.sha2(T.dedup_text("text"), 256).alias("normal_key"))
 
 
+@R.query()
+def tx03_04_all_keys(spark, d):
+    """Exact and normalized keys of every document; a null text has the keys of the empty one."""
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select("doc_id", F.sha2(text, 256).alias("raw_key"), F.sha2(T.dedup_text(text), 256).alias("normal_key"))
+
+
 @R.query()
 def tx05_07_unicode_forms(spark, d):
     docs = table(spark, d, "documents")

@@ -50,3 +50,11 @@ def test_stages_over_all_texts(spark, tmp_path):
 def test_stages_over_no_texts(spark, tmp_path):
     (got,) = run(spark, tmp_path, "tx19_all_texts", documents=([], SCHEMA))
     assert set(got) == {0}
+
+
+def test_keys_of_all_texts(spark, tmp_path):
+    got = run(spark, tmp_path, "tx03_04_all_keys", documents=(list(enumerate(TEXTS)), SCHEMA))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert {r.doc_id: (r.raw_key, r.normal_key) for r in got} == {i: (sha(t or ""), sha(normal(t or ""))) for i, t in enumerate(TEXTS)}
+    keys = {r.doc_id: r.normal_key for r in got}
+    assert (keys[0], keys[4], keys[10]) == (sha("ol ao"), sha(""), sha("izmir kelvin"))
