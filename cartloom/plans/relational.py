@@ -11,6 +11,7 @@ from cartloom.functions.keys import clean_id, one_record
 from cartloom.operators import contracts as C
 from cartloom.operators import profile as P
 from cartloom.operators import windows as W
+from cartloom.plans.problems import _PREDICTIONS, iso_time
 from cartloom.plans.registry import Registry
 from cartloom.sources.tables import table, tables
 
@@ -213,11 +214,21 @@ def jn11_12_all_windows(spark, d):
 @R.query("""SELECT count(*) AS n_predictions, count(*) FILTER (WHERE v.first IS NULL) AS n_without, count(*) FILTER (WHERE v.first > CAST(left(replace(p.features_as_of, 'T', ' '), 19) AS TIMESTAMP)) AS n_before FROM (SELECT DISTINCT prediction_id, seller_id, features_as_of FROM prediction_log WHERE features_as_of LIKE '%Z') p
   LEFT JOIN (SELECT seller_id, min(recorded_at) AS first FROM seller_history GROUP BY 1) v USING (seller_id)""")
 def jn13_point_in_time_audit(spark, d):
+    """The part of jn13_all_notations that its SQL lists: times written with Z."""
     p = table(spark, d, "prediction_log").where("features_as_of like '%Z'").select("prediction_id", "seller_id", F.expr("try_cast(features_as_of as timestamp)").alias("at")).distinct()
     v = table(spark, d, "seller_history").groupBy("seller_id").agg(F.min("recorded_at").cast("timestamp").alias("first"))
     return p.join(v, "seller_id", "left").agg(N().alias("n_predictions"), F.count_if(F.col("first").isNull()).alias("n_without"), F.count_if(F.col("first") > F.col("at")).alias("n_before"))
 
 
+@R.query(f"""WITH {_PREDICTIONS}, p AS (SELECT DISTINCT prediction_id, nullif(seller_id, '') AS seller_id, moment FROM e) SELECT count(*) AS n_predictions, count(*) FILTER (WHERE moment IS NULL) AS n_no_time, count(*) FILTER (WHERE v.first IS NULL) AS n_without, count(*) FILTER (WHERE v.first > moment) AS n_before FROM p
+  LEFT JOIN (SELECT lower(trim(seller_id)) AS seller_id, min(recorded_at) AS first FROM seller_history GROUP BY 1) v USING (seller_id)""")
+def jn13_all_notations(spark, d):
+    """Every prediction, its time in any notation: how many have no readable time, no history, a history recorded only later."""
+    p = table(spark, d, "prediction_log").select("prediction_id", clean_id("seller_id").alias("seller_id"), iso_time("features_as_of").alias("at")).distinct()
+    v = table(spark, d, "seller_history").groupBy(clean_id("seller_id").alias("seller_id")).agg(F.min("recorded_at").cast("timestamp").alias("first"))
+    return p.join(v, "seller_id", "left").agg(N().alias("n_predictions"), F.count_if(F.col("at").isNull()).alias("n_no_time"), F.count_if(F.col("first").isNull()).alias("n_without"), F.count_if(F.col("first") > F.col("at")).alias("n_before"))
+
+
 @R.query("SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey")
 def jn14_validated_merge(spark, d):
     o, c = tables(spark, d, "orders", "customer")

@@ -58,3 +58,11 @@ def test_keys_of_all_texts(spark, tmp_path):
     assert {r.doc_id: (r.raw_key, r.normal_key) for r in got} == {i: (sha(t or ""), sha(normal(t or ""))) for i, t in enumerate(TEXTS)}
     keys = {r.doc_id: r.normal_key for r in got}
     assert (keys[0], keys[4], keys[10]) == (sha("ol ao"), sha(""), sha("izmir kelvin"))
+
+
+def test_audit_of_all_notations(spark, tmp_path):
+    known = dt.datetime(2022, 1, 1, 12)
+    times = {"2022-01-01T11:59:59Z": 1, "2022-01-01T13:00:00+02:00": 1, "2022-01-01T08:59:59.5-03:00": 1, "2022-01-01 11:00:00": 1, "2022-01-01T13:59:59.25+02:00": 1, "2022-01-01T12:00:00": 0, "2022-01-01T14:00:00+02:00": 0, "2022-01-01T09:30:00.125-03:00": 0, "2022-01-01T12:00:00Z": 0, "soon": 0, None: 0}
+    log = [(f"p{i}", " S1 " if i % 2 else "s1", t) for i, t in enumerate(times)] + [("q", "s2", "2022-01-01T00:00:00+00:00"), ("r", None, "2022-01-01T00:00:00")]
+    (got,) = run(spark, tmp_path, "jn13_all_notations", prediction_log=(log + log[:4], "prediction_id string, seller_id string, features_as_of string"), seller_history=([("s1", known), ("S1", known + DAY)], "seller_id string, recorded_at timestamp"))
+    assert got.asDict() == {"n_predictions": len(log), "n_no_time": 2, "n_without": 2, "n_before": sum(times.values())}
