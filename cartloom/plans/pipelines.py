@@ -14,6 +14,7 @@ from cartloom.operators import profile as P
 from cartloom.operators import windows as W
 from cartloom.plans.registry import Registry
 from cartloom.plans.relational import ITEMS, ORDERS, PAYMENTS, items, orders, payments
+from cartloom.session import cut
 from cartloom.sources import io
 from cartloom.sources.tables import table
 from cartloom.streaming import events as E
@@ -301,21 +302,60 @@ def fq09_known_tier(spark, d):
     return rows.select("order_id", F.when(known, F.col("tier")).alias("tier"), F.when(known, S.seconds_between("won", "bought")).otherwise(-1).alias("age_seconds"))
 
 
-@R.query(f"""WITH {ORDERS}, n AS (SELECT customer_id, any_value(customer_state) AS node FROM olist_customers_dataset GROUP BY 1), x AS (SELECT node, CAST(bought AS DATE) AS day, date_diff('second', bought, delivered) / 86400.0::DOUBLE AS days FROM o JOIN n USING (customer_id) WHERE bought IS NOT NULL AND delivered IS NOT NULL AND node IS NOT NULL),
-  g AS (SELECT node, CAST(unnest(generate_series(DATE '2021-03-01', DATE '2021-05-31', INTERVAL 1 DAY)) AS DATE) AS start FROM (SELECT DISTINCT node FROM x)) SELECT g.node, g.start, count(x.day) FILTER (WHERE x.day < g.start + 14) AS n_before, round(avg(days) FILTER (WHERE x.day < g.start + 14), 9) AS mean_before, count(x.day) FILTER (WHERE x.day >= g.start + 14) AS n_after, round(avg(days) FILTER (WHERE x.day >= g.start + 14), 9) AS mean_after FROM g LEFT JOIN x ON x.node = g.node AND x.day >= g.start AND x.day < g.start + 28 GROUP BY 1, 2""")
-def fq10_node_windows(spark, d):
-    """For each state and start day, the 14 days from it and the 14 after: sums per day first, then windows over a dense grid."""
+def node_days(spark, d):
+    """node (state), day, n, s: delivered orders bought on that day and their days to delivery; n_late, late: those that had a due time and their seconds of delay."""
     n = one_record(table(spark, d, "olist_customers_dataset"), ["customer_id"], ["customer_state"]).withColumnRenamed("customer_state", "node")
     x = orders(spark, d).where("bought is not null and delivered is not null").join(n, "customer_id").where("node is not null")
-    per = x.groupBy("node", F.to_date("bought").alias("day")).agg(N().alias("n"), F.sum(S.seconds_between("bought", "delivered") / F.lit(86400.0)).alias("s"))
-    days = F.sequence(F.lit(dt.date(2021, 3, 1)), F.lit(dt.date(2021, 6, 27)))
+    return x.groupBy("node", F.to_date("bought").alias("day")).agg(N().alias("n"), F.sum(S.seconds_between("bought", "delivered") / F.lit(86400.0)).alias("s"), F.count("due").alias("n_late"), F.sum(S.seconds_between("due", "delivered")).alias("late"))
+
+
+def node_windows(per, first, last):
+    """For each node and start day from first to last, the 14 days from it and the 14 after, over a dense grid of days; delays in seconds."""
+    days = F.sequence(F.lit(first), F.lit(last + dt.timedelta(27)))
     grid = per.select("node").distinct().select("node", F.explode(days).alias("day"))
     dense = grid.join(per, ["node", "day"], "left")
     w = Window.partitionBy("node").orderBy("day")
     total = lambda c, a, b: F.sum(c).over(w.rowsBetween(a, b))
     mean = lambda a, b: F.round(F.try_divide(total("s", a, b), total("n", a, b)), 9)
-    out = dense.select("node", F.col("day").alias("start"), F.coalesce(total("n", 0, 13), F.lit(0)).alias("n_before"), mean(0, 13).alias("mean_before"), F.coalesce(total("n", 14, 27), F.lit(0)).alias("n_after"), mean(14, 27).alias("mean_after"))
-    return out.where(F.col("start") <= dt.date(2021, 5, 31))
+    delay = lambda a, b: F.try_divide(total("late", a, b).cast("double"), total("n_late", a, b))
+    out = dense.select("node", F.col("day").alias("start"), F.coalesce(total("n", 0, 13), F.lit(0)).alias("n_before"), mean(0, 13).alias("mean_before"), F.coalesce(total("n", 14, 27), F.lit(0)).alias("n_after"), mean(14, 27).alias("mean_after"), delay(0, 13).alias("delay_before"), delay(14, 27).alias("delay_after"))
+    return out.where(F.col("start") <= last)
+
+
+@R.query(f"""WITH {ORDERS}, n AS (SELECT customer_id, any_value(customer_state) AS node FROM olist_customers_dataset GROUP BY 1), x AS (SELECT node, CAST(bought AS DATE) AS day, date_diff('second', bought, delivered) / 86400.0::DOUBLE AS days FROM o JOIN n USING (customer_id) WHERE bought IS NOT NULL AND delivered IS NOT NULL AND node IS NOT NULL),
+  g AS (SELECT node, CAST(unnest(generate_series(DATE '2021-03-01', DATE '2021-05-31', INTERVAL 1 DAY)) AS DATE) AS start FROM (SELECT DISTINCT node FROM x)) SELECT g.node, g.start, count(x.day) FILTER (WHERE x.day < g.start + 14) AS n_before, round(avg(days) FILTER (WHERE x.day < g.start + 14), 9) AS mean_before, count(x.day) FILTER (WHERE x.day >= g.start + 14) AS n_after, round(avg(days) FILTER (WHERE x.day >= g.start + 14), 9) AS mean_after FROM g LEFT JOIN x ON x.node = g.node AND x.day >= g.start AND x.day < g.start + 28 GROUP BY 1, 2""")
+def fq10_node_windows(spark, d):
+    """The part of fq10_all_windows that its SQL lists: the starts of three months, without the baseline."""
+    rows = node_windows(node_days(spark, d), dt.date(2021, 3, 1), dt.date(2021, 5, 31))
+    return rows.select("node", "start", "n_before", "mean_before", "n_after", "mean_after")
+
+
+@R.query()
+def fq10_all_windows(spark, d):
+    """Every state and start day up to 28 days before the last order, in parts of 70/15/15 % of the starts.
+
+    mu is the state's mean delay (delivered less due, in days) over the orders of the train part's windows, that of all states
+    where it has none; worse: whether the 14 days after have a larger mean, null where no delay is known.
+    """
+    per = cut(node_days(spark, d))
+    first, end = per.agg(F.min("day"), F.max("day")).first()
+    if first is None or end - first < dt.timedelta(28):  # no whole window
+        first, last, n = dt.date(1970, 1, 2), dt.date(1970, 1, 1), 0
+    else:
+        last = end - dt.timedelta(28)
+        n = (last - first).days + 1
+    n_train, n_val = round(0.70 * n), round(0.15 * n)
+    pool = per.where(F.col("day") < first + dt.timedelta(n_train - 1 + 28))
+    late = F.try_divide(F.sum("late").cast("double"), F.sum("n_late"))
+    everywhere = pool.agg(late).first()[0]
+    mu = pool.groupBy("node").agg(late.alias("own"))
+    rows = node_windows(per, first, last).join(mu, "node", "left").withColumn("mu", F.coalesce("own", F.lit(everywhere).cast("double")))
+    at = F.datediff("start", F.lit(first))
+    days = lambda c: F.round(F.col(c) / 86400.0, 9).alias(c)
+    return rows.select(
+        "node", "start", "n_before", "mean_before", "n_after", "mean_after", days("delay_before"), days("delay_after"), days("mu"), (F.col("delay_after") > F.col("mu")).cast("int").alias("worse"),
+        F.when(at < n_train, "train").when(at < n_train + n_val, "val").otherwise("test").alias("part"),
+    )
 
 
 @R.query("SELECT order_status, count(*) AS n, count(*) - count(order_approved_at) AS no_approval, count(*) - count(order_delivered_carrier_date) AS no_carrier, count(*) - count(order_delivered_customer_date) AS no_delivery FROM olist_orders_dataset GROUP BY 1")

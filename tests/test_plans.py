@@ -2,8 +2,11 @@
 
 import datetime as dt
 import hashlib
+import random
 import re
 
+import pytest
+
 from cartloom.plans import catalogue
 
 DAY = dt.timedelta(days=1)
@@ -66,3 +69,41 @@ def test_audit_of_all_notations(spark, tmp_path):
     log = [(f"p{i}", " S1 " if i % 2 else "s1", t) for i, t in enumerate(times)] + [("q", "s2", "2022-01-01T00:00:00+00:00"), ("r", None, "2022-01-01T00:00:00")]
     (got,) = run(spark, tmp_path, "jn13_all_notations", prediction_log=(log + log[:4], "prediction_id string, seller_id string, features_as_of string"), seller_history=([("s1", known), ("S1", known + DAY)], "seller_id string, recorded_at timestamp"))
     assert got.asDict() == {"n_predictions": len(log), "n_no_time": 2, "n_without": 2, "n_before": sum(times.values())}
+
+
+def shop(rows):
+    """Tables of orders (state, bought, delivered, due), one customer each."""
+    o = [(f"o{i}", f"c{i}", "delivered", b, b, b, x, due, None) for i, (_, b, x, due) in enumerate(rows)]
+    times = ", ".join(f"{c} timestamp" for c in ("order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date", "order_delivered_customer_date", "order_estimated_delivery_date", "deleted_at"))
+    return {"olist_orders_dataset": (o, f"order_id string, customer_id string, order_status string, {times}"), "olist_customers_dataset": ([(f"c{i}", r[0]) for i, r in enumerate(rows)], "customer_id string, customer_state string")}
+
+
+def test_all_node_windows(spark, tmp_path):
+    rng = random.Random(4)
+    t0 = dt.datetime(2020, 12, 20, 15)
+    ends = [("A", t0, t0 + 2 * DAY, t0 + DAY), ("A", t0 + 90 * DAY, t0 + 93 * DAY, t0 + 95 * DAY)]
+    some = [(rng.choice("AAAB"), b := t0 + DAY * rng.randrange(1, 90), b + DAY * rng.randrange(1, 9), b + DAY * rng.randrange(1, 9)) for _ in range(120)]
+    new = [("N", t0 + 85 * DAY, t0 + 89 * DAY, t0 + 85 * DAY), ("N", t0 + 70 * DAY, None, t0 + 85 * DAY), ("B", t0 + 30 * DAY, t0 + 33 * DAY, None)]
+    rows = ends + some + new
+    got = run(spark, tmp_path, "fq10_all_windows", **shop(rows))
+    known = [(k, b.date(), (x - b) / DAY, (x - due) / DAY if due else None) for k, b, x, due in rows if x]
+    starts = [t0.date() + DAY * i for i in range(63)]  # the last order is on day 90
+    n_train, n_val = round(0.7 * 63), round(0.15 * 63)
+    assert len(got) == 3 * len(starts)
+    mean = lambda v: sum(v) / len(v) if v else None
+    near = lambda v: None if v is None else pytest.approx(v, abs=1e-8)
+    pool = [(k, late) for k, day, _, late in known if day < starts[n_train - 1] + 28 * DAY and late is not None]
+    for r in got:
+        a, b = ([(x, late) for k, day, x, late in known if k == r.node and r.start + DAY * at <= day < r.start + DAY * (at + 14)] for at in (0, 14))
+        own = [late for k, late in pool if k == r.node]
+        mu, after = mean(own or [late for _, late in pool]), mean([late for _, late in b if late is not None])
+        assert (r.n_before, r.mean_before, r.n_after, r.mean_after) == (len(a), near(mean([x for x, _ in a])), len(b), near(mean([x for x, _ in b])))
+        assert (r.delay_before, r.delay_after, r.mu) == (near(mean([late for _, late in a if late is not None])), near(after), near(mu))
+        assert r.worse == (None if after is None else int(after > mu + 1e-9))
+        i = starts.index(r.start)
+        assert r.part == ("train" if i < n_train else "val" if i < n_train + n_val else "test")
+
+
+def test_node_windows_of_a_short_table(spark, tmp_path):
+    t0 = dt.datetime(2021, 1, 1)
+    assert run(spark, tmp_path, "fq10_all_windows", **shop([("A", t0, t0, t0), ("A", t0 + 27 * DAY, t0 + 28 * DAY, None)])) == []
