@@ -6,7 +6,7 @@ no task has to hold a whole group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartloom.operators.windows import running_totals, running_within
@@ -110,3 +110,35 @@ def interval(replicates: DataFrame, column: str, level: float = 0.95) -> DataFra
     """(low, high): percentile interval."""
     low = (1 - level) / 2
     return replicates.agg(F.percentile(column, F.lit(low)).alias("low"), F.percentile(column, F.lit(1 - low)).alias("high"))
+
+
+def calibration_choice(metrics: DataFrame, raw: str, tolerance: float = 0.005) -> DataFrame:
+    """metrics (candidate, auc, brier, ece; a row each) with the two rules of taking a calibrated score.
+
+    chosen: the lowest Brier score of raw and those whose AUC is at most `tolerance` below raw's. accepted: Brier score and
+    calibration error are both below raw's.
+    """
+    w = Window.partitionBy(F.lit(0))
+    is_raw = F.col("candidate") == raw
+    of_raw = lambda c: F.max(F.when(is_raw, F.col(c))).over(w)
+    allowed = is_raw | F.coalesce(F.col("auc") >= of_raw("auc") - tolerance, F.lit(False))
+    accepted = (F.col("brier") < of_raw("brier")) & (F.col("ece") < of_raw("ece"))
+    rows = metrics.withColumn("allowed", allowed).withColumn("accepted", accepted)
+    best = F.min(F.when(F.col("allowed"), F.struct("brier", (~is_raw).alias("other"), "candidate"))).over(w)
+    return rows.withColumn("_best", best).withColumn("chosen", F.col("candidate") == F.col("_best.candidate")).drop("_best")
+
+
+def evidence_label(delta: Column, ci_low: Column, folds_improved: Column, proven: Column, identical: Column, degraded: Column) -> Column:
+    """What a gain in average precision is evidence of; `proven`: the features were known at the time."""
+    none = F.lit("NO_INCREMENTAL_SIGNAL")
+    gain = (delta > 0) & ((ci_low > 0) | (folds_improved > 0))
+    return F.when(identical, none).when(degraded, "DEGRADED_PERFORMANCE").when(gain & proven, "SUPPORTED_INCREMENTAL_SIGNAL").when(gain, "INCONCLUSIVE_INCREMENTAL_SIGNAL").otherwise(none)
+
+
+def challenger_wins(sets: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """(replaces): from a row per validation set with delta (challenger less champion), low, high of its interval and the weak
+    class's F1 of both (weak_new, weak_old): every set's interval excludes zero and favours the challenger, no weak F1 is worse
+    by more than `tolerance`. At least two sets are needed."""
+    better = ((F.col("low") > 0) | (F.col("high") < 0)) & (F.col("delta") > 0)
+    kept = F.col("weak_new") >= F.col("weak_old") - tolerance
+    return sets.agg((F.coalesce(F.every(F.coalesce(better & kept, F.lit(False))), F.lit(False)) & (F.count(F.lit(1)) >= 2)).alias("replaces"))

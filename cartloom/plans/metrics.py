@@ -243,3 +243,14 @@ def mt22_26_27_29_choice(spark, d):
     m = scored(spark, d).groupBy("g").agg(N().alias("n"), F.avg(gap * gap).alias("brier"))
     m = m.withColumn("least", F.min("brier").over(Window.partitionBy(F.lit(0))))
     return m.agg(F.min(F.when(F.col("brier") <= F.col("least") + 0.005, F.col("n"))).alias("plateau_size"), F.min_by("g", F.struct("brier", "g")).alias("best"))
+
+
+@R.query()
+def mt26_29_calibration(spark, d):
+    """Three scores of the same predictions (raw, shrunk, one for all): AUC, Brier score and calibration error, and both rules of taking one instead of raw."""
+    scores = F.array(*[F.struct(F.lit(n).alias("candidate"), c.alias("s")) for n, c in (("raw", F.col("s")), ("shrunk", (F.col("s") + 0.1) / 1.2), ("flat", F.lit(0.1)))])
+    rows = cut(scored(spark, d).select("y", F.explode(scores).alias("c")).select("y", "c.candidate", "c.s"))
+    gap = F.col("s") - F.col("y")
+    ece = M.calibration_errors(M.reliability(rows, ["candidate"]), ["candidate"]).select("candidate", "ece")
+    m = M.roc_auc(rows, ["candidate"]).join(rows.groupBy("candidate").agg(F.avg(gap * gap).alias("brier")), "candidate").join(ece, "candidate")
+    return rounded(M.calibration_choice(m, "raw"), "candidate", "allowed", "accepted", "chosen")

@@ -6,7 +6,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from cartloom.operators import metrics as M
 from cartloom.plans import catalogue
 
 DAY = dt.timedelta(days=1)
@@ -107,3 +109,31 @@ def test_all_node_windows(spark, tmp_path):
 def test_node_windows_of_a_short_table(spark, tmp_path):
     t0 = dt.datetime(2021, 1, 1)
     assert run(spark, tmp_path, "fq10_all_windows", **shop([("A", t0, t0, t0), ("A", t0 + 27 * DAY, t0 + 28 * DAY, None)])) == []
+
+
+@pytest.mark.parametrize("candidates, chosen, accepted", [
+    ([("raw", 0.8, 0.2, 0.1), ("a", 0.5, 0.1, 0.05), ("b", 0.796, 0.15, 0.2)], "b", {"a"}),  # a has the least Brier, but its AUC collapses
+    ([("raw", 0.8, 0.2, 0.1), ("a", 0.5, 0.1, 0.2)], "raw", set()),
+    ([("raw", 0.8, 0.2, 0.1), ("a", 0.9, 0.2, 0.05)], "raw", set()),
+    ([("raw", 0.8, 0.2, 0.1), ("a", 0.8, 0.19, 0.09)], "a", {"a"}),
+])
+def test_calibration_choice(spark, candidates, chosen, accepted):
+    got = M.calibration_choice(spark.createDataFrame(candidates, "candidate string, auc double, brier double, ece double"), "raw").collect()
+    assert [r.candidate for r in got if r.chosen] == [chosen] and {r.candidate for r in got if r.accepted} == accepted
+
+
+def test_evidence_label(spark):
+    cases = [(0.1, 0.01, 3, False, False, False, "INCONCLUSIVE_INCREMENTAL_SIGNAL"), (0.1, 0.01, 3, True, False, False, "SUPPORTED_INCREMENTAL_SIGNAL"), (0.1, -0.01, 1, True, False, False, "SUPPORTED_INCREMENTAL_SIGNAL"), (0.1, -0.01, 0, True, False, False, "NO_INCREMENTAL_SIGNAL"), (0.0, 0.0, 0, False, True, False, "NO_INCREMENTAL_SIGNAL"), (-0.1, -0.2, 0, False, False, True, "DEGRADED_PERFORMANCE"), (0.0, 0.0, 0, False, False, False, "NO_INCREMENTAL_SIGNAL")]
+    df = spark.createDataFrame(cases, "a double, b double, c int, d boolean, e boolean, f boolean, want string")
+    assert all(r.got == r.want for r in df.select("want", M.evidence_label(*map(F.col, "abcdef")).alias("got")).collect())
+
+
+@pytest.mark.parametrize("sets, wins", [
+    ([(0.1, 0.01, 0.2, 0.5, 0.505), (0.1, 0.02, 0.2, 0.6, 0.5)], True),
+    ([(-0.1, -0.2, -0.01, 0.5, 0.5), (0.1, 0.02, 0.2, 0.5, 0.5)], False),  # excludes zero, but favours the champion
+    ([(0.1, -0.01, 0.2, 0.5, 0.5), (0.1, 0.02, 0.2, 0.5, 0.5)], False),
+    ([(0.1, 0.01, 0.2, 0.4, 0.5), (0.1, 0.02, 0.2, 0.5, 0.5)], False),
+    ([(0.1, 0.01, 0.2, 0.5, 0.5)], False),
+])
+def test_challenger_wins(spark, sets, wins):
+    assert M.challenger_wins(spark.createDataFrame(sets, "delta double, low double, high double, weak_new double, weak_old double")).first()[0] is wins
