@@ -199,7 +199,7 @@ def interval_grid(suppliers: DataFrame, lines: DataFrame, first: dt.date | None,
 @R.query("""WITH g AS (SELECT s_suppkey, CAST(unnest(generate_series(TIMESTAMP '1997-01-01', TIMESTAMP '1997-03-31', INTERVAL 7 DAY)) AS DATE) AS day FROM supplier WHERE s_suppkey <= 20)
   SELECT s_suppkey, day, count(l_shipdate) AS n FROM g LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_shipdate >= day AND l_shipdate < day + INTERVAL 14 DAY GROUP BY 1, 2""")
 def jn11_12_interval_grid(spark, d):
-    """The part of jn11_12_all_windows that its SQL lists: 20 suppliers, a start a week, 13 weeks."""
+    """The part of jn11_12_all_windows that its SQL lists: suppliers up to key 20, a start a week, 13 starts."""
     return interval_grid(table(spark, d, "supplier").where("s_suppkey <= 20"), table(spark, d, "lineitem").where("l_suppkey <= 20"), dt.date(1997, 1, 1), dt.date(1997, 3, 31), 7)
 
 
