@@ -196,6 +196,36 @@ def test_coverage(spark):
     assert {r.doc_id: (r.n_words, r.covered) for r in overlap.coverage(df).collect()} == {2: (15, 10), 3: (3, 0), 4: (16, 16), 5: (2, 2)}
 
 
+def test_interval_over_borders(spark):
+    shared = "a b c d e f g h i j"
+    rows = [(i, f"x{i} {shared} y{i}" if i % 7 else f"only{i} here{i}", i % 3 == 0, i % 3 != 0) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, train boolean, held boolean")
+    reps = overlap.classes(overlap.encoded(df))
+    for depth in (3, 8):
+        got = overlap.suffix_array(reps, depth).collect()
+        members = [r for r in rows if r[0] % 7]
+        assert {(r.n_train, r.n_held) for r in got} == {(sum(r[2] for r in members), sum(r[3] for r in members))}
+        assert len(got) == len(members) * (10 - depth + 1) and len({r.span for r in got}) == 10 - depth + 1
+    assert {r.covered for r in overlap.coverage(df).collect()} == {0, 10}
+
+
+def test_report_counts_equal_the_pairs(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abcdefgh", k=12)) for _ in range(12)]
+    rows = [(i, rng.choice(texts), rng.random() < 0.6, rng.random() < 0.5) for i in range(120)]
+    found = overlap.Overlaps(spark.createDataFrame(rows, "doc_id bigint, text string, train boolean, held boolean"))
+    assert {r.doc_held: r.n for r in found.counts().collect()} == Counter(r.doc_held for r in found.pairs().collect())
+
+
+def test_codes_of_several_texts():
+    texts = [None, "", "a b", "a\x1ec <b>&lt;i&gt;d", "?!", "é"]
+    codes, starts = overlap.text_codes(texts)
+    assert np.diff(starts).tolist() == [0, 0, 2, 3, 0, 1] == [len(overlap.plain_words(t)) for t in texts]
+    alone = [overlap.text_codes([t])[0].tolist() for t in texts]
+    assert sum(alone, []) == codes.tolist()
+    assert overlap.text_codes([None])[1].tolist() == [0, 0] and overlap.plain_words("<" + "b " * 5000 + ">x") == ["x"]
+
+
 # --- problem 8
 
 
