@@ -197,8 +197,7 @@ def suffix_array(reps: DataFrame, depth: int, places: bool = False) -> DataFrame
     two rows per task.
     """
     rows = suffixes(reps, depth, places)
-    order = ["prefix", "rep"]
-    ordered = rows.repartitionByRange(shuffle_width(reps.sparkSession), *order).sortWithinPartitions(*order)
+    ordered = rows.repartitionByRange(shuffle_width(reps.sparkSession), "prefix", "rep").sortWithinPartitions("prefix")
     names = ["span", "rep", "mark", *(["at"] if places else []), "n_train", "n_held", "border"]
 
     def emit(words: np.ndarray, rest: pa.Table, starts: np.ndarray, border: int) -> Iterator[pa.RecordBatch]:
