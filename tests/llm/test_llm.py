@@ -312,19 +312,66 @@ def model():
 
 def test_segments(model):
     for lang, texts in SAMPLES.items():
-        assert [s[2] for s in model.segments(texts[0])] == [lang]
+        assert [s[2] for s in model.segments([texts[0]])[0]] == [lang]
     mixed = f"{SAMPLES['en'][0]} {SAMPLES['en'][1]} “{SAMPLES['de'][0]}” Petor TS-12 9!"
-    assert {s[2] for s in model.segments(mixed)} == {"en", "de"}
-    spans = model.segments(mixed)
+    assert {s[2] for s in model.segments([mixed])[0]} == {"en", "de"}
+    spans = model.segments([mixed])[0]
     assert all(a[1] <= b[0] for a, b in itertools.pairwise(spans)) and "Paket" in mixed[spans[1][0] : spans[1][1]]
     for nothing in (None, "", " ", "12 × 5/5 #33", "Petor 97918"):
-        assert [s[2] for s in model.segments(nothing)] == ["und"]
+        assert [s[2] for s in model.segments([nothing])[0]] == ["und"]
 
 
 def test_awkward_texts(model):
     for text in ("x" * 300_000, "<" * 100_000, " " * 300_000 + "the parcel", "a1" * 100_000, "\n" * 100_000, "the parcel arrived on time. " * 20_000, '"' * 50_000):
-        assert model.segments(text)
-    assert langid.train([]).segments("the parcel")[0][2:] == ("und", 0.0)
+        assert model.segments([text])[0]
+    assert langid.train([]).segments(["the parcel"])[0][0][2:] == ("und", 0.0)
+
+
+def test_a_batch_is_judged_as_its_texts_alone(model):
+    rng = random.Random(10)
+    texts = [None, "", "12", *[" ".join(rng.choice(rng.choice(list(SAMPLES.values()))) for _ in range(rng.randrange(1, 6))) for _ in range(60)]]
+    texts.insert(7, " ".join(SAMPLES["de"] * 3000))  # n-grams of one text over several slices
+    together = model.segments(texts)
+    assert together == [model.segments([t])[0] for t in texts] and {x[2] for x in together[7]} == {"de"}
+
+
+def test_out_of_place_distance_by_hand(model):
+    sentence = "der kessel kam und der kessel ging"
+    counts = Counter(g for w in sentence.split() for g in langid.grams(w))
+    known = {g: n for g, n in counts.items() if g in model.index}
+    place = {g: sum(m > n for m in known.values()) + (sum(m == n for m in known.values()) - 1) / 2 for g, n in known.items()}
+    others = sum(n for g, n in counts.items() if g not in model.index)
+    got, letters = model.distances([sentence, "Ωμέγα", "x7"])
+    for k, language in enumerate(model.languages):
+        ranks = {g: i for i, g in enumerate(model.profiles[language])}
+        want = (sum(abs(ranks.get(g, langid.PROFILE) - p) for g, p in place.items()) + others * langid.PROFILE) / (len(known) + others)
+        assert got[0, k] == pytest.approx(want, rel=1e-4)
+    assert letters.tolist() == [28, 0, 0]
+
+
+def test_short_sentences_are_judged(spark):
+    docs = spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    trained = langid.train(langid.training_sample(docs, 200))
+    assert {s[2] for s in trained.segments(["The parcel arrived on time. لماذا؟ My sister had warned me about it."])[0]} == {"en", "ar"}
+    assert {s[2] for s in trained.segments(["The parcel arrived on time. Ok. My sister had warned me about it."])[0]} == {"en"}
+
+
+def test_names_of_any_shape_are_no_evidence(spark):
+    docs = spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    sample = langid.training_sample(docs, 200)
+    trained = langid.train(sample)
+    rng = random.Random(11)
+    part = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5)))
+    shapes = [lambda: part().title(), lambda: f"{part().title()}-{part().title()}", lambda: f"{part().title()} {part().title()}", lambda: f"«{part().title()}»", lambda: f"{part().title()}, {part().title()}"]
+    same, n = 0, 0
+    for _, text in sample[:400]:
+        words = text.split(" ")
+        at = rng.randrange(len(words) + 1)
+        told = {s[2] for s in trained.segments([text])[0]}
+        named = " ".join([*words[:at], rng.choice(shapes)(), *words[at:]])
+        same += {s[2] for s in trained.segments([named])[0]} == told
+        n += 1
+    assert same >= 0.97 * n
 
 
 def test_labels(spark):
@@ -346,6 +393,6 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.01')}/documents.parquet")
     trained = langid.train(langid.training_sample(docs, 40))
     held = [(r.label, r.text) for r in docs.select(langid.label_language("lang").alias("label"), "text").where("label is not null and label <> 'und' and text is not null").collect()]
-    told = [(label, {s[2] for s in trained.segments(text)}) for label, text in held]
+    told = [(label, {s[2] for s in trained.segments([text])[0]}) for label, text in held]
     single = [(label, found) for label, found in told if len(found) == 1]
     assert sum(found == {label} for label, found in single) / len(single) > 0.9
