@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -23,25 +26,16 @@ _MENTION = re.compile(r"(?<!\w)@\w+")
 _HASH = re.compile(r"#(?=\w)")
 _CLEAN = str.maketrans({c: None for c in INVISIBLE + STRETCH} | {c: ALEF for c in ALEFS})
 _ONLY_MARKS = re.compile(f"[{MARKS}]")
-_KEPT = re.compile("|".join(map(re.escape, (URL, MENTION, REPEAT))))
+_KEPT = re.compile(f"({'|'.join(map(re.escape, (URL, MENTION, REPEAT)))})")
+#: One punctuation character three times or more.
+_REPEATED = regex.compile(r"(\p{P})\1{2,}")
 
 
-def _shorten(text: str) -> str:
-    """Runs of three or more of one punctuation character become the placeholder."""
-    out, i = [], 0
-    while i < len(text):
-        j = i + 1
-        while j < len(text) and text[j] == text[i]:
-            j += 1
-        out.append(REPEAT if j - i >= 3 and unicodedata.category(text[i])[0] == "P" else text[i:j])
-        i = j
-    return "".join(out)
-
-
-def _lower_latin(text: str) -> str:
-    if text.isascii():
-        return text.lower()
-    return "".join(c.lower() if c.isascii() or "LATIN" in unicodedata.name(c, "") else c for c in text)
+@lru_cache(maxsize=1)
+def _latin_lower() -> dict[int, str]:
+    """Code point of each Latin letter that has a lower case -> that."""
+    cased = (c for c in map(chr, range(sys.maxunicode + 1)) if c.lower() != c)
+    return {ord(c): c.lower() for c in cased if "LATIN" in unicodedata.name(c, "")}
 
 
 def contract_text(text: str | None) -> str | None:
@@ -52,12 +46,9 @@ def contract_text(text: str | None) -> str | None:
     text = " ".join(unicodedata.normalize("NFC", text).translate({ord(c): None for c in INVISIBLE}).split())
     text = _ONLY_MARKS.sub("", text.translate(_CLEAN))
     text = _HASH.sub("", _MENTION.sub(MENTION, _URL.sub(URL, text)))
-    text = _shorten(text)
-    parts, kept = _KEPT.split(text), _KEPT.findall(text)
-    out = _lower_latin(parts[0])
-    for placeholder, part in zip(kept, parts[1:]):
-        out += placeholder + _lower_latin(part)
-    return out
+    text = _REPEATED.sub(REPEAT, text)
+    # placeholders keep their capitals
+    return "".join(part if part in (URL, MENTION, REPEAT) else part.translate(_latin_lower()) for part in _KEPT.split(text))
 
 
 def _series(function):

@@ -2,8 +2,8 @@
 
 Method: event-contribution deltas. A daily amount is added on its day and subtracted once it leaves the
 window; the running sum of the deltas is the trailing total. Between two days with a delta nothing changes,
-so days without activity are filled from the interval they lie in. Amounts are summed in integer units of
-1/10000, so what was added is subtracted without a rounding rest.
+so days without activity are filled from the interval they lie in. Amounts are summed in integer units (a
+parameter: 1/10000 unless said otherwise), so what was added is subtracted without a rounding rest.
 """
 
 from __future__ import annotations
@@ -13,20 +13,20 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Integer units of an amount.
+#: Integer units in an amount of 1: amounts are rounded to so many parts.
 UNITS = 10_000
 
 
-def daily_amounts(records: DataFrame, entity: str, day: str, amount: str) -> DataFrame:
-    """entity, day, n (records), units (sum of the amount): combined on the map side, so no entity is too large."""
-    units = F.round(F.col(amount) * UNITS).cast("bigint")
+def daily_amounts(records: DataFrame, entity: str, day: str, amount: str, parts: int = UNITS) -> DataFrame:
+    """entity, day, n (records), units (sum of the amount in parts of 1/parts): combined on the map side, so no entity is too large."""
+    units = F.round(F.col(amount) * parts).cast("bigint")
     return records.where(F.col(entity).isNotNull() & F.col(day).isNotNull()).groupBy(F.col(entity).alias("entity"), F.col(day).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(units), F.lit(0)).alias("units"), F.count(amount).alias("priced"))
 
 
-def trailing(daily: DataFrame, windows: list[int], last_day: dt.date) -> DataFrame:
+def trailing(daily: DataFrame, windows: list[int], last_day: dt.date, parts: int = UNITS) -> DataFrame:
     """entity, day, first_day and for each window w: items_w, total_w, avg_w (per record with an amount; null without one).
 
-    One row for each day from the entity's first to `last_day`. Days after last_day are not used. The rows of an
+    parts: as given to daily_amounts. One row for each day from the entity's first to `last_day`. Days after last_day are not used. The rows of an
     entity are at most (1 + windows) x days of the calendar, whatever its number of records.
     """
     cols = [c for w in windows for c in (f"n{w}", f"u{w}", f"p{w}")]
@@ -46,7 +46,7 @@ def trailing(daily: DataFrame, windows: list[int], last_day: dt.date) -> DataFra
     for w in windows:
         out += [
             F.col(f"n{w}").alias(f"items_{w}"),
-            (F.col(f"u{w}") / F.lit(float(UNITS))).alias(f"total_{w}"),
-            F.when(F.col(f"p{w}") > 0, F.col(f"u{w}") / F.lit(float(UNITS)) / F.col(f"p{w}")).alias(f"avg_{w}"),
+            (F.col(f"u{w}") / F.lit(float(parts))).alias(f"total_{w}"),
+            F.when(F.col(f"p{w}") > 0, F.col(f"u{w}") / F.lit(float(parts)) / F.col(f"p{w}")).alias(f"avg_{w}"),
         ]
     return days.select("entity", "day", "first_day", *out)

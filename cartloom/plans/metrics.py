@@ -210,11 +210,15 @@ def mt20_univariate_auc(spark, d):
 _MONTHLY = "m AS (SELECT g, month, avg((s - y) * (s - y)) AS brier FROM t WHERE month IS NOT NULL GROUP BY 1, 2)"
 
 
-@R.query(f"WITH {SCORED}, {_MONTHLY} SELECT a.month, round(a.brier - b.brier, 8) AS delta FROM m a JOIN m b ON a.month = b.month WHERE a.g = 'v2' AND b.g = 'v3'")
+@R.query(f"WITH {SCORED}, {_MONTHLY} SELECT a.g AS old, b.g AS new, a.month, round(a.brier - b.brier, 8) AS delta FROM m a JOIN m b ON a.month = b.month AND a.g < b.g")
 def mt21_period_deltas(spark, d):
+    """Every two models' Brier scores of the same month compared: a row per month and pair of models."""
     gap = F.col("s") - F.col("y")
-    m = scored(spark, d).where("month is not null and g in ('v2', 'v3')").groupBy("month").pivot("g", ["v2", "v3"]).agg(F.avg(gap * gap))
-    return m.where("v2 is not null and v3 is not null").select("month", F.round(F.col("v2") - F.col("v3"), 8).alias("delta"))
+    m = scored(spark, d).where("month is not null").groupBy("g", "month").agg(F.avg(gap * gap).alias("b"))
+    per = m.groupBy("month").agg(F.array_sort(F.collect_list(F.struct("g", "b"))).alias("v"))  # the models of a month: versions, not data
+    older = per.select("month", "v", F.posexplode("v").alias("at", "o"))
+    pairs = older.select("month", "o", F.explode(F.slice("v", F.col("at") + 2, F.size("v"))).alias("n"))
+    return pairs.select(F.col("o.g").alias("old"), F.col("n.g").alias("new"), "month", F.round(F.col("o.b") - F.col("n.b"), 8).alias("delta"))
 
 
 @R.query(f"WITH {SCORED}, {_MONTHLY}, k AS (SELECT g, avg(brier) AS mean, max(brier) AS worst, coalesce(stddev_samp(brier), 0) AS std, count(*) AS n FROM m GROUP BY 1) SELECT g, round(mean, 8) AS mean, round(worst, 8) AS worst, round(std, 8) AS std, n, row_number() OVER (ORDER BY mean, worst, g) AS rank, row_number() OVER (ORDER BY mean, worst, g) = 1 AS winner FROM k")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from cartloom.plans.registry import Registry
 from cartloom.plans.relational import ITEMS, ORDERS, PAYMENTS, items, orders, payments
 from cartloom.session import cut
 from cartloom.sources import io
-from cartloom.sources.tables import table
+from cartloom.sources.tables import TABLES, table
 from cartloom.streaming import events as E
 
 R = Registry()
@@ -92,9 +93,17 @@ def io21_json_keys(spark, d):
 
 
 @R.query()
-def io20_21_file_facts(spark, d):
-    """Bytes and SHA-256 of the files of a table."""
-    return io.file_facts(spark, f"{d}/nation.parquet").select("bytes", "sha256")
+def io21_file_facts(spark, d):
+    """Bytes and SHA-256 of the files of all tables."""
+    facts = [io.file_facts(spark, table(spark, d, t).inputFiles()).select(F.lit(t).alias("table_name"), "bytes", "sha256") for t in TABLES]
+    return reduce(DataFrame.unionByName, facts)
+
+
+@R.query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, (SELECT count(*) FROM (DESCRIBE SELECT * FROM {t})) AS n_columns FROM {t}" for t in TABLES))
+def io20_footers(spark, d):
+    """Rows and columns of every table from the footers of its files; no data is read."""
+    facts = [io.footer_facts(table(spark, d, t)).select(F.lit(t).alias("table_name"), "n_rows", "n_columns") for t in TABLES]
+    return reduce(DataFrame.unionByName, facts).groupBy("table_name").agg(F.sum("n_rows").alias("n_rows"), F.max("n_columns").alias("n_columns"))
 
 
 @R.query(f"WITH {ORDERS}, {ITEMS}, {PAYMENTS} SELECT o.order_id, status, order_item_id, product_id, payment_type FROM o LEFT JOIN i USING (order_id) LEFT JOIN (SELECT order_id, payment_type FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY payment_sequential) AS rn FROM p) WHERE rn = 1) q USING (order_id)")
@@ -309,7 +318,7 @@ def node_days(spark, d):
     return x.groupBy("node", F.to_date("bought").alias("day")).agg(N().alias("n"), F.sum(S.seconds_between("bought", "delivered") / F.lit(86400.0)).alias("s"), F.count("due").alias("n_late"), F.sum(S.seconds_between("due", "delivered")).alias("late"))
 
 
-def node_windows(per, first, last):
+def _windows_of(per, first, last):
     """For each node and start day from first to last, the 14 days from it and the 14 after, over a dense grid of days; delays in seconds."""
     days = F.sequence(F.lit(first), F.lit(last + dt.timedelta(27)))
     grid = per.select("node").distinct().select("node", F.explode(days).alias("day"))
@@ -322,16 +331,15 @@ def node_windows(per, first, last):
     return out.where(F.col("start") <= last)
 
 
-@R.query(f"""WITH {ORDERS}, n AS (SELECT customer_id, any_value(customer_state) AS node FROM olist_customers_dataset GROUP BY 1), x AS (SELECT node, CAST(bought AS DATE) AS day, date_diff('second', bought, delivered) / 86400.0::DOUBLE AS days FROM o JOIN n USING (customer_id) WHERE bought IS NOT NULL AND delivered IS NOT NULL AND node IS NOT NULL),
-  g AS (SELECT node, CAST(unnest(generate_series(DATE '2021-03-01', DATE '2021-05-31', INTERVAL 1 DAY)) AS DATE) AS start FROM (SELECT DISTINCT node FROM x)) SELECT g.node, g.start, count(x.day) FILTER (WHERE x.day < g.start + 14) AS n_before, round(avg(days) FILTER (WHERE x.day < g.start + 14), 9) AS mean_before, count(x.day) FILTER (WHERE x.day >= g.start + 14) AS n_after, round(avg(days) FILTER (WHERE x.day >= g.start + 14), 9) AS mean_after FROM g LEFT JOIN x ON x.node = g.node AND x.day >= g.start AND x.day < g.start + 28 GROUP BY 1, 2""")
+@R.query(f"""WITH {ORDERS}, c AS (SELECT customer_id, any_value(customer_state) AS node FROM olist_customers_dataset GROUP BY 1), x AS (SELECT node, CAST(bought AS DATE) AS day, date_diff('second', bought, delivered) / 86400.0::DOUBLE AS days, date_diff('second', due, delivered) AS late FROM o JOIN c USING (customer_id) WHERE bought IS NOT NULL AND delivered IS NOT NULL AND node IS NOT NULL),
+  e AS (SELECT min(day) AS a, max(day) - 28 AS b, date_diff('day', min(day), max(day)) - 27 AS n FROM x), g AS (SELECT node, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS start FROM (SELECT DISTINCT node FROM x), e),
+  u AS (SELECT node, late FROM x, e WHERE late IS NOT NULL AND day < a + CAST(round(0.70 * n) AS INT) + 27), m AS (SELECT node, sum(late) / CAST(count(*) AS DOUBLE) AS mu FROM u GROUP BY 1),
+  w AS (SELECT g.node, g.start, count(x.day) FILTER (WHERE x.day < g.start + 14) AS n_before, round(avg(days) FILTER (WHERE x.day < g.start + 14), 9) AS mean_before, count(x.day) FILTER (WHERE x.day >= g.start + 14) AS n_after, round(avg(days) FILTER (WHERE x.day >= g.start + 14), 9) AS mean_after,
+    sum(late) FILTER (WHERE x.day < g.start + 14) / CAST(count(late) FILTER (WHERE x.day < g.start + 14) AS DOUBLE) AS db, sum(late) FILTER (WHERE x.day >= g.start + 14) / CAST(count(late) FILTER (WHERE x.day >= g.start + 14) AS DOUBLE) AS da FROM g LEFT JOIN x ON x.node = g.node AND x.day >= g.start AND x.day < g.start + 28 GROUP BY 1, 2),
+  y AS (SELECT w.*, coalesce(m.mu, (SELECT sum(late) / CAST(count(*) AS DOUBLE) FROM u)) AS own, date_diff('day', (SELECT a FROM e), start) AS at_day FROM w LEFT JOIN m USING (node))
+  SELECT node, start, n_before, mean_before, n_after, mean_after, round(db / 86400, 9) AS delay_before, round(da / 86400, 9) AS delay_after, round(own / 86400, 9) AS mu, CAST(da > own AS INT) AS worse,
+    CASE WHEN at_day < (SELECT CAST(round(0.70 * n) AS INT) FROM e) THEN 'train' WHEN at_day < (SELECT CAST(round(0.70 * n) AS INT) + CAST(round(0.15 * n) AS INT) FROM e) THEN 'val' ELSE 'test' END AS part FROM y""")
 def fq10_node_windows(spark, d):
-    """The part of fq10_all_windows that its SQL lists: the starts of three months, without the baseline."""
-    rows = node_windows(node_days(spark, d), dt.date(2021, 3, 1), dt.date(2021, 5, 31))
-    return rows.select("node", "start", "n_before", "mean_before", "n_after", "mean_after")
-
-
-@R.query()
-def fq10_all_windows(spark, d):
     """Every state and start day up to 28 days before the last order, in parts of 70/15/15 % of the starts.
 
     mu is the state's mean delay (delivered less due, in days) over the orders of the train part's windows, that of all states
@@ -349,7 +357,7 @@ def fq10_all_windows(spark, d):
     late = F.try_divide(F.sum("late").cast("double"), F.sum("n_late"))
     everywhere = pool.agg(late).first()[0]
     mu = pool.groupBy("node").agg(late.alias("own"))
-    rows = node_windows(per, first, last).join(mu, "node", "left").withColumn("mu", F.coalesce("own", F.lit(everywhere).cast("double")))
+    rows = _windows_of(per, first, last).join(mu, "node", "left").withColumn("mu", F.coalesce("own", F.lit(everywhere).cast("double")))
     at = F.datediff("start", F.lit(first))
     days = lambda c: F.round(F.col(c) / 86400.0, 9).alias(c)
     return rows.select(

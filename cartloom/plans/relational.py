@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -182,47 +180,27 @@ def jn09_two_havings(spark, d):
     return items(spark, d).where("seller_id is not null").groupBy("seller_id").agg(N().alias("n"), F.avg("price").alias("p")).where("n >= 50 and p > 60").select("seller_id")
 
 
-def interval_grid(suppliers: DataFrame, lines: DataFrame, first: dt.date | None, last: dt.date | None, step: int = 1) -> DataFrame:
-    """(s_suppkey, day, n): lines shipped in the 14 days from each start, for every supplier and each `step`th day from first to last.
+@R.query("""WITH e AS (SELECT CAST(min(l_shipdate) AS DATE) AS a, CAST(max(l_shipdate) AS DATE) AS b FROM lineitem), g AS (SELECT s_suppkey, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT s_suppkey FROM supplier WHERE s_suppkey IS NOT NULL), e),
+  x AS (SELECT l_suppkey AS s_suppkey, CAST(unnest(generate_series(CAST(l_shipdate AS DATE) - 13, CAST(l_shipdate AS DATE), INTERVAL 1 DAY)) AS DATE) AS day FROM lineitem WHERE l_shipdate IS NOT NULL), n AS (SELECT s_suppkey, day, count(*) AS n FROM x GROUP BY 1, 2)
+  SELECT s_suppkey, day, coalesce(n, 0) AS n FROM g LEFT JOIN n USING (s_suppkey, day)""")
+def jn11_12_interval_grid(spark, d):
+    """(s_suppkey, day, n): lines shipped in the 14 days from each day between the first and the last ship date, for every supplier.
 
     Lines are counted per day first and summed over a dense calendar, so a large supplier has no more rows than there are days.
     """
-    nodes = suppliers.select("s_suppkey").where("s_suppkey is not null").distinct()
+    lines = table(spark, d, "lineitem")
+    first, last = lines.agg(F.to_date(F.min("l_shipdate")), F.to_date(F.max("l_shipdate"))).first()
+    nodes = table(spark, d, "supplier").select("s_suppkey").where("s_suppkey is not null").distinct()
     per = lines.select(F.col("l_suppkey").alias("s_suppkey"), F.to_date("l_shipdate").alias("day")).where("s_suppkey is not null and day is not null").groupBy("s_suppkey", "day").agg(N().alias("n"))
     start, end = F.lit(first).cast("date"), F.lit(last).cast("date")
     dense = nodes.select("s_suppkey", F.explode(F.sequence(start, F.date_add(end, 13))).alias("day")).join(per, ["s_suppkey", "day"], "left")
     w = Window.partitionBy("s_suppkey").orderBy("day").rowsBetween(0, 13)
-    windows = dense.select("s_suppkey", "day", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n"))
-    return windows.where((F.col("day") <= end) & (F.datediff("day", start) % step == 0))
-
-
-@R.query("""WITH g AS (SELECT s_suppkey, CAST(unnest(generate_series(TIMESTAMP '1997-01-01', TIMESTAMP '1997-03-31', INTERVAL 7 DAY)) AS DATE) AS day FROM supplier WHERE s_suppkey <= 20)
-  SELECT s_suppkey, day, count(l_shipdate) AS n FROM g LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_shipdate >= day AND l_shipdate < day + INTERVAL 14 DAY GROUP BY 1, 2""")
-def jn11_12_interval_grid(spark, d):
-    """The part of jn11_12_all_windows that its SQL lists: suppliers up to key 20, a start a week, 13 starts."""
-    return interval_grid(table(spark, d, "supplier").where("s_suppkey <= 20"), table(spark, d, "lineitem").where("l_suppkey <= 20"), dt.date(1997, 1, 1), dt.date(1997, 3, 31), 7)
-
-
-@R.query()
-def jn11_12_all_windows(spark, d):
-    """Two-week windows of every supplier from every day between the first and the last ship date, the empty ones too."""
-    lines = table(spark, d, "lineitem")
-    first, last = lines.agg(F.to_date(F.min("l_shipdate")), F.to_date(F.max("l_shipdate"))).first()
-    return interval_grid(table(spark, d, "supplier"), lines, first, last)
-
-
-@R.query("""SELECT count(*) AS n_predictions, count(*) FILTER (WHERE v.first IS NULL) AS n_without, count(*) FILTER (WHERE v.first > CAST(left(replace(p.features_as_of, 'T', ' '), 19) AS TIMESTAMP)) AS n_before FROM (SELECT DISTINCT prediction_id, seller_id, features_as_of FROM prediction_log WHERE features_as_of LIKE '%Z') p
-  LEFT JOIN (SELECT seller_id, min(recorded_at) AS first FROM seller_history GROUP BY 1) v USING (seller_id)""")
-def jn13_point_in_time_audit(spark, d):
-    """The part of jn13_all_notations that its SQL lists: times written with Z."""
-    p = table(spark, d, "prediction_log").where("features_as_of like '%Z'").select("prediction_id", "seller_id", F.expr("try_cast(features_as_of as timestamp)").alias("at")).distinct()
-    v = table(spark, d, "seller_history").groupBy("seller_id").agg(F.min("recorded_at").cast("timestamp").alias("first"))
-    return p.join(v, "seller_id", "left").agg(N().alias("n_predictions"), F.count_if(F.col("first").isNull()).alias("n_without"), F.count_if(F.col("first") > F.col("at")).alias("n_before"))
+    return dense.select("s_suppkey", "day", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n")).where(F.col("day") <= end)
 
 
 @R.query(f"""WITH {_PREDICTIONS}, p AS (SELECT DISTINCT prediction_id, nullif(seller_id, '') AS seller_id, moment FROM e) SELECT count(*) AS n_predictions, count(*) FILTER (WHERE moment IS NULL) AS n_no_time, count(*) FILTER (WHERE v.first IS NULL) AS n_without, count(*) FILTER (WHERE v.first > moment) AS n_before FROM p
   LEFT JOIN (SELECT lower(trim(seller_id)) AS seller_id, min(recorded_at) AS first FROM seller_history GROUP BY 1) v USING (seller_id)""")
-def jn13_all_notations(spark, d):
+def jn13_point_in_time_audit(spark, d):
     """Every prediction, its time in any notation: how many have no readable time, no history, a history recorded only later."""
     p = table(spark, d, "prediction_log").select("prediction_id", clean_id("seller_id").alias("seller_id"), iso_time("features_as_of").alias("at")).distinct()
     v = table(spark, d, "seller_history").groupBy(clean_id("seller_id").alias("seller_id")).agg(F.min("recorded_at").cast("timestamp").alias("first"))

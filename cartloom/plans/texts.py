@@ -69,12 +69,22 @@ def sc19_20_sp01_hash_partition(spark, d):
     return b.select("user_id", "bucket", F.when(F.col("bucket") < 0.20, "test").when(F.col("bucket") < 0.36, "evaluate").otherwise("fit").alias("part"))
 
 
-@R.query("SELECT event_type, count(*) AS n_ids, CAST(sum(CAST(concat('0x', substr(md5(CAST(user_id AS VARCHAR)), 1, 8)) AS BIGINT)) AS BIGINT) AS digest FROM (SELECT DISTINCT event_type, user_id FROM events WHERE user_id IS NOT NULL) GROUP BY 1")
+_QUARTERS = ", ".join(f"CAST(sum(CAST(concat('0x', substr(h, {i * 8 + 1}, 8)) AS BIGINT)) AS BIGINT)" for i in range(4))
+
+
+@R.query(f"SELECT event_type, count(*) AS n_ids, concat_ws(':', {_QUARTERS}) AS digest FROM (SELECT DISTINCT event_type, md5(CAST(user_id AS VARCHAR)) AS h FROM events WHERE user_id IS NOT NULL) GROUP BY 1")
 def sc21_set_digest(spark, d):
-    """An order-free digest of each set of ids: their number and the sum of hashes, so no set is gathered."""
-    ids = table(spark, d, "events").where("user_id is not null").select("event_type", "user_id").distinct()
-    part = F.conv(F.substring(F.md5(F.col("user_id").cast("string")), 1, 8), 16, 10).cast("bigint")
-    return ids.groupBy("event_type").agg(N().alias("n_ids"), F.sum(part).alias("digest"))
+    """An order-free digest of each set of ids: their number and the sums of the four quarters of their 128-bit hashes, so no set is gathered."""
+    ids = table(spark, d, "events").where("user_id is not null").select("event_type", "user_id").distinct().withColumn("h", F.md5(F.col("user_id").cast("string")))
+    sums = [F.sum(F.conv(F.substring("h", i * 8 + 1, 8), 16, 10).cast("bigint")).cast("string") for i in range(4)]
+    return ids.groupBy("event_type").agg(N().alias("n_ids"), F.concat_ws(":", *sums).alias("digest"))
+
+
+@R.query("SELECT event_type, sha256(string_agg(CAST(user_id AS VARCHAR), chr(10) ORDER BY CAST(user_id AS VARCHAR))) AS digest FROM (SELECT DISTINCT event_type, user_id FROM events WHERE user_id IS NOT NULL) GROUP BY 1")
+def sc21_sorted_digest(spark, d):
+    """The SHA-256 of the sorted ids, one to a line: for small sets, as each is gathered; sc21_set_digest is for the others."""
+    ids = table(spark, d, "events").where("user_id is not null").select("event_type", F.col("user_id").cast("string").alias("id")).distinct()
+    return ids.groupBy("event_type").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n"), 256).alias("digest"))
 
 
 @R.query("""WITH l AS (SELECT event_id, [value / 10, 3.0, ln(1 + value)] AS z FROM events), e AS (SELECT event_id, z, [exp(x - list_max(z)) for x in z] AS p FROM l) SELECT event_id, round(p[1] / list_sum(p), 6) AS p0, round(p[2] / list_sum(p), 6) AS p1, list_position(z, list_max(z)) - 1 AS best FROM e""")
@@ -93,23 +103,22 @@ def tx01_02_contract(spark, d):
     return table(spark, d, "documents").select("doc_id", T.contract_column("text").alias("normal"), T.is_minimal_empty("text").alias("is_empty"))
 
 
-_DEDUP = "trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
-_ASCII = "regexp_full_match(text, '[\\x00-\\x7f]*')"
+_DEDUP = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
 
 
-@R.query(f"SELECT doc_id, sha256(text) AS raw_key, sha256({_DEDUP}) AS normal_key FROM documents WHERE {_ASCII}")
+@R.query(f"SELECT doc_id, sha256(coalesce(text, '')) AS raw_key, sha256({_DEDUP.format("coalesce(text, '')")}) AS normal_key FROM documents")
 def tx03_04_keys(spark, d):
-    """The part of tx03_04_all_keys that its SQL lists: ASCII texts (lower case of other letters differs between engines)."""
-    return table(spark, d, "documents").where(F.col("text").rlike("^[\\x00-\\x7f]*$")).select("doc_id", F.sha2("text", 256).alias("raw_key"), F.sha2(T.dedup_text("text"), 256).alias("normal_key"))
-
-
-@R.query()
-def tx03_04_all_keys(spark, d):
     """Exact and normalized keys of every document; a null text has the keys of the empty one."""
     text = F.coalesce("text", F.lit(""))
     return table(spark, d, "documents").select("doc_id", F.sha2(text, 256).alias("raw_key"), F.sha2(T.dedup_text(text), 256).alias("normal_key"))
 
 
+@R.query()
+def tx03_contract_key(spark, d):
+    """The normalized key over the contract's form (TX01) instead; compared with literal cases in the tests."""
+    return table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce(T.contract_column("text"), F.lit("")), 256).alias("contract_key"))
+
+
 @R.query()
 def tx05_07_unicode_forms(spark, d):
     docs = table(spark, d, "documents")
@@ -183,7 +192,7 @@ def tx17_21_exact_duplicates(spark, d):
     return g.agg(F.count_if(F.col("n") > 1).alias("n_groups"), many.alias("n_rows"), F.sum(F.col("n") - 1).alias("n_surplus"), F.round(many / F.sum("n"), 8).alias("share"))
 
 
-@R.query(f"""WITH t AS (SELECT doc_id, {_DEDUP} AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT t, min(doc_id) AS class_id, count(*) AS copies FROM t WHERE t <> '' GROUP BY 1),
+@R.query(f"""WITH t AS (SELECT doc_id, {_DEDUP.format("text")} AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT t, min(doc_id) AS class_id, count(*) AS copies FROM t WHERE t <> '' GROUP BY 1),
   s AS (SELECT class_id, copies, array_to_string(string_split(t, ' ')[1:2], ' ') AS bucket, CASE WHEN length(t) >= 5 THEN list_distinct([substr(t, i, 5) for i in range(1, length(t) - 3)]) ELSE [t] END AS g FROM c),
   p AS (SELECT a.class_id AS a, b.copies AS n FROM s a JOIN s b ON a.bucket = b.bucket AND a.class_id <> b.class_id AND least(len(a.g), len(b.g)) >= 0.85 * greatest(len(a.g), len(b.g)) WHERE len(list_intersect(a.g, b.g)) >= 0.85 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))),
   l AS (SELECT a AS class_id, sum(n) AS other FROM p GROUP BY 1) SELECT doc_id, c.class_id, CAST(copies - 1 + coalesce(other, 0) AS BIGINT) AS n_links FROM t JOIN c USING (t) LEFT JOIN l USING (class_id)""")
@@ -205,14 +214,8 @@ def stages(docs):
     return near.agg(total(F.col("n")).alias("n_rows"), total(F.col("n") - F.col("m")).alias("n_exact"), total(surplus).alias("n_near"), N().alias("n_left"), total(F.when(F.col("t") == "", surplus)).alias("n_no_letters"))
 
 
-@R.query(f"WITH t AS (SELECT doc_id, text, {_DEDUP} AS t FROM documents WHERE {_ASCII}), e AS (SELECT min(doc_id) AS doc_id, any_value(t) AS t FROM t GROUP BY text), f AS (SELECT min(doc_id) AS doc_id FROM e GROUP BY t) SELECT (SELECT count(*) FROM t) AS n_rows, (SELECT count(*) FROM t) - (SELECT count(*) FROM e) AS n_exact, (SELECT count(*) FROM e) - (SELECT count(*) FROM f) AS n_near, (SELECT count(*) FROM f) AS n_left")
+@R.query(f"WITH e AS (SELECT text, {_DEDUP.format("coalesce(text, 'None')")} AS t, count(*) AS n FROM documents GROUP BY 1, 2), f AS (SELECT t, CAST(sum(n) AS BIGINT) AS n, count(*) AS m FROM e GROUP BY 1) SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n_rows, CAST(coalesce(sum(n - m), 0) AS BIGINT) AS n_exact, CAST(coalesce(sum(m - 1), 0) AS BIGINT) AS n_near, count(*) AS n_left, CAST(coalesce(sum(m - 1) FILTER (WHERE t = ''), 0) AS BIGINT) AS n_no_letters FROM f")
 def tx19_staged_dedup(spark, d):
-    """The part of tx19_all_texts that its SQL lists: ASCII texts."""
-    return stages(table(spark, d, "documents").where(F.col("text").rlike("^[\\x00-\\x7f]*$"))).drop("n_no_letters")
-
-
-@R.query()
-def tx19_all_texts(spark, d):
     """The stages over every text."""
     return stages(table(spark, d, "documents"))
 

@@ -26,9 +26,15 @@ def get_session(app: str = "cartloom", master: str | None = None, **conf: str) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, else one of our own (tests)."""
+    """The folder all executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset, a session on one machine (a local master, as in tests) gets a folder of its own; on a cluster that is an error,
+    as a folder of one machine would lose the parts that the others write.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="cartloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

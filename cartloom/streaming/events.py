@@ -6,6 +6,7 @@ remembers where it was; its checkpoint lies in the shared folder.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from cartloom.session import shared_folder
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def file_stream(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
     """A stream of the Parquet files at `path` (a file or a folder); the last letter is made a pattern, which either matches."""
@@ -20,36 +23,51 @@ def file_stream(spark: SparkSession, path: str, files_per_batch: int = 8) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_to_end(stream: DataFrame, handle, checkpoint: str) -> None:
-    query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-
-
 def handle_once(stream: DataFrame, key: str, order: list[str], log: str, checkpoint: str) -> DataFrame:
     """Appends the first event of each key to `log`; an event delivered again, in any batch or run, changes nothing.
 
-    Within a batch the first by `order` counts. A batch that is repeated after a failure replaces what it wrote (its folder is
-    named by the batch number), so the log has each key once.
+    Within a batch the first by `order` counts. Which keys have been seen is kept in the state store (a row per key, in the
+    checkpoint), so a batch costs what it holds, not what the log does: a key is new where its first arrival is this batch's.
+    A batch that is repeated after a failure has its old time and replaces what it wrote (its folder is named by the batch
+    number), so the log has each key once.
     """
     spark = stream.sparkSession
     columns = [c for c in stream.columns if c != key]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    arrived = stream.where(F.col(key).isNotNull()).withColumn("_at", F.current_timestamp())
+    seen = arrived.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct("_at", *order)).alias("_e"), F.min("_at").alias("_first"), F.max("_at").alias("_last"))
 
     def handle(batch: DataFrame, number: int) -> None:
-        first = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_e")).select(key, "_e.*")
-        known = read_log(batch.sparkSession, log, stream.schema, before=number)
-        first.join(known.select(key), key, "left_anti").write.mode("overwrite").parquet(f"{log}/batch={number}")
+        new = batch.where("_first = _last").select(key, "_e.*").select(*stream.columns)
+        new.write.mode("overwrite").parquet(f"{log}/batch={number}")
 
-    run_to_end(stream, handle, checkpoint)
+    query = seen.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
     return read_log(spark, log, stream.schema)
 
 
-def read_log(spark: SparkSession, log: str, schema, before: int | None = None) -> DataFrame:
+def read_log(spark: SparkSession, log: str, schema) -> DataFrame:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return spark.createDataFrame([], schema)
-    rows = spark.read.parquet(log)
-    return (rows.where(F.col("batch") < before) if before is not None else rows).select(*schema.fieldNames())
+    return spark.read.schema(schema).parquet(log).select(*schema.fieldNames())
+
+
+def call_with_retries(call, request, waits: tuple[float, ...] = (0.2, 0.5), timeout: float = 5.0, final: tuple[int, ...] = (422,)):
+    """(status, answer) of call(request, timeout), for a service that a task of mapInPandas asks.
+
+    A failed call (an exception, or a status of 500 or more) is repeated after each of `waits` seconds; a status in `final` is never.
+    The last failure is (0, its text) or the status. Each call has `timeout` seconds, which it is handed.
+    """
+    for wait in (*waits, None):
+        try:
+            status, answer = call(request, timeout)
+        except Exception as error:
+            status, answer = 0, str(error)
+        if status in final or 0 < status < 500 or wait is None:
+            return status, answer
+        time.sleep(wait)
 
 
 def windowed_counts(stream: DataFrame, time: str, width: str, late: str, keys: list[str], log: str, checkpoint: str) -> DataFrame:

@@ -10,8 +10,8 @@ from cartloom.session import get_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = get_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
+def spark(tmp_path_factory):
+    session = get_session("tests", "local[4]", **{"spark.checkpoint.dir": tmp_path_factory.mktemp("shared").as_uri(), "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

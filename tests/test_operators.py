@@ -176,15 +176,71 @@ def test_tsv_quotes_and_arity(spark, tmp_path):
         io.read_tsv_strict(spark, str(tmp_path / "b.tsv"), ["a", "b"]).collect()
 
 
-def test_jsonl_gz_and_xlsx(spark, tmp_path):
+def test_jsonl_gz(spark, tmp_path):
     with gzip.open(tmp_path / "a.jsonl.gz", "wt") as f:
         f.write('{"rating": 5.0, "images": [{"u": "x"}]}\n')
     assert io.read_jsonl(spark, str(tmp_path / "a.jsonl.gz"), "rating double, images array<struct<u:string>>").first().rating == 5.0
-    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
-        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>name</t></si><si><t>é</t></si></sst>")
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>n</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="C2"><v>7</v></c></row></sheetData></worksheet>')
-    assert [tuple(r) for r in io.read_xlsx(spark, str(tmp_path / "a.xlsx")).collect()] == [("é", None, "7")]
+
+
+MAIN, LINK = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def workbook(path, sheets, first, strings=""):
+    """A workbook whose sheets (part -> rows) are listed with `first` at the beginning."""
+    order = [first, *(n for n in sheets if n != first)]
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN}" xmlns:r="{LINK}"><sheets>' + "".join(f'<sheet name="{n}" r:id="id-{n}"/>' for n in order) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="id-{n}" Target="{n if n.startswith("/") else "worksheets/" + n}"/>' for n in sheets) + "</Relationships>")
+        if strings:
+            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{MAIN}">{strings}</sst>')
+        for n, rows in sheets.items():
+            z.writestr(n.lstrip("/") if n.startswith("/") else f"xl/worksheets/{n}", f'<worksheet xmlns="{MAIN}"><sheetData>{rows}</sheetData></worksheet>')
+
+
+def test_xlsx_reads_the_first_sheet(spark, tmp_path):
+    path = str(tmp_path / "a.xlsx")
+    good = '<row><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>n</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="C2"><v>7</v></c></row><row/><row><c><v>a</v></c><c><v>b</v></c><c r="AA4"><v>z</v></c></row>'
+    other = '<row><c r="A1"><v>wrong</v></c></row>'
+    strings = "<si><t>name</t></si><si><r><t>é</t></r><rPh><t>reading</t></rPh><r><t>t</t></r></si>"
+    want = [("ét", None, "7"), (None, None, None), ("a", "b", None)]
+    for first in ("sheet2.xml", "/other/one.xml"):
+        workbook(path, {"sheet1.xml": other, first: good}, first, strings)
+        got = io.read_xlsx(spark, path)
+        assert got.columns == ["name", "column1", "n"] and [tuple(r) for r in got.collect()] == want
+    workbook(path, {"sheet1.xml": ""}, "sheet1.xml")
+    assert io.read_xlsx(spark, path).collect() == [] and io.read_xlsx(spark, path).columns == []
+
+
+def test_publish_loses_nothing_when_a_rename_fails(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    io.publish(spark.range(3), out)
+    rename = io._rename
+
+    def fails(fs, source, target):
+        if "staging" in source.toString():
+            raise OSError("no")
+        rename(fs, source, target)
+
+    monkeypatch.setattr(io, "_rename", fails)
+    with pytest.raises(OSError):
+        io.publish(spark.range(4), out, force=True)
+    assert spark.read.parquet(out).count() == 3
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["out"]
+
+
+def test_unpack_and_fetch(tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/y.txt", "hello")
+    assert io.unpack(tmp_path / "a.zip", tmp_path / "in" / "b") == ["x/y.txt"] and (tmp_path / "in" / "b" / "x" / "y.txt").read_text() == "hello"
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("../y.txt", "out")
+    with pytest.raises(C.ContractError):
+        io.unpack(tmp_path / "bad.zip", tmp_path / "c")
+    url = (tmp_path / "a.zip").as_uri()
+    assert io.fetch(url, tmp_path / "copy.zip", io.sha256_of(tmp_path / "a.zip")).read_bytes() == (tmp_path / "a.zip").read_bytes()
+    with pytest.raises(C.ContractError):
+        io.fetch(url, tmp_path / "wrong.zip", "0")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.zip", "bad.zip", "copy.zip", "in"]
 
 
 def test_publish_guards_and_ledger(spark, tmp_path):
@@ -206,8 +262,8 @@ def test_publish_guards_and_ledger(spark, tmp_path):
         io.validate_raw(tmp_path / "e.jsonl")
     io.write_report(spark.range(2), tmp_path / "r.json")
     assert (tmp_path / "r.json").read_text().startswith("[")
-    files = [str(p) for p in (tmp_path / "out").glob("*.parquet")]
-    assert sum(rows for _, rows, _, _ in io.footer_facts(files)) == 4
+    facts = io.footer_facts(spark.read.parquet(out)).collect()
+    assert sum(r.n_rows for r in facts) == 4 and {r.n_columns for r in facts} == {1}
 
 
 # --- texts
@@ -219,6 +275,9 @@ def test_publish_guards_and_ledger(spark, tmp_path):
     ("أحـمـدٌ ​آب", "احمد اب"),
     ("Ça ÉTÉ ؟؟؟", "ça été [REPEAT_PUNCT]"),
     ("", ""), (None, None), (" ​ ", ""),
+    ("a..b!!?!!--- ؟؟؟؟", "a..b!!?!![REPEAT_PUNCT] [REPEAT_PUNCT]"),
+    ("ÀÉ ΑΒ ДЖ Ⅷ Ⓐ Ａ İ", "àé ΑΒ ДЖ Ⅷ ⓐ ａ i̇"),
+    ("$$$ +++ (((", "$$$ +++ [REPEAT_PUNCT]"),
 ])
 def test_contract_text(given, want):
     assert T.contract_text(given) == want
@@ -310,7 +369,36 @@ def test_events_are_handled_once(spark, tmp_path):
     for _ in range(2):
         done = E.handle_once(E.file_stream(spark, source), "order_id", ["t"], log, str(tmp_path / "offsets"))
         assert sorted(map(tuple, done.collect())) == [("a", T0), ("b", T0)]
-        spark.createDataFrame([("a", T0 + 2 * DAY)], "order_id string, t timestamp").write.mode("append").parquet(source)
+        spark.createDataFrame([("a", T0 + 2 * DAY), ("a", T0 - DAY)], "order_id string, t timestamp").write.mode("append").parquet(source)
+    spark.createDataFrame([("c", T0 + DAY), ("c", T0), ("b", T0)], "order_id string, t timestamp").write.mode("append").parquet(source)
+    done = E.handle_once(E.file_stream(spark, source), "order_id", ["t"], log, str(tmp_path / "offsets"))
+    assert sorted(map(tuple, done.collect())) == [("a", T0), ("b", T0), ("c", T0)]
+
+
+def test_retries():
+    waits = (0.0, 0.0)
+    for answers, want, n in (([200], 200, 1), ([500, 503, 200], 200, 3), ([500] * 5, 500, 3), ([422, 200], 422, 1), ([404, 200], 404, 1), ([OSError("x"), 200], 200, 2), ([OSError("x")] * 3, 0, 3)):
+        asked = []
+
+        def call(request, timeout):
+            asked.append(timeout)
+            got = answers[len(asked) - 1]
+            if isinstance(got, Exception):
+                raise got
+            return got, request
+
+        assert E.call_with_retries(call, "r", waits)[0] == want and asked == [5.0] * n
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from cartloom.session import shared_folder
+
+    conf = SimpleNamespace(get=lambda key, default: default, set=lambda key, value: None)
+    with pytest.raises(RuntimeError):
+        shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    assert shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[2]"))).startswith("file://")
 
 
 def test_plans_push_down_and_prune(spark):

@@ -1,4 +1,4 @@
-"""Whole jobs that no SQL is compared with, against plain Python on small tables."""
+"""Queries against plain Python on small tables with awkward rows."""
 
 import datetime as dt
 import hashlib
@@ -26,7 +26,7 @@ def test_all_windows_of_all_suppliers(spark, tmp_path):
     hot = [(700, t0 + DAY * (i * i % 1200)) for i in range(900)]
     lines = [*hot, (1, t0), (1, t0 + DAY * 1203), (25, t0 + DAY * 500), (25, None), (None, t0), (99, t0 + DAY * 20)]
     suppliers = [700, 1, 25, 3000]
-    got = run(spark, tmp_path, "jn11_12_all_windows", supplier=([(k,) for k in suppliers], "s_suppkey bigint"), lineitem=(lines, "l_suppkey bigint, l_shipdate timestamp"))
+    got = run(spark, tmp_path, "jn11_12_interval_grid", supplier=([(k,) for k in suppliers], "s_suppkey bigint"), lineitem=(lines, "l_suppkey bigint, l_shipdate timestamp"))
     shipped = {k: [t.date() for kk, t in lines if kk == k and t] for k in suppliers}
     starts = [t0.date() + DAY * i for i in range(1204)]
     assert len(got) == len(suppliers) * len(starts)
@@ -34,7 +34,7 @@ def test_all_windows_of_all_suppliers(spark, tmp_path):
 
 
 def test_all_windows_of_no_lines(spark, tmp_path):
-    assert run(spark, tmp_path, "jn11_12_all_windows", supplier=([(1,)], "s_suppkey bigint"), lineitem=([], "l_suppkey bigint, l_shipdate timestamp")) == []
+    assert run(spark, tmp_path, "jn11_12_interval_grid", supplier=([(1,)], "s_suppkey bigint"), lineitem=([], "l_suppkey bigint, l_shipdate timestamp")) == []
 
 
 TEXTS = ["Olá, Ação!", "ola acao", "l ao", "Olá, Ação!", "شكرا", "شكراً", "شكرا", "Straße 7", "STRASSE 7", "strae 7", "İzmir \u212aelvin", "izmir kelvin", "a  b\tc", "a bc", "", None, None, "none", "Ünï", "12", "\u0661\u0662"]
@@ -46,19 +46,19 @@ def normal(text):
 
 
 def test_stages_over_all_texts(spark, tmp_path):
-    (got,) = run(spark, tmp_path, "tx19_all_texts", documents=(list(enumerate(TEXTS)), SCHEMA))
+    (got,) = run(spark, tmp_path, "tx19_staged_dedup", documents=(list(enumerate(TEXTS)), SCHEMA))
     exact = list(dict.fromkeys(TEXTS))
     left = {normal(t) for t in exact}
     assert got.asDict() == {"n_rows": len(TEXTS), "n_exact": len(TEXTS) - len(exact), "n_near": len(exact) - len(left), "n_left": len(left), "n_no_letters": sum(normal(t) == "" for t in exact) - 1}
 
 
 def test_stages_over_no_texts(spark, tmp_path):
-    (got,) = run(spark, tmp_path, "tx19_all_texts", documents=([], SCHEMA))
+    (got,) = run(spark, tmp_path, "tx19_staged_dedup", documents=([], SCHEMA))
     assert set(got) == {0}
 
 
 def test_keys_of_all_texts(spark, tmp_path):
-    got = run(spark, tmp_path, "tx03_04_all_keys", documents=(list(enumerate(TEXTS)), SCHEMA))
+    got = run(spark, tmp_path, "tx03_04_keys", documents=(list(enumerate(TEXTS)), SCHEMA))
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert {r.doc_id: (r.raw_key, r.normal_key) for r in got} == {i: (sha(t or ""), sha(normal(t or ""))) for i, t in enumerate(TEXTS)}
     keys = {r.doc_id: r.normal_key for r in got}
@@ -69,7 +69,7 @@ def test_audit_of_all_notations(spark, tmp_path):
     known = dt.datetime(2022, 1, 1, 12)
     times = {"2022-01-01T11:59:59Z": 1, "2022-01-01T13:00:00+02:00": 1, "2022-01-01T08:59:59.5-03:00": 1, "2022-01-01 11:00:00": 1, "2022-01-01T13:59:59.25+02:00": 1, "2022-01-01T12:00:00": 0, "2022-01-01T14:00:00+02:00": 0, "2022-01-01T09:30:00.125-03:00": 0, "2022-01-01T12:00:00Z": 0, "soon": 0, None: 0}
     log = [(f"p{i}", " S1 " if i % 2 else "s1", t) for i, t in enumerate(times)] + [("q", "s2", "2022-01-01T00:00:00+00:00"), ("r", None, "2022-01-01T00:00:00")]
-    (got,) = run(spark, tmp_path, "jn13_all_notations", prediction_log=(log + log[:4], "prediction_id string, seller_id string, features_as_of string"), seller_history=([("s1", known), ("S1", known + DAY)], "seller_id string, recorded_at timestamp"))
+    (got,) = run(spark, tmp_path, "jn13_point_in_time_audit", prediction_log=(log + log[:4], "prediction_id string, seller_id string, features_as_of string"), seller_history=([("s1", known), ("S1", known + DAY)], "seller_id string, recorded_at timestamp"))
     assert got.asDict() == {"n_predictions": len(log), "n_no_time": 2, "n_without": 2, "n_before": sum(times.values())}
 
 
@@ -87,7 +87,7 @@ def test_all_node_windows(spark, tmp_path):
     some = [(rng.choice("AAAB"), b := t0 + DAY * rng.randrange(1, 90), b + DAY * rng.randrange(1, 9), b + DAY * rng.randrange(1, 9)) for _ in range(120)]
     new = [("N", t0 + 85 * DAY, t0 + 89 * DAY, t0 + 85 * DAY), ("N", t0 + 70 * DAY, None, t0 + 85 * DAY), ("B", t0 + 30 * DAY, t0 + 33 * DAY, None)]
     rows = ends + some + new
-    got = run(spark, tmp_path, "fq10_all_windows", **shop(rows))
+    got = run(spark, tmp_path, "fq10_node_windows", **shop(rows))
     known = [(k, b.date(), (x - b) / DAY, (x - due) / DAY if due else None) for k, b, x, due in rows if x]
     starts = [t0.date() + DAY * i for i in range(63)]  # the last order is on day 90
     n_train, n_val = round(0.7 * 63), round(0.15 * 63)
@@ -108,7 +108,7 @@ def test_all_node_windows(spark, tmp_path):
 
 def test_node_windows_of_a_short_table(spark, tmp_path):
     t0 = dt.datetime(2021, 1, 1)
-    assert run(spark, tmp_path, "fq10_all_windows", **shop([("A", t0, t0, t0), ("A", t0 + 27 * DAY, t0 + 28 * DAY, None)])) == []
+    assert run(spark, tmp_path, "fq10_node_windows", **shop([("A", t0, t0, t0), ("A", t0 + 27 * DAY, t0 + 28 * DAY, None)])) == []
 
 
 @pytest.mark.parametrize("candidates, chosen, accepted", [
