@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cartloom.functions.keys import clean_id, one_record, zip_code
 from cartloom.operators.asof import as_known, changes_in_force
 from cartloom.operators.heavykeys import heavy_keys, per_key_stats
-from cartloom.operators.orphans import orphan_references
+from cartloom.operators.orphans import key_runs, orphan_references
 from cartloom.operators.rolling import daily_amounts, trailing
 from cartloom.session import cut
 from cartloom.sources.tables import item_records, purchase_times, table
@@ -110,7 +110,7 @@ def orphan_rows(spark: SparkSession, d: str) -> DataFrame:
         for name, ref, key in refs:
             rows = table(spark, d, name).select(F.lit(name).alias("child_table"), key.alias("child_key"), ref.alias("ref"), "loaded_at")
             children = rows if children is None else children.unionByName(rows)
-        out.append(orphan_references(children, parents, F.col("ref"), F.col("loaded_at"), F.col("k"), F.col("loaded_at"), deleted))
+        out.append(orphan_references(children, parents, F.col("ref"), F.col("loaded_at"), F.col("k"), F.col("loaded_at"), deleted, ["child_table", "child_key", "loaded_at"]))
     return out[0].unionByName(out[1]).select("child_table", "child_key", F.date_format("loaded_at", "yyyy-MM").alias("period"), "reason")
 
 
@@ -119,11 +119,18 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_rows(spark, d).groupBy("child_table", "period", "reason", "child_key").agg(F.count(F.lit(1)).alias("n")).groupBy("child_table", "period", "reason").agg(F.sum("n").alias("n_rows"), F.count("child_key").alias("n_keys"))
 
 
+def p6_runs(spark: SparkSession, d: str) -> DataFrame:
+    """How far the sorted keys of each parent table are compressed into contiguous runs."""
+    orders = key_runs(table(spark, d, "olist_orders_dataset"), clean_id("order_id")).select(F.lit("olist_orders_dataset").alias("parent_table"), "n_keys", "n_runs")
+    places = key_runs(table(spark, d, "olist_geolocation_dataset"), zip_code("geolocation_zip_code_prefix"))
+    return orders.unionByName(places.select(F.lit("olist_geolocation_dataset").alias("parent_table"), "n_keys", "n_runs"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return orphan_rows(spark, d).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sellers, p2_products, p3_found, p3_items, p3_predictions, p4_found, p4_days, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_sellers, p2_products, p3_found, p3_items, p3_predictions, p4_found, p4_days, p6_found, p6_report, p6_runs)}
 
 _ITEMS = """items AS (SELECT nullif(lower(trim(order_id)), '') AS order_id, order_item_id, any_value(nullif(lower(trim(seller_id)), '')) AS seller_id,
   any_value(price) AS price, any_value(freight_value) AS freight_value FROM olist_order_items_dataset GROUP BY 1, 2)"""

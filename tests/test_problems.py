@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cartloom.functions.keys import clean_id, one_record, zip_code
 from cartloom.operators.asof import as_known, changes_in_force, time_cuts
 from cartloom.operators.heavykeys import heavy_keys, per_key_stats
-from cartloom.operators.orphans import orphan_references
+from cartloom.operators.orphans import key_runs, orphan_references
 from cartloom.operators.rolling import daily_amounts, trailing
 
 T0 = dt.datetime(2021, 1, 1)
@@ -155,6 +155,28 @@ def test_orphans_random(spark):
     assert got == {i: why for i, ref, seen in refs if ref is not None and (why := judge(parents, ref, seen))}
 
 
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_orphans_of_a_hot_parent(spark, batch):
+    """Runs, copies and a parent of most references, over the borders of batches and tasks."""
+    rng = random.Random(7)
+    hexed = [f"{(1 << 64) - 40 + i:032x}" for i in range(80)]  # a run over the border of the two halves
+    keys = [f"{i:05d}" for i in range(100, 160)] + hexed
+    parents = [(k, at(rng.randrange(40)), at(rng.randrange(40, 90)) if rng.random() < 0.3 else None) for k in keys if k == hexed[40] or rng.random() < 0.9]
+    refs = [(i, hexed[40] if rng.random() < 0.7 else rng.choice([*keys, "00099", "00160", f"{(1 << 64) + 41:032x}"]), at(rng.randrange(90))) for i in range(3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        children = spark.createDataFrame(refs, "id int, ref string, t timestamp")
+        parent_rows = spark.createDataFrame(parents, "k string, l timestamp, d timestamp")
+        got = {r.id: r.reason for r in orphan_references(children, parent_rows, F.col("ref"), F.col("t"), F.col("k"), F.col("l"), F.col("d"), ["id"]).collect()}
+        runs = key_runs(parent_rows, F.col("k")).first()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: why for i, ref, seen in refs if (why := judge(parents, ref, seen))} and set(got.values()) == {"missing", "late", "deleted"}
+    have = {k for k, _, _ in parents}
+    broken = sum(a in have and b not in have for part in (keys[:60] + ["x"], hexed + ["x"]) for a, b in zip(part, part[1:]))
+    assert runs.n_keys == len(have) and broken <= runs.n_runs < broken + 4
+
+
 def test_orphans_empty(spark):
     none = spark.createDataFrame([], "k string, l timestamp, d timestamp")
     child = spark.createDataFrame([(1, "a", at(1)), (2, None, at(1))], "id int, ref string, t timestamp")
