@@ -1,94 +1,126 @@
 """Attributes as known at event time.
 
 Method: the versions of an entity become, in order of the moment each was both true and known, a list of
-changes of the version in force. Changes and events form one timeline of narrow rows (entity, time); the
-cumulative number of changes is an event's version number, and the wide attributes are equi-joined on
-(entity, number). An entity with a large share of the timeline is cut at quantiles of its times, each piece
-counts for itself, and the pieces' totals (a few rows per cut) are added as offsets.
+changes of the version in force. Changes and events form one timeline of narrow rows (entity, time, and a key
+of the event); the cumulative number of changes is an event's version number, and the wide attributes are
+equi-joined on (entity, number). An entity with a large share of the rows, of versions or of events, is cut at
+sampled quantiles of its times, each piece counts for itself, and the pieces' totals (a few rows per cut) are
+added as offsets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cartloom.session import cut, shuffle_width
 
-#: Pieces into which the largest entity may be cut.
-MAX_PIECES = 512
+#: Sampled times per piece, of which the cuts are quantiles (balance only).
+SAMPLED = 50
 
 
 def time_cuts(timeline: DataFrame, pieces: int) -> DataFrame:
-    """entity -> cuts array<timestamp in microseconds>, only for entities above 1/pieces of all rows: at most `pieces` rows."""
+    """_entity -> _cuts array<timestamp in microseconds>, only for entities above 1/pieces of all rows: at most `pieces` rows and
+    2 x pieces cuts, a share of all rows between two of them.
+    """
     all_rows = Observation()
     counts = timeline.groupBy("_entity").agg(F.count(F.lit(1)).alias("_n")).observe(all_rows, F.sum("_n").alias("n"))
     largest = counts.orderBy(F.desc("_n")).limit(pieces).collect()  # no more than `pieces` entities can be above 1/pieces
     total = all_rows.get["n"] or 0
-    heavy = [r for r in largest if r["_n"] > total / pieces]
-    spark = timeline.sparkSession
-    if not heavy:
-        return spark.createDataFrame([], "_entity string, _cuts array<bigint>")
-    steps = min(MAX_PIECES, pieces)
-    rows = timeline.where(F.col("_entity").isin([r[0] for r in heavy])).groupBy("_entity").agg(
-        F.percentile_approx("_us", [i / steps for i in range(1, steps)], F.lit(steps * 20)).alias("_cuts")
-    ).collect()
-    sizes = {r[0]: r[1] for r in heavy}
+    heavy = {r[0]: r[1] for r in largest if r[1] > total / pieces}
     out = []
-    for entity, cuts in rows:
-        want = max(2, min(steps, -(-sizes[entity] * pieces // total)))
-        every = max(1, len(cuts) // want)
-        out.append((entity, sorted(set(cuts[every - 1 :: every]))))
-    return spark.createDataFrame(out, "_entity string, _cuts array<bigint>")
+    if heavy:
+        share = min(1.0, SAMPLED * pieces / sum(heavy.values()))
+        times: dict[str, list[int]] = {}
+        for entity, us in timeline.where(F.col("_entity").isin([*heavy])).select("_entity", "_us").sample(share, 1).collect():  # about SAMPLED x pieces rows
+            times.setdefault(entity, []).append(us)
+        for entity, found in times.items():
+            found.sort()
+            want = -(-heavy[entity] * pieces // total)
+            out.append((entity, sorted({found[i * len(found) // want] for i in range(1, want)})))
+    return timeline.sparkSession.createDataFrame(out, "_entity string, _cuts array<bigint>")
+
+
+def _piece():
+    return F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_us"))), F.lit(0))
+
+
+def in_pieces(timeline: DataFrame, cuts: DataFrame) -> DataFrame:
+    """timeline plus _piece: 0, or the part of a cut entity that a row's time lies in."""
+    # `cuts` has at most `pieces` rows: an entity is in it only above 1/pieces of all rows
+    return timeline.join(F.broadcast(cuts), "_entity", "left").withColumn("_piece", F.when(F.col("_cuts").isNull(), 0).otherwise(_piece())).drop("_cuts")
+
+
+def before_pieces(rows: DataFrame, cuts: DataFrame, total: Callable[[str], Column], name: str) -> DataFrame:
+    """(_entity, _piece, name): for every piece of a cut entity the aggregate over the pieces before it; as many rows as pieces.
+
+    total is an aggregate that may be taken of parts again under `name` (a sum or a maximum of a column).
+    """
+    parts = rows.join(F.broadcast(cuts.select("_entity")), "_entity", "left_semi").groupBy("_entity", "_piece").agg(total(name).alias(name))
+    grid = cuts.select("_entity", F.explode(F.sequence(F.lit(0), F.size("_cuts"))).alias("_piece")).join(parts, ["_entity", "_piece"], "left")
+    earlier = Window.partitionBy("_entity").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    return grid.select("_entity", "_piece", total(name).over(earlier).alias(name))
 
 
-def changes_in_force(versions: DataFrame, entity: str, valid_from: str, known_at: str, tie: str, attributes: list[str]) -> DataFrame:
-    """The changes of the version in force: entity, _us (when), number (1, 2, ...), attributes.
+def changes_in_force(versions: DataFrame, entity: str, valid_from: str, known_at: str, tie: str, attributes: list[str], pieces: int | None = None) -> DataFrame:
+    """The changes of the version in force: _entity, _us (when), number (1, 2, ...), attributes; in the shared folder.
 
     A version counts from greatest(valid_from, known_at). Of the versions that count, the one with the latest
     valid_from, then latest known_at, then highest `tie` is in force, so a change is a version that beats all
     that counted before it. Versions without an entity or a time are left out; copies are one version.
     """
+    pieces = pieces or shuffle_width(versions.sparkSession)
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     rows = versions.select(
-        F.col(entity).alias("_entity"),
-        F.unix_micros(F.greatest(valid_from, known_at).cast("timestamp")).alias("_us"),
-        F.struct(F.unix_micros(F.col(valid_from).cast("timestamp")).alias("v"), F.unix_micros(F.col(known_at).cast("timestamp")).alias("k"), F.col(tie).alias("t")).alias("_rank"),
+        F.col(entity).cast("string").alias("_entity"),
+        F.greatest(us(valid_from), us(known_at)).alias("_us"),
+        F.struct(us(valid_from).alias("v"), us(known_at).alias("k"), F.col(tie).alias("t")).alias("_rank"),
         F.struct(*attributes).alias("_attributes"),
     ).where(F.col("_entity").isNotNull() & F.col("_rank.v").isNotNull() & F.col("_rank.k").isNotNull())
-    per_moment = rows.groupBy("_entity", "_us").agg(F.max(F.struct("_rank", "_attributes")).alias("_top"))
-    order = Window.partitionBy("_entity").orderBy("_us")
-    beaten = F.max("_top._rank").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    won = per_moment.withColumn("_before", beaten).where(F.col("_before").isNull() | (F.col("_top._rank") > F.col("_before")))
-    return won.select("_entity", "_us", F.row_number().over(order).alias("number"), *[F.col(f"_top._attributes.{a}").alias(a) for a in attributes])
+    moments = rows.groupBy("_entity", "_us").agg(F.max(F.struct("_rank", "_attributes")).alias("_top")).select("_entity", "_us", F.col("_top._rank").alias("_rank"), F.col("_top._attributes").alias("_attributes"))
+    cuts = time_cuts(rows.select("_entity", "_us"), pieces)
+    moments = in_pieces(moments, cuts)
+    per_piece = Window.partitionBy("_entity", "_piece").orderBy("_us")
+    beaten = F.max("_rank").over(per_piece.rowsBetween(Window.unboundedPreceding, -1))
+    earlier = before_pieces(moments, cuts, F.max, "_rank").withColumnRenamed("_rank", "_earlier")
+    ranked = moments.withColumn("_beaten", beaten).join(F.broadcast(earlier), ["_entity", "_piece"], "left").withColumn("_beaten", F.greatest("_beaten", "_earlier"))
+    won = ranked.where(F.col("_beaten").isNull() | (F.col("_rank") > F.col("_beaten")))
+    won = cut(won.select("_entity", "_piece", "_us", F.row_number().over(per_piece).alias("_place"), F.lit(1).alias("_one"), *[F.col(f"_attributes.{a}").alias(a) for a in attributes]))
+    offsets = before_pieces(won, cuts, F.sum, "_one").withColumnRenamed("_one", "_offset")
+    numbered = won.join(F.broadcast(offsets), ["_entity", "_piece"], "left")
+    return numbered.select("_entity", "_us", (F.col("_place") + F.coalesce("_offset", F.lit(0))).cast("int").alias("number"), *attributes)
 
 
-def as_known(events: DataFrame, entity: str, at: str, changes: DataFrame, attributes: list[str], pieces: int | None = None) -> DataFrame:
+def as_known(events: DataFrame, entity: str, at: str, changes: DataFrame, attributes: list[str], key: list[str] | None = None, pieces: int | None = None) -> DataFrame:
     """events with `attributes` of the version in force at each event's time, and `version_number`.
 
     changes: from changes_in_force. version_number is 0 and the attributes are null where no version counted yet, and
-    for events without an entity or time. events' other columns travel along, so project them to what is needed (or
-    to a key to join back by); columns of events named like an attribute are replaced. A change at the microsecond
+    for events without an entity or time. Columns of events named like an attribute are replaced. A change at the microsecond
     of an event counts. Repeated events each get their row.
+    key: columns that tell an event (rows that agree in them have the same entity and time): only they go on the timeline, and
+    the other columns are joined back by them, so events should be a table or `cut`. Without a key all columns travel: for narrow events.
     """
     kept = [c for c in events.columns if c not in attributes]
     pieces = pieces or shuffle_width(events.sparkSession)
-    keyed = events.select(F.struct(*kept).alias("_row"), F.col(entity).alias("_entity"), F.unix_micros(F.col(at).cast("timestamp")).alias("_us"))
+    keyed = events.select(F.struct(*(key or kept)).alias("_row"), F.col(entity).cast("string").alias("_entity"), F.unix_micros(F.col(at).cast("timestamp")).alias("_us"))
     whole = F.col("_entity").isNotNull() & F.col("_us").isNotNull()
     narrow, without = keyed.where(whole), keyed.where(~whole)
-    changes = cut(changes)
-    cuts = time_cuts(narrow, pieces)
-    piece = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_us"))), F.lit(0))
-    timeline = narrow.withColumn("_kind", F.lit(1)).unionByName(changes.select("_entity", "_us", F.lit(0).alias("_kind")), allowMissingColumns=True)
-    # `cuts` has at most `pieces` rows: an entity is in it only above 1/pieces of all rows
-    timeline = timeline.join(F.broadcast(cuts), "_entity", "left").withColumn("_piece", F.when(F.col("_cuts").isNull(), 0).otherwise(piece)).drop("_cuts")
-    local = Window.partitionBy("_entity", "_piece").orderBy("_us", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    counted = timeline.withColumn("_local", F.sum(1 - F.col("_kind")).over(local)).where("_kind = 1")
-    totals = changes.join(F.broadcast(cuts), "_entity").groupBy("_entity", piece.alias("_piece")).agg(F.count(F.lit(1)).alias("_n"))
-    # every piece of a cut entity with the changes of the pieces before it: as many rows as there are cuts
-    grid = cuts.select("_entity", F.explode(F.sequence(F.lit(0), F.size("_cuts"))).alias("_piece")).join(totals, ["_entity", "_piece"], "left")
-    before = Window.partitionBy("_entity").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = grid.select("_entity", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    if key:
+        narrow = narrow.distinct()
+    cuts = time_cuts(narrow.select("_entity", "_us"), pieces)
+    timeline = narrow.withColumn("_change", F.lit(0)).unionByName(changes.select("_entity", "_us", F.lit(1).alias("_change")), allowMissingColumns=True)
+    timeline = in_pieces(timeline, cuts)
+    local = Window.partitionBy("_entity", "_piece").orderBy("_us", F.desc("_change")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = timeline.withColumn("_local", F.sum("_change").over(local)).where("_change = 0")
+    offsets = before_pieces(in_pieces(changes.select("_entity", "_us", F.lit(1).alias("_change")), cuts), cuts, F.sum, "_change").withColumnRenamed("_change", "_offset")
     numbered = counted.join(F.broadcast(offsets), ["_entity", "_piece"], "left").select("_row", "_entity", (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("int").alias("version_number"))
     wide = changes.select("_entity", F.col("number").alias("version_number"), F.struct(*attributes).alias("_attributes"))
     found = numbered.join(wide, ["_entity", "version_number"], "left").drop("_entity")
+    told = [*[F.col(f"_attributes.{a}").alias(a) for a in attributes], F.coalesce("version_number", F.lit(0)).alias("version_number")]
+    if key:
+        back = events.select(F.struct(*key).alias("_row"), F.struct(*kept).alias("_event")).join(found, "_row", "left")
+        return back.select(*[F.col("_event")[c].alias(c) for c in kept], *told)
     found = found.unionByName(without.select("_row", F.lit(0).alias("version_number")), allowMissingColumns=True)
-    return found.select(*[F.col("_row")[c].alias(c) for c in kept], *[F.col(f"_attributes.{a}").alias(a) for a in attributes], "version_number")
+    return found.select(*[F.col("_row")[c].alias(c) for c in kept], *told)

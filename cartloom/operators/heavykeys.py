@@ -2,10 +2,10 @@
 
 Method: rows are put in order of the composite (key, secondary order) and cut at sampled quantiles of
 that order (`repartitionByRange`), so a heavy key is spread over as many partitions as its size needs.
-Each partition makes one partial state per key it holds; only these states are shuffled, and the states
-of a key that crosses a partition boundary are stitched by adding them. The secondary order is the entity
-whose distinct number is wanted, and equal composite keys never straddle a boundary, so distinct
-entities add up exactly.
+This is the only shuffle of the rows: copies, entities and partial states of a key are all made within a
+partition, as equal composite keys never straddle a boundary. Only the states, one per key and partition,
+are shuffled again, and the states of a key that crosses a boundary are stitched by adding them. The
+secondary order is the entity whose distinct number is wanted, so distinct entities add up exactly.
 """
 
 from __future__ import annotations
@@ -16,21 +16,26 @@ from pyspark.sql import functions as F
 from cartloom.session import shuffle_width
 
 
-def per_key_stats(records: DataFrame, key: str, entity: str, sums: dict[str, str], parts: int | None = None) -> DataFrame:
+def per_key_stats(rows: DataFrame, key: str, entity: str, sums: dict[str, str], parts: int | None = None, record: list[str] | None = None) -> DataFrame:
     """key, n_records, n_entities (distinct) and one column per entry of `sums` (output name -> column).
 
-    records: one row per record. Rows whose key is null are left out; a null entity counts as no entity;
-    null amounts add nothing (a key with only nulls sums to null). An empty input gives an empty result.
+    record: the columns that, with key and entity, tell a record; rows that agree in them are copies of one and should agree in the
+    amounts (the largest counts). Default: every row is a record. Rows whose key is null are left out; a null entity counts as no
+    entity; null amounts add nothing (a key with only nulls sums to null). An empty input gives an empty result.
     """
-    parts = parts or shuffle_width(records.sparkSession)
-    amounts = [F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums.values())]
-    pairs = records.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(entity).alias("_e")).agg(F.count(F.lit(1)).alias("_n"), *amounts)
-    ordered = pairs.repartitionByRange(parts, "_k", "_e")
-    stitched = ordered.groupBy("_k").agg(
-        F.sum("_n").alias("n_records"),
-        F.count("_e").alias("n_entities"),
-        *[F.sum(f"_s{i}").alias(name) for i, name in enumerate(sums)],
-    )
+    parts = parts or shuffle_width(rows.sparkSession)
+    amounts = [F.col(c).alias(f"_a{i}") for i, c in enumerate(sums.values())]
+    own = [F.col(c).alias(f"_r{i}") for i, c in enumerate(record or [])]
+    # rows without an entity have no secondary order: theirs is a hash, so that they can be spread too
+    salt = F.when(F.col(entity).isNull(), F.pmod(F.xxhash64(*(record or [c for c in sums.values()] or [key])), F.lit(1 << 20)))
+    narrow = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(entity).alias("_e"), salt.alias("_salt"), *own, *amounts)
+    place = ["_k", "_e", "_salt"]
+    pairs = narrow.repartitionByRange(parts, *place)
+    names = [f"_a{i}" for i in range(len(amounts))]
+    if record is not None:
+        pairs = pairs.groupBy(*place, *[f"_r{i}" for i in range(len(own))]).agg(*[F.max(n).alias(n) for n in names] or [F.lit(1).alias("_one")])
+    pairs = pairs.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(n).alias(n) for n in names])
+    stitched = pairs.groupBy("_k").agg(F.sum("_n").alias("n_records"), F.count("_e").alias("n_entities"), *[F.sum(n).alias(out) for n, out in zip(names, sums)])
     return stitched.withColumnRenamed("_k", key)
 
 

@@ -21,14 +21,13 @@ ATTRIBUTES = ["seller_tier", "handoff_days", "seller_state"]
 
 
 def seller_stats(spark: SparkSession, d: str) -> DataFrame:
-    items = item_records(spark, d, ["seller_id", "price", "freight_value"])
-    return per_key_stats(items, "seller_id", "order_id", {"price": "price", "freight": "freight_value"})
+    items = table(spark, d, "olist_order_items_dataset").select(clean_id("seller_id").alias("seller_id"), clean_id("order_id").alias("order_id"), "order_item_id", "price", "freight_value")
+    return per_key_stats(items, "seller_id", "order_id", {"price": "price", "freight": "freight_value"}, record=["order_item_id"])
 
 
 def product_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "order_products__prior").where("product_id is not null")
-    rows = one_record(rows, ["order_id", "product_id"], ["reordered"])
-    return per_key_stats(rows, "product_id", "order_id", {"reordered": "reordered"})
+    rows = table(spark, d, "order_products__prior").select("product_id", "order_id", "reordered")
+    return per_key_stats(rows, "product_id", "order_id", {"reordered": "reordered"}, record=[])
 
 
 def p2_sellers(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +73,8 @@ def p3_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    known = as_known(predictions(spark, d).where("features_as_of is not null and raw_features is not null"), "seller_id", "features_as_of", seller_changes(spark, d), ATTRIBUTES)
+    judged = cut(predictions(spark, d).where("features_as_of is not null and raw_features is not null"))
+    known = as_known(judged, "seller_id", "features_as_of", seller_changes(spark, d), ATTRIBUTES, key=["prediction_id"])
     same = F.lit(True)
     for a in ATTRIBUTES:
         same = same & F.col(a).eqNullSafe(F.col(f"raw_features.{a}"))

@@ -59,6 +59,17 @@ def test_per_key_stats_edges(spark):
     assert [tuple(r) for r in per_key_stats(nulls, "k", "e", {"total": "v"}).collect()] == [("a", 2, 0, None)]
 
 
+def test_per_key_stats_of_copies(spark):
+    rng = random.Random(2)
+    records = [(rng.choice("aab"), rng.choice([None, *range(9)]), i, rng.choice([None, 1.0, 2.5])) for i in range(300)]
+    df = spark.createDataFrame([r for r in records for _ in range(rng.randrange(1, 4))], "k string, e int, number int, v double")
+    got = {r.k: (r.n_records, r.n_entities, r.total) for r in per_key_stats(df, "k", "e", {"total": "v"}, parts=5, record=["number"]).collect()}
+    assert got == {k: (len(own := [r for r in records if r[0] == k]), len({e for _, e, *_ in own} - {None}), sum(v or 0 for *_, v in own)) for k in "ab"}
+    assert {tuple(r) for r in per_key_stats(df, "k", "e", {}, record=[]).collect()} == {(k, len({r[1] for r in records if r[0] == k}), len({r[1] for r in records if r[0] == k} - {None})) for k in "ab"}
+    plan = per_key_stats(df, "k", "e", {"total": "v"}, record=["number"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_a_hot_key_is_spread(spark):
     df = spark.range(40_000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("e"))
     parts = df.repartitionByRange(6, "k", "e").withColumn("p", F.spark_partition_id()).where("k = 'hot'").groupBy("p").count().collect()
@@ -78,13 +89,21 @@ def brute_version(versions, entity, moment):
 @pytest.mark.parametrize("pieces", [1, 5])
 def test_as_known_random(spark, pieces):
     rng = random.Random(pieces)
-    versions = [(rng.choice("abh"), at(rng.randrange(60)), at(rng.randrange(60)), i, f"v{i}") for i in range(80)]
+    versions = [(rng.choice("abhhhhh"), at(rng.randrange(60)), at(rng.randrange(60)), i, f"v{i}") for i in range(160)]
     versions += versions[:10] + [(None, at(1), at(1), 900, "x"), ("a", None, at(1), 901, "x"), ("a", at(1), None, 902, "x")]
     events = [(i, "h" if rng.random() < 0.6 else rng.choice(["a", "b", "new", None]), at(rng.randrange(70)) if rng.random() < 0.95 else None) for i in range(400)]
-    changes = changes_in_force(spark.createDataFrame(versions, "e string, f timestamp, r timestamp, id int, attr string"), "e", "f", "r", "id", ["attr"])
+    changes = changes_in_force(spark.createDataFrame(versions, "e string, f timestamp, r timestamp, id int, attr string"), "e", "f", "r", "id", ["attr"], pieces)
+    number: dict = {}
+    for e, _, n in sorted(map(tuple, changes.select("_entity", "_us", "number").collect())):
+        assert n == number.setdefault(e, 0) + 1
+        number[e] = n
     df = spark.createDataFrame(events, "_us int, e string, t timestamp")
     got = {r._us: r.attr for r in as_known(df, "e", "t", changes, ["attr"], pieces=pieces).collect()}
-    assert got == {i: (brute_version(versions, e, t) if e and t else None) for i, e, t in events}
+    want = {i: (brute_version(versions, e, t) if e and t else None) for i, e, t in events}
+    assert got == want
+    twice = df.unionByName(df).withColumn("wide", F.lit("w"))
+    by_key = as_known(twice, "e", "t", changes, ["attr"], key=["_us"], pieces=pieces).collect()
+    assert len(by_key) == 2 * len(events) and {(r._us, r.attr, r.wide) for r in by_key} == {(i, a, "w") for i, a in want.items()}
 
 
 def test_a_hot_entity_is_cut(spark):
