@@ -2,9 +2,9 @@
 
 Method: space-filling-curve order. Each document's hashed tokens are projected to three dimensions, their place on a
 Hilbert curve is its key, documents are range-sorted by it and neighbours along the curve are packed together. A task
-packs its stretch of the curve in windows: largest first into the fullest container with room; containers nearly full
-are closed and the others stay open for the next window. An item larger than the capacity is split into full
-containers and a rest.
+fills one container after the other along its stretch of the curve: the next items in order while they fit, then of the
+LOOK items from the first unpacked one on the largest that still fit. So no container holds items more than LOOK places
+apart. An item larger than the capacity is split into full containers and a rest.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from cartloom.llm.tokens import TOKENIZERS, encode
 from cartloom.session import cut, shuffle_width
 
 CAPACITY = 2048
-WINDOW = 4096
-OPEN = 256
+#: Places on the curve, from the first unpacked item on, of which the last items of a container are taken.
+LOOK = 256
+#: Containers that a task should fill at least, so that its last, which is not full, counts for little.
+PER_TASK = 64
 DIMENSIONS, BITS = 3, 10
 #: Seed and size of the hashed token directions.
 DIRECTIONS = np.random.default_rng(7).standard_normal((1 << 12, DIMENSIONS)).astype(np.float32)
@@ -79,36 +81,53 @@ def sized(docs: DataFrame, folder: str = TOKENIZERS, carry: list[str] | None = N
     return docs.select("doc_id", *carry, "text").mapInPandas(measure, f"doc_id bigint, {extra}tokens bigint, curve bigint")
 
 
-class _Containers:
-    """Open containers of one task, by the room left."""
+def fill_along(sizes: Iterator[int], capacity: int, look: int = LOOK) -> Iterator[list[int]]:
+    """The places (0, 1, ...) of the items of one container after the other, for items in order of the curve.
 
-    def __init__(self, capacity: int, first: int):
-        self.capacity, self.next, self.room = capacity, first, []
-
-    def put(self, size: int) -> int:
-        at = bisect.bisect_left(self.room, (size, -1))
-        if at < len(self.room):
-            left, number = self.room.pop(at)
-        else:
-            left, number = self.capacity, self.next
-            self.next += 1
-        if left > size:
-            bisect.insort(self.room, (left - size, number))
-        return number
-
-    def close(self, keep: int) -> None:
-        if len(self.room) > keep:
-            self.room = self.room[-keep:]  # those with the most room
+    No size is above `capacity` or below 1. All places of a container are within `look` of its first.
+    """
+    waiting: dict[int, int] = {}  # place -> size, in order
+    by_size: list[tuple[int, int]] = []
+    coming = enumerate(sizes)
+    upto, more = 0, True
+    while True:
+        first = next(iter(waiting), upto)
+        while more and upto < first + look:
+            item = next(coming, None)
+            if item is None:
+                more = False
+                break
+            waiting[item[0]] = item[1]
+            bisect.insort(by_size, (item[1], item[0]))
+            upto = item[0] + 1
+        if not waiting:
+            return
+        room, places = capacity, []
+        while waiting:
+            place = next(iter(waiting))
+            size = waiting[place]
+            if size > room:  # the next in order does not fit: the largest that does
+                at = bisect.bisect_right(by_size, (room, upto)) - 1
+                if at < 0:
+                    break
+                size, place = by_size[at]
+            del waiting[place]
+            by_size.pop(bisect.bisect_left(by_size, (size, place)))
+            places.append(place)
+            room -= size
+        yield places
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, parts: int | None = None) -> DataFrame:
-    """(container, doc_id, piece, first_token, tokens): every document's pieces, one unless it is larger than a container.
+    """(container, doc_id, piece, first_token, tokens, place): every document's pieces, one unless it is larger than a container.
 
-    items: (doc_id, tokens, curve). No container holds more than `capacity`; documents without tokens (null or 0) are in
-    none; copies are packed one by one; no items give no rows.
+    items: (doc_id, tokens, curve), a table or `cut`. No container holds more than `capacity`; documents without tokens (null or 0)
+    are in none; copies are packed one by one; no items give no rows. place: along the curve, within a task's stretch. Only the last
+    container of a task may have much room left; parts is by default as many tasks as can fill PER_TASK containers each.
     """
-    spark = items.sparkSession
-    parts = parts or shuffle_width(spark)
+    if parts is None:
+        total = items.agg(F.sum("tokens")).first()[0] or 0
+        parts = max(1, min(shuffle_width(items.sparkSession), total // (capacity * PER_TASK)))
     whole = F.floor(F.col("tokens") / capacity)
     pieces = items.where("tokens > 0").select("doc_id", "curve", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("tokens") / capacity) - 1, F.lit(0)))).alias("piece"), F.col("tokens").alias("_all"), whole.alias("_whole"))
     pieces = pieces.select("doc_id", "curve", F.col("piece").cast("int").alias("piece"), (F.col("piece") * capacity).alias("first_token"), F.when(F.col("piece") < F.col("_whole"), F.lit(capacity)).otherwise(F.col("_all") % capacity).alias("tokens"))
@@ -117,21 +136,39 @@ def pack(items: DataFrame, capacity: int = CAPACITY, parts: int | None = None) -
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        boxes = _Containers(capacity, TaskContext.get().partitionId() << 40)
-        for pdf in batches:
-            for at in range(0, len(pdf), WINDOW):
-                part = pdf.iloc[at : at + WINDOW].sort_values("tokens", ascending=False, kind="stable")
-                numbers = [boxes.put(int(s)) for s in part["tokens"]]
-                boxes.close(OPEN)
-                yield part.drop(columns="curve").assign(container=np.array(numbers, dtype=np.int64))[["container", "doc_id", "piece", "first_token", "tokens"]]
+        number = TaskContext.get().partitionId() << 40
+        rows: dict[int, tuple[int, int, int, int]] = {}  # items that are read and not yet packed
 
-    return along.mapInPandas(fill, "container bigint, doc_id bigint, piece int, first_token bigint, tokens bigint")
+        def read() -> Iterator[int]:
+            n = 0
+            for pdf in batches:
+                for row in zip(*[pdf[c].tolist() for c in ("doc_id", "piece", "first_token", "tokens")]):
+                    rows[n] = row
+                    n += 1
+                    yield row[3]
+
+        out: list[tuple[int, ...]] = []
+        columns = ["container", "doc_id", "piece", "first_token", "tokens", "place"]
+        for places in fill_along(read(), capacity):
+            out += [(number, *rows.pop(p), p) for p in places]
+            number += 1
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        yield pd.DataFrame(out, columns=columns)
+
+    return along.mapInPandas(fill, "container bigint, doc_id bigint, piece int, first_token bigint, tokens bigint, place bigint")
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(containers, tokens, fill, fullest): how well the containers are used."""
-    boxes = packed.groupBy("container").agg(F.sum("tokens").alias("t"))
-    return boxes.agg(F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"), (F.sum("t") / (F.count(F.lit(1)) * F.lit(float(capacity)))).alias("fill"), F.max("t").alias("fullest"))
+    """(containers, tokens, fill, fullest, median_span, widest): how well the containers are used, and over how many places along
+    the curve the items of one are spread (at most LOOK, so the median is over few different values).
+    """
+    boxes = packed.groupBy("container").agg(F.sum("tokens").alias("t"), (F.max("place") - F.min("place") + 1).alias("span"))
+    return boxes.agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"), (F.sum("t") / (F.count(F.lit(1)) * F.lit(float(capacity)))).alias("fill"), F.max("t").alias("fullest"),
+        F.median("span").alias("median_span"), F.max("span").alias("widest"),
+    )
 
 
 def packed_documents(docs: DataFrame, capacity: int = CAPACITY, folder: str = TOKENIZERS) -> DataFrame:

@@ -254,15 +254,33 @@ def test_pack(spark):
         parts.sort()
         assert sum(p[2] for p in parts) == size[doc] and len(parts) == -(-size[doc] // 2048)
         assert [p[1] for p in parts] == [2048 * k for k in range(len(parts))]
-    assert packing.fill_report(packed).first().fill > 0.97
+    report = packing.fill_report(packed).first()
+    assert report.fill > 0.99 and report.fullest <= 2048 and report.tokens == sum(size.values()) and report.widest <= packing.LOOK
     assert packing.pack(packed.select("doc_id", "tokens", F.lit(0).alias("curve")).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("look", [1, 7, 256])
+def test_fill_keeps_to_the_curve(look):
+    rng = np.random.default_rng(look)
+    sizes = np.minimum(rng.geometric(0.01, 5000), 1000).tolist()
+    boxes = list(packing.fill_along(iter(sizes), 1000, look))
+    assert sorted(p for b in boxes for p in b) == list(range(5000))
+    assert max(sum(sizes[p] for p in b) for b in boxes) <= 1000 and max(max(b) - min(b) for b in boxes) < look
+    firsts = [min(b) for b in boxes]
+    assert firsts == sorted(firsts)
+    if look == 256:
+        assert sum(sizes) / (1000 * len(boxes)) > 0.995
+    assert list(packing.fill_along(iter([]), 10)) == [] and list(packing.fill_along(iter([10, 10]), 10)) == [[0], [1]]
+
+
 @pytest.mark.skipif(not HAVE_TOKENIZERS, reason="no tokenizer files")
 def test_tokens(spark):
     enc = tokens.encoder()
     for text in ("Olá, mundo! ٣ " * 3000, "a" * 50_000, "<|endoftext|>"):
         assert enc.decode(tokens.encode(text)) == text
+    for text in ("abcdefghijk7x" * 5000, "the parcel arrived " * 20_000, "a\n" * 30_000, " \n" * 400 + "x" + " " * 999 + "y" + " " * 1000 + "z" + "\t" * 1500, "\x1c" * 2000 + " x"):
+        assert tokens.encode(text) == enc.encode_ordinary(text)
+    assert len(tokens.encode(" " * 1_000_000 + "word")) > 900_000  # more white space than the pattern can match
     df = spark.createDataFrame([(1, "one two"), (2, None), (3, ""), (4, "b " * 40_000)], "doc_id bigint, text string")
     got = {r.doc_id: r.tokens for r in packing.sized(df).collect()}
     assert got[2] == got[3] == 0 and got[1] == 2 and got[4] >= 40_000
@@ -280,7 +298,9 @@ def test_mix_meets_targets(spark):
     cap = {"a": 1, "b": 6, "c": 1}
     assert all(0 < r.uses <= cap[r.source] for r in drawn.collect())
     report = {r.source: r for r in mixing.shares(drawn, targets).collect()}
-    assert report["a"].met and report["b"].met and not report["c"].met and not report["absent"].met
+    assert report["a"].tokens_met and report["b"].tokens_met and not report["c"].tokens_met and not report["absent"].tokens_met
+    assert [report[x].limit for x in ("a", "b", "c", "absent")] == [None, None, "max_repeats", "no documents"]
+    assert not report["a"].share_met and not report["c"].share_met  # what c and absent lack makes the others' shares larger
     assert report["c"].n_documents == sum(1 for _, s, t in items if s == "c" and t)
     rows = mixing.mixed(drawn).collect()
     assert len(rows) == sum(r.n_uses for r in report.values())
@@ -288,9 +308,23 @@ def test_mix_meets_targets(spark):
     assert mixing.draw(df.limit(0), targets).collect() == [] and mixing.draw(df, targets.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("n", [3, 40, 400])
+def test_small_sources_are_met_to_half_a_document(spark, n):
+    rng = random.Random(n)
+    items = [(i, "s", rng.randrange(1, 3000)) for i in range(n)]
+    df = spark.createDataFrame(items, "doc_id bigint, source string, tokens bigint")
+    whole = sum(t for *_, t in items)
+    for cap, share in ((1, 0.3), (6, 2.2), (900, 750.0)):
+        targets = spark.createDataFrame([("s", 1.0, cap)], "source string, target_share double, max_repeats int")
+        drawn = mixing.draw(df, targets, total=int(whole * share)).collect()
+        # documents come one at a time as the mean rises, so the nearest mean is off by half of the longest at most
+        assert abs(sum(r.tokens * r.uses for r in drawn) - int(whole * share)) <= max(t for *_, t in items) / 2 * (1 if cap < 900 else 2) + 1
+
+
 def test_poisson():
     cdf = mixing.poisson_cdf(2.0, 30)
     assert cdf[0] == pytest.approx(np.exp(-2)) and cdf[-1] == pytest.approx(1)
+    assert mixing.poisson_cdf(5000.0, 5001)[-1] == pytest.approx(0.5, abs=0.01) and mixing.poisson_cdf(0.0, 3).tolist() == [1, 1, 1]
 
 
 # --- problem 10
