@@ -30,15 +30,16 @@ def assignments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of tied sets with more than one split, by the components the split search works on."""
+    """Rows of tied sets with more than one split: the search starts from the earlier run's splits, and reports the sets that can't keep theirs."""
     users = table(spark, d, "documents").select(F.col("doc_id").alias("row_index"), author().alias("user_id"))
     rows = assignments(spark, d).where("split is not null").join(users, "row_index", "left")
     rows = with_component(rows, "row_index", ["user_id", "sku", "group_key"])
-    rows = cut(rows.select("row_index", "component", "split"))
-    mixed = rows.groupBy("component").agg((F.min("split") != F.max("split")).alias("mixed")).where("mixed").select("component")
-    tied = rows.join(mixed, "component").select(F.lit("split_assignments").alias("record_table"), F.col("row_index").alias("record_id")).distinct()
-    users = table(spark, d, "user_partitions").select("user_id", clean_id("partition").alias("p")).groupBy("user_id").agg((F.min("p") != F.max("p")).alias("mixed")).where("mixed and user_id is not null")
-    return tied.unionByName(users.select(F.lit("user_partitions").alias("record_table"), F.col("user_id").alias("record_id")))
+    rows = cut(rows.select("row_index", "component", "customer_rating", F.when(F.col("split") == "protected_test", "test").otherwise(F.col("split")).alias("split")))
+    placed = split_groups(rows, "customer_rating", RATINGS, before="split")
+    tied = rows.join(placed.where("mixed"), "component").select(F.lit("split_assignments").alias("record_table"), F.col("row_index").alias("record_id")).distinct()
+    people = table(spark, d, "user_partitions").where("user_id is not null").select(F.col("user_id").alias("component"), clean_id("partition").alias("split"))
+    placed = split_groups(people, None, [], before="split")
+    return tied.unionByName(placed.where("mixed").select(F.lit("user_partitions").alias("record_table"), F.col("component").alias("record_id")))
 
 
 def prepared_records(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +60,7 @@ def p1_assign(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for name, label in (("documents", "customer_rating"), ("user_partitions", None)):
         own = records.where(F.col("record_table") == name)
-        placed = cut(split_groups(own, label, RATINGS if label else []))
+        placed = split_groups(own, label, RATINGS if label else [])
         rows = own.join(placed, "component").select("record_table", "record_id", F.col("component").alias("group_key"), "split")
         out = rows if out is None else out.unionByName(rows)
     return out

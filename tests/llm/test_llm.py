@@ -80,10 +80,12 @@ def test_anneal_improves_and_keeps_whole_groups():
     weights = np.stack([sizes, rng.binomial(sizes, 0.3)], axis=1).astype(float)
     target = np.outer([0.7, 0.15, 0.15], weights.sum(axis=0))
     start = rng.integers(0, 3, 300)
-    end = anneal(weights, start, target, 1)
+    end, cost = anneal(weights, start, target, 1)
     off = lambda s: np.abs(np.array([weights[s == k].sum(axis=0) for k in range(3)]) - target).sum()
     assert off(end) < 0.02 * weights.sum() < off(start)
-    assert (anneal(weights, start, target, 1) == end).all()
+    again, same = anneal(weights, start, target, 1)
+    assert (again == end).all() and same == cost
+    assert anneal(weights[:0], start[:0], target, 1)[0].tolist() == []
 
 
 def test_split_groups_with_a_giant(spark):
@@ -96,6 +98,26 @@ def test_split_groups_with_a_giant(spark):
     assert split_groups(df.limit(0), "label", [0]).collect() == []
 
 
+def test_split_groups_from_an_earlier_run(spark):
+    rng = random.Random(12)
+    rows = [(f"c{i % 500}", rng.choice(SPLITS) if i % 500 < 20 else SPLITS[0 if i % 10 < 7 else 1 if i % 20 < 17 else 2]) for i in range(2000)] + [(None, "train"), ("odd", "elsewhere"), ("none", None), ("half", None), ("half", "train")]
+    got = {r.component: r for r in split_groups(spark.createDataFrame(rows, "component string, old string"), None, [], before="old").collect()}
+    had = defaultdict(set)
+    for c, s in rows:
+        had[c].add(s)
+    assert set(got) == set(had) - {None} and {c for c, r in got.items() if r.mixed} == {c for c, s in had.items() if c and len(s - {None}) > 1}
+    size = Counter(got[c].split for c, _ in rows if c)
+    assert abs(size["train"] / len(rows) - 0.7) < 0.01 and abs(size["test"] / len(rows) - 0.15) < 0.01
+
+
+def test_more_blocks_than_one(spark):
+    df = spark.range(9000).select((F.col("id") % 6000).alias("component"), (F.col("id") % 5).alias("label"))
+    got = split_groups(df, "label", [0, 1, 2, 3, 4]).join(df, "component").groupBy("split").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("label") == i).alias(f"l{i}") for i in range(5)]).collect()
+    for r in got:
+        share = dict(zip(SPLITS, (0.7, 0.15, 0.15)))[r.split]
+        assert abs(r.n / 9000 - share) < 0.002 and all(abs(r[f"l{i}"] / 1800 - share) < 0.01 for i in range(5))
+
+
 # --- problem 5
 
 
