@@ -5,15 +5,20 @@
 
 from __future__ import annotations
 
+import bisect
 import math
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from cartloom.operators.asof import time_cuts
+from cartloom.operators.asof import in_pieces, time_cuts
 from cartloom.session import cut, shuffle_width
 
 DAY_US = 86_400_000_000
+#: Ranges of values by which prior_medians counts a large key.
+RANGES = 256
 
 
 def micros(col: Column | str) -> Column:
@@ -58,37 +63,114 @@ def trailing_load(keys: list[str], us: str, tie: str, days: int) -> Column:
     return _trailing(F.lit(1), keys, us, tie, days * DAY_US) - 1
 
 
-def running_by_time(df: DataFrame, ties: list[str], amounts: dict[str, str], pieces: int | None = None) -> DataFrame:
+def running_by_time(df: DataFrame, ties: list[str], amounts: dict[str, str], pieces: int | None = None, cuts: DataFrame | None = None) -> DataFrame:
     """df plus cum_<name> for each amount, summed per _entity in (_us, ties) order up to and with the row.
 
-    df has _entity (text) and _us. An entity above 1/pieces of all rows is cut at quantiles of its times; each piece is summed for
-    itself and the totals of the pieces before it are added, so no entity is one task's.
+    df has _entity (text) and _us. An entity above 1/pieces of all rows is cut at quantiles of its times (cuts: those of time_cuts if
+    they are known); each piece is summed for itself and the totals of the pieces before it are added, so no entity is one task's.
     """
     pieces = pieces or shuffle_width(df.sparkSession)
-    cuts = time_cuts(df.select("_entity", "_us"), pieces)
-    place = F.size(F.filter("_cuts", lambda c: c < F.col("_us")))
-    # `cuts` has at most `pieces` rows
-    cut_rows = df.join(F.broadcast(cuts), "_entity", "left").withColumn("_piece", F.when(F.col("_cuts").isNull(), 0).otherwise(place))
-    totals = cut_rows.where("_cuts is not null").groupBy("_entity", "_piece").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in amounts.items()])
+    cuts = time_cuts(df.select("_entity", "_us"), pieces) if cuts is None else cuts
+    rows = in_pieces(df, cuts)
+    totals = rows.join(F.broadcast(cuts.select("_entity")), "_entity", "left_semi").groupBy("_entity", "_piece").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in amounts.items()])
     earlier = Window.partitionBy("_entity").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_entity", "_piece", *[F.sum(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in amounts])
     local = Window.partitionBy("_entity", "_piece").orderBy("_us", *ties).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut_rows.drop("_cuts").withColumns({f"_l_{n}": F.sum(c).over(local) for n, c in amounts.items()}).join(F.broadcast(offsets), ["_entity", "_piece"], "left")
+    out = rows.withColumns({f"_l_{n}": F.sum(c).over(local) for n, c in amounts.items()}).join(F.broadcast(offsets), ["_entity", "_piece"], "left")
     return out.select(*df.columns, *[(F.coalesce(f"_l_{n}", F.lit(0)) + F.coalesce(f"_o_{n}", F.lit(0))).alias(f"cum_{n}") for n in amounts])
 
 
+def prior_stats(df: DataFrame, key: str, at: str, tie: str, values: list[str], cuts: DataFrame | None = None) -> DataFrame:
+    """df plus prior_n and, for each value v, mean_v and std_v (sample) over the rows of the key before each, in (at, tie) order.
+
+    By running_by_time, so a large key is split. Null values are skipped by mean and std but are rows for prior_n. Rows without a key
+    or time are left out.
+    """
+    per, amounts = {}, {"one": "_one"}
+    for i, name in enumerate(values):
+        v = F.col(name).cast("double")
+        per |= {f"_has{i}": v.isNotNull().cast("int"), f"_v{i}": F.coalesce(v, F.lit(0.0)), f"_q{i}": F.coalesce(v * v, F.lit(0.0))}
+        amounts |= {c[1:]: c for c in (f"_has{i}", f"_v{i}", f"_q{i}")}
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(key).cast("string").alias("_entity"), micros(at).alias("_us"), F.col(tie).alias("_tie"), F.lit(1).alias("_one"), *[c.alias(n) for n, c in per.items()])
+    run = running_by_time(rows.where("_entity is not null and _us is not null"), ["_tie"], amounts, cuts=cuts)
+    out = [(F.col("cum_one") - 1).cast("int").alias("prior_n")]
+    for i, name in enumerate(values):
+        n, s, q = (F.col(f"cum_{c}{i}") - F.col(f"_{c}{i}") for c in ("has", "v", "q"))
+        spread = F.when(n > 1, F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))))
+        out += [F.try_divide(s, n).alias(f"mean_{name}"), spread.alias(f"std_{name}")]
+    return run.select("_row.*", *out)
+
+
 def prior_totals(df: DataFrame, key: str, at: str, tie: str, value: str) -> DataFrame:
-    """df plus prior_n, prior_mean, prior_std (sample) of `value` over the rows of the key before each, in (at, tie) order; by running_by_time.
+    """df plus prior_n, prior_mean, prior_std (sample) of `value` over the rows of the key before each, in (at, tie) order; as prior_stats."""
+    out = prior_stats(df, key, at, tie, [value])
+    return out.select(*df.columns, "prior_n", F.col(f"mean_{value}").alias("prior_mean"), F.col(f"std_{value}").alias("prior_std"))
 
-    Null values are skipped by mean and std but are rows for prior_n. Rows without a key or time are left out.
+
+def prior_medians(df: DataFrame, key: str, at: str, tie: str, value: str, out: str, cuts: DataFrame | None = None) -> DataFrame:
+    """df plus `out`: the median of `value` over the rows of the key before each, in (at, tie) order; null with none; nulls are skipped.
+
+    A task goes through a piece of a key in order with its values so far in a sorted list. A large key is cut at quantiles of its
+    times. Of n values before a piece and m in it, the medians within the piece are among the earlier values of rank n / 2 - m to
+    (n + m) / 2: these are sent to it, found by counts per piece and range of values, and how many are below them. So a piece
+    handles a few times its own rows, whatever the key has. Rows without a key or time are left out.
     """
-    v = F.col(value).cast("double")
-    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(key).cast("string").alias("_entity"), micros(at).alias("_us"), F.col(tie).alias("_tie"), F.lit(1).alias("_one"), v.isNotNull().cast("int").alias("_has"), F.coalesce(v, F.lit(0.0)).alias("_v"), F.coalesce(v * v, F.lit(0.0)).alias("_vv"))
-    run = running_by_time(rows.where("_entity is not null and _us is not null"), ["_tie"], {"one": "_one", "has": "_has", "v": "_v", "vv": "_vv"})
-    n, s, q = F.col("cum_has") - F.col("_has"), F.col("cum_v") - F.col("_v"), F.col("cum_vv") - F.col("_vv")
-    mean = F.try_divide(s, n)
-    spread = F.when(n > 1, F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))))
-    return run.select("_row.*", (F.col("cum_one") - 1).cast("int").alias("prior_n"), mean.alias("prior_mean"), spread.alias("prior_std"))
+    pieces = shuffle_width(df.sparkSession)
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(key).cast("string").alias("_entity"), micros(at).alias("_us"), F.col(tie).alias("_tie"), F.col(value).cast("double").alias("_v")).where("_entity is not null and _us is not null")
+    cuts = time_cuts(rows.select("_entity", "_us"), pieces) if cuts is None else cuts
+    rows = in_pieces(rows, cuts)
+    heavy = rows.join(F.broadcast(cuts.select("_entity")), "_entity", "left_semi").where("_v is not null").select("_entity", "_piece", "_v")
+    ranges = heavy.groupBy("_entity").agg(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], F.lit(20 * RANGES)).alias("_edges"))
+    ranged = heavy.join(F.broadcast(ranges), "_entity").withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
+    counts = ranged.groupBy("_entity", "_piece", "_range").agg(F.count(F.lit(1)).alias("_n"))  # RANGES rows per piece
+    sizes = rows.join(F.broadcast(cuts.select("_entity")), "_entity", "left_semi").groupBy("_entity", "_piece").agg(F.count(F.lit(1)).alias("_m"))
+    grid = sizes.select("_entity", "_piece", "_m", F.explode(F.sequence(F.lit(0), F.lit(RANGES - 1))).alias("_range")).join(counts, ["_entity", "_piece", "_range"], "left")
+    earlier = Window.partitionBy("_entity", "_range").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("_entity", "_piece").orderBy("_range")
+    grid = grid.withColumn("_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumn("_cum", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(Window.partitionBy("_entity", "_piece")))
+    low, high = F.floor((F.col("_all") - 1) / 2) - F.col("_m"), F.ceil((F.col("_all") + F.col("_m")) / 2)
+    needed = grid.where((F.col("_cum") > low) & (F.col("_cum") - F.col("_n") <= high))
+    needs = cut(needed.groupBy("_entity", "_piece").agg(F.min("_range").alias("_a"), F.max("_range").alias("_b"), F.min(F.col("_cum") - F.col("_n")).alias("_below"), F.max("_all").alias("_before")))  # a row per piece
+    lists = needs.groupBy("_entity").agg(F.collect_list(F.struct(F.col("_piece").alias("p"), "_a", "_b")).alias("_needs"))
+    to = F.filter("_needs", lambda x: (x["p"] > F.col("_piece")) & (x["_a"] <= F.col("_range")) & (x["_b"] >= F.col("_range")))
+    sent = ranged.join(F.broadcast(lists), "_entity").select("_entity", F.explode(to).alias("_to"), "_v").select("_entity", F.col("_to.p").alias("_piece"), "_v", F.lit(False).alias("_own"))
+    both = rows.withColumn("_own", F.lit(True)).unionByName(sent, allowMissingColumns=True).join(F.broadcast(needs.select("_entity", "_piece", "_below", "_before")), ["_entity", "_piece"], "left")
+    order = ["_entity", "_piece", "_own", "_us", "_tie"]
+    ready = both.repartition(pieces, "_entity", "_piece").sortWithinPartitions(*order).select("_entity", "_piece", "_own", "_v", F.coalesce("_below", F.lit(0)).alias("_below"), F.coalesce("_before", F.lit(0)).alias("_before"), "_row")
+
+    def medians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_piece, values, n = None, [], 0
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("_entity", "_piece", "_own", "_v", "_below", "_before")]
+            keep, found = [], []
+            for i, (entity, piece, own, v, below, before) in enumerate(zip(*columns)):
+                if (entity, piece) != at_piece:
+                    at_piece, values, n = (entity, piece), [], before
+                if own:
+                    keep.append(i)
+                    found.append((values[(n - 1) // 2 - below] + values[n // 2 - below]) / 2 if n else None)
+                    n += v is not None
+                if v is not None:
+                    bisect.insort(values, v)
+            yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(keep, pa.int64())), pa.array(found, pa.float64())], ["_row", "_m"])
+
+    done = ready.mapInArrow(medians, f"_row {ready.schema['_row'].dataType.simpleString()}, _m double")
+    return done.select("_row.*", F.col("_m").alias(out))
+
+
+def cuts_of(df: DataFrame, key: str, at: str) -> DataFrame:
+    """The cuts of df's large keys (time_cuts), for several of the functions here; df should be a table or `cut`."""
+    rows = df.select(F.col(key).cast("string").alias("_entity"), micros(at).alias("_us")).where("_entity is not null and _us is not null")
+    return time_cuts(rows, shuffle_width(df.sparkSession))
+
+
+def by_weight(df: DataFrame, key: str, cuts: DataFrame, plain: Callable[[DataFrame], DataFrame], split: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`plain` for the keys that a task can hold, `split` for those of `cuts` (time_cuts); both must give the same columns and results."""
+    large = [r[0] for r in cuts.select("_entity").collect()]  # at most as many as pieces
+    if not large:
+        return plain(df)
+    is_large = F.col(key).cast("string").isin(large)
+    return plain(df.where(~is_large)).unionByName(split(df.where(is_large)))
 
 
 def split_trailing(df: DataFrame, key: str, at: str, tie: str, value: str, rows_back: int, least: int, days_back: int, load_days: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cartloom.operators import windows as W
 from cartloom.plans.registry import Registry
+from cartloom.session import cut
 from cartloom.sources.tables import table, tables
 
 R = Registry()
@@ -47,8 +48,11 @@ def wn03_latest_per_user(spark, d):
 
 @R.query(f"WITH {SELLER_ORDERS} SELECT seller, id, row_number() OVER ({_PART}) - 1 AS prior_n, round(avg(y) OVER w, 8) AS prior_mean, round(stddev_samp(y) OVER w, 8) AS prior_std, quantile_cont(qty, 0.5) OVER w AS prior_median FROM so WINDOW w AS ({_PART} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def wn04_07_seller_prior(spark, d):
-    w = W.before(["seller"], ["ts", "id"])
-    return seller_orders(spark, d).select("seller", "id", W.prior_count(["seller"], ["ts", "id"]).alias("prior_n"), F.round(F.avg("y").over(w), 8).alias("prior_mean"), F.round(F.stddev_samp("y").over(w), 8).alias("prior_std"), F.percentile("qty", F.lit(0.5)).over(w).alias("prior_median"))
+    """Counts, means, deviations and medians of what came before; a large seller is split over tasks."""
+    rows = cut(seller_orders(spark, d).select("seller", "id", "ts", "y", "qty"))
+    cuts = W.cuts_of(rows, "seller", "ts")
+    rows = W.prior_medians(W.prior_stats(rows, "seller", "ts", "id", ["y"], cuts), "seller", "ts", "id", "qty", "prior_median", cuts)
+    return rows.select("seller", "id", F.col("prior_n").cast("bigint").alias("prior_n"), F.round("mean_y", 8).alias("prior_mean"), F.round("std_y", 8).alias("prior_std"), "prior_median")
 
 
 @R.query(f"WITH {SELLER_ORDERS} SELECT seller, id, CAST(row_number() OVER ({_PART}) - 1 AS INT) AS prior_n, round(avg(y) OVER w, 8) AS prior_mean, round(stddev_samp(y) OVER w, 8) AS prior_std FROM so WINDOW w AS ({_PART} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")

@@ -3,6 +3,7 @@
 import datetime as dt
 import gzip
 import random
+import statistics
 import zipfile
 
 import pytest
@@ -65,6 +66,22 @@ def test_split_trailing_is_the_plain_windows(spark):
     assert split == {r.id: (near(r.r), near(r.m), r.l) for r in plain.collect()}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_prior_medians_split_a_large_key(spark, seed):
+    rng = random.Random(seed)
+    value = lambda i: rng.choice([None, float(rng.randrange(5)), rng.gauss(i / 50, 3), float(i % 7)])
+    rows = [("hot" if rng.random() < 0.7 else rng.choice("abcdefgh"), i, T0 + DAY * rng.randrange(60), value(i)) for i in range(900)] + [(None, 900, T0, 1.0), ("a", 901, None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, id int, t timestamp, v double")
+    got = {r.id: r.m for r in W.prior_medians(df, "k", "t", "id", "v", "m").collect()}
+    want = {}
+    for k, i, t, _ in rows:
+        if k and t:
+            before = [v for kk, j, tt, v in rows if kk == k and tt and (tt, j) < (t, i) and v is not None]
+            want[i] = pytest.approx(statistics.median(before)) if before else None
+    assert got == want
+    assert W.prior_medians(df.limit(0), "k", "t", "id", "v", "m").collect() == []
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_prior_totals_split_a_large_key(spark, seed):
     rng = random.Random(seed)
