@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.operators import windows as W
+from cartloom.session import cut
 
 
 def product_features(items: DataFrame, products: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def product_features(items: DataFrame, products: DataFrame) -> DataFrame:
 def seller_frames(df: DataFrame, cuts: DataFrame, key: str, at: str, tie: str, late: str, days: str) -> DataFrame:
     """df plus late_30d, late_90d, days_30d (shifted trailing means), late_30 (of the last 30 rows, with 3 at least) and load_7d of each row's key.
 
-    A key that one task can hold takes the windows; the others take running sums and joins by place.
+    `tie` tells a row. A key that one task can hold takes the windows; the others take running sums and joins by place.
     """
 
     def plain(rows: DataFrame) -> DataFrame:
@@ -35,9 +36,11 @@ def seller_frames(df: DataFrame, cuts: DataFrame, key: str, at: str, tie: str, l
         return out.drop("_us").select(*df.columns, "late_30d", "late_90d", "days_30d", "late_30", F.col("load_7d").cast("bigint").alias("load_7d"))
 
     def split(rows: DataFrame) -> DataFrame:
-        out = W.split_trailing(rows, key, at, tie, late, 30, 3, 30, 7).withColumnsRenamed({"mean_rows": "late_30", "mean_days": "late_30d", "load": "load_7d"})
-        out = W.split_trailing(out, key, at, tie, late, 30, 3, 90, 7).drop("mean_rows", "load").withColumnRenamed("mean_days", "late_90d")
-        out = W.split_trailing(out, key, at, tie, days, 30, 3, 30, 7).drop("mean_rows", "load").withColumnRenamed("mean_days", "days_30d")
-        return out.select(*df.columns, "late_30d", "late_90d", "days_30d", "late_30", F.col("load_7d").cast("bigint").alias("load_7d"))
+        rows = cut(rows)
+        frame = lambda value, span: cut(W.split_trailing(rows.select(tie, key, at, value), key, at, tie, value, 30, 3, span, 7))
+        short = frame(late, 30).select(tie, F.col("mean_rows").alias("late_30"), F.col("mean_days").alias("late_30d"), F.col("load").cast("bigint").alias("load_7d"))
+        long = frame(late, 90).select(tie, F.col("mean_days").alias("late_90d"))
+        out = rows.join(short, tie).join(long, tie).join(frame(days, 30).select(tie, F.col("mean_days").alias("days_30d")), tie)
+        return out.select(*df.columns, "late_30d", "late_90d", "days_30d", "late_30", "load_7d")
 
     return W.by_weight(df, key, cuts, plain, split)
