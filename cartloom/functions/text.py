@@ -10,7 +10,7 @@ from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -136,3 +136,24 @@ def ngrams(tokens: Column, n: int) -> Column:
 def char_ngrams(col: Column, n: int) -> Column:
     """Runs of n characters, in one pass over the text (a substring by position would scan from its start each time)."""
     return F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
+# Fixed values of the light Arabic stemmer (Larkey, Ballesteros and Connell 2002, light10): articles and endings.
+ARTICLES, ENDINGS = ["ال", "وال", "بال", "كال", "فال", "لل"], ["ها", "ان", "ات", "ون", "ين", "يه", "ية", "ه", "ة", "ي"]
+
+
+def light_stem(word: Column) -> Column:
+    """A word without its conjunction, article and endings, as long as three (two) letters are left; other scripts are unchanged."""
+    out = F.regexp_replace(word, "^و(?=.{3,}$)", "")
+    out = F.regexp_replace(out, f"^(?:{'|'.join(sorted(ARTICLES, key=len, reverse=True))})(?=.{{2,}}$)", "")
+    for ending in ENDINGS:
+        out = F.regexp_replace(out, f"(?<=.{{2}}){ending}$", "")
+    return out
+
+
+def stem_views(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs plus stems: the text's words as light stems, one blank between. Every different text is stemmed once, by its content hash."""
+    keyed = docs.withColumn("_content", F.sha2(text, 256))
+    once = keyed.where(F.col(text).isNotNull()).groupBy("_content").agg(F.any_value(text).alias("_t"))
+    stems = once.select("_content", F.array_join(F.transform(words(arabic_light("_t")), light_stem), " ").alias("stems"))
+    return keyed.drop("stems").join(stems, "_content", "left").drop("_content")

@@ -6,10 +6,16 @@ no task has to hold a whole group.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartloom.operators.windows import running_totals, running_within
+from cartloom.session import shuffle_width
 
 
 def by_score(rows: DataFrame, group: list[str]) -> DataFrame:
@@ -89,25 +95,106 @@ def class_report(pairs: DataFrame, labels: list[str] | None = None) -> DataFrame
     return per.select("label", "support", "predicted", "hits", ratio(F.col("hits"), F.col("predicted")).alias("precision"), ratio(F.col("hits"), F.col("support")).alias("recall"), ratio(2 * F.col("hits"), F.col("predicted") + F.col("support")).alias("f1"))
 
 
-def bootstrap(rows: DataFrame, statistic: dict[str, Column], replicates: int, seed: int, key: str) -> DataFrame:
-    """(replicate, statistics): Poisson bootstrap; each row's weight in a replicate comes from a hash of its key.
+def class_summary(cells: DataFrame) -> DataFrame:
+    """(accuracy, balanced_accuracy, macro_f1, weighted_f1, mcc) from counted pairs (truth, guess, n), for any number of classes.
+
+    balanced_accuracy: mean recall of the classes that occur; macro_f1: over all observed labels; mcc: 0 where it has no denominator.
+    """
+    sides = F.array(F.struct(F.col("truth").alias("label"), F.col("n").alias("t"), F.lit(0).cast("bigint").alias("p")), F.struct(F.col("guess").alias("label"), F.lit(0).cast("bigint").alias("t"), F.col("n").alias("p")))
+    per = cells.select(F.explode(sides).alias("x"), F.when(F.col("truth") == F.col("guess"), F.col("n")).otherwise(0).alias("h")).groupBy("x.label").agg(F.sum("x.t").alias("t"), F.sum("x.p").alias("p"), (F.sum("h") / 2).alias("h"))
+    t, p, h = (F.col(c).cast("double") for c in ("t", "p", "h"))
+    f1 = F.coalesce(F.try_divide(2 * h, t + p), F.lit(0.0))
+    per = per.agg(F.sum(t).alias("s"), F.sum(h).alias("c"), F.sum(t * p).alias("tp"), F.sum(t * t).alias("tt"), F.sum(p * p).alias("pp"), F.avg(F.try_divide(h, t)).alias("balanced_accuracy"), F.avg(f1).alias("macro_f1"), F.sum(f1 * t).alias("wf"))
+    s, root = F.col("s"), F.sqrt((F.col("s") * F.col("s") - F.col("pp")) * (F.col("s") * F.col("s") - F.col("tt")))
+    return per.select(F.try_divide(F.col("c"), s).alias("accuracy"), "balanced_accuracy", "macro_f1", F.try_divide(F.col("wf"), s).alias("weighted_f1"), F.when(s > 0, F.coalesce(F.try_divide(F.col("c") * s - F.col("tp"), root), F.lit(0.0))).alias("mcc"))
+
+
+def poisson_weights(hashes: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """rows x replicates: how often each row is drawn in each replicate, a Poisson number with mean 1 from a hash of the row's key."""
+    with np.errstate(over="ignore"):
+        x = hashes.view(np.uint64)[:, None] + (np.arange(1, replicates + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 32)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        u = (x ^ (x >> np.uint64(31))) >> np.uint64(11)
+    chances = np.cumsum(np.exp(-1.0) / np.concatenate([[1.0], np.cumprod(np.arange(1.0, 20.0))]))
+    return np.searchsorted(chances, u / float(1 << 53), side="right")
+
+
+def bootstrap_sums(rows: DataFrame, sums: dict[str, Column], replicates: int, seed: int, key: str) -> DataFrame:
+    """(replicate, w, sums): Poisson bootstrap of sums: each row counts as often as the hash of its key says; w is the resample's size.
+
+    One pass: a task keeps the sums of all its replicates and gives a row for each; null values add nothing.
+    """
+    names = [*sums]
+    narrow = rows.select(F.xxhash64(key).alias("_h"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in sums.items()])
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((replicates, len(names) + 1))
+        for pdf in batches:
+            values = np.column_stack([np.ones(len(pdf)), *[pdf[n].to_numpy(dtype=float) for n in names]])
+            for at in range(0, len(pdf), 4096):
+                total += poisson_weights(pdf["_h"].to_numpy()[at : at + 4096], replicates, seed).T @ values[at : at + 4096]
+        yield pd.DataFrame(total, columns=["w", *names]).assign(replicate=np.arange(1, replicates + 1))[["replicate", "w", *names]]
+
+    parts = narrow.mapInPandas(draw, "replicate int, w double, " + ", ".join(f"{n} double" for n in names))
+    return parts.groupBy("replicate").agg(*[F.sum(n).alias(n) for n in ["w", *names]])
+
+
+def bootstrap_auc(rows: DataFrame, score: str, replicates: int, seed: int, key: str) -> DataFrame:
+    """(replicate, auc): ROC-AUC (ties half) of Poisson resamples of rows (y, score, key); null where a resample has one class only.
 
-    statistic: aggregates over the columns of rows and `w`. No resampled copy is made: a row is exploded once per replicate in
-    which its weight is not 0.
+    Rows are range-partitioned by the score; a task adds up its pairs for all replicates, and the pairs between tasks follow from
+    their numbers of each class. Equal scores are one task's.
     """
-    u = F.shiftrightunsigned(F.xxhash64(F.col(key), F.col("replicate"), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    chances, total, term = [], 0.0, 2.718281828459045 ** -1
-    for k in range(12):
-        total += term
-        chances.append(total)
-        term /= k + 1
-    weight = F.size(F.filter(F.array(*[F.lit(c) for c in chances]), lambda c: c <= F.col("_u")))
-    spread = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_u", u).withColumn("w", weight).where("w > 0")
-    return spread.groupBy("replicate").agg(*[c.alias(n) for n, c in statistic.items()])
+    narrow = rows.where(F.col("y").isNotNull() & F.col(score).isNotNull()).select(F.col(score).cast("double").alias("s"), F.col("y").cast("int").alias("y"), F.xxhash64(key).alias("_h"))
+    ordered = narrow.repartitionByRange(shuffle_width(rows.sparkSession), "s").sortWithinPartitions("s")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low = np.zeros(replicates)  # negatives below the current score
+        tie_p, tie_q, pairs, positives = (np.zeros(replicates) for _ in range(4))
+        at = None
+        for pdf in batches:
+            s, y = pdf["s"].to_numpy(), pdf["y"].to_numpy()
+            for a in range(0, len(pdf), 4096):
+                w = poisson_weights(pdf["_h"].to_numpy()[a : a + 4096], replicates, seed).astype(float)
+                part, label = s[a : a + 4096], y[a : a + 4096, None]
+                starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                p, q = np.add.reduceat(w * (label == 1), starts, axis=0), np.add.reduceat(w * (label == 0), starts, axis=0)
+                if part[0] == at:  # the tie goes on from the batch before
+                    p[0] += tie_p
+                    q[0] += tie_q
+                elif at is not None:
+                    p, q = np.vstack([tie_p, p]), np.vstack([tie_q, q])
+                below = low + np.cumsum(q, axis=0) - q
+                pairs += (p[:-1] * (below[:-1] + q[:-1] / 2)).sum(axis=0)
+                positives += p[:-1].sum(axis=0)
+                low, tie_p, tie_q, at = below[-1], p[-1], q[-1], part[-1]
+        pairs += tie_p * (low + tie_q / 2)
+        first = TaskContext.get().partitionId()
+        yield pd.DataFrame({"part": first, "replicate": np.arange(1, replicates + 1), "pairs": pairs, "p": positives + tie_p, "q": low + tie_q})
+
+    parts = ordered.mapInPandas(count, "part int, replicate int, pairs double, p double, q double")
+    before = F.coalesce(F.sum("q").over(Window.partitionBy("replicate").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    wins = parts.withColumn("wins", F.col("pairs") + F.col("p") * before).groupBy("replicate").agg(F.sum("wins").alias("wins"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    return wins.select("replicate", F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("wins") / (F.col("p") * F.col("q"))).alias("auc"))
+
+
+def macro_f1_of_sums(labels: list[str], side: str = "") -> Column:
+    """Macro-F1 over the labels from the sums t_i (truth), p_i (guess) and h_i (hits) of each; `side` is put before their names."""
+    f1 = [F.coalesce(F.try_divide(2 * F.col(f"{side}h{i}"), F.col(f"t{i}") + F.col(f"{side}p{i}")), F.lit(0.0)) for i in range(len(labels))]
+    return sum(f1[1:], f1[0]) / len(labels)
+
+
+def class_sums(labels: list[str], truth: Column, guesses: dict[str, Column]) -> dict[str, Column]:
+    """The indicators that macro_f1_of_sums needs, for several guesses of the same rows: side -> guess."""
+    out = {f"t{i}": (truth == v).cast("int") for i, v in enumerate(labels)}
+    for side, guess in guesses.items():
+        out |= {f"{side}p{i}": (guess == v).cast("int") for i, v in enumerate(labels)} | {f"{side}h{i}": ((guess == v) & (truth == v)).cast("int") for i, v in enumerate(labels)}
+    return out
 
 
 def interval(replicates: DataFrame, column: str, level: float = 0.95) -> DataFrame:
-    """(low, high): percentile interval."""
+    """(low, high): percentile interval over replicates, a few hundred rows; null ones (of rejected resamples) are left out."""
     low = (1 - level) / 2
     return replicates.agg(F.percentile(column, F.lit(low)).alias("low"), F.percentile(column, F.lit(1 - low)).alias("high"))
 

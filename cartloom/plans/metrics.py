@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartloom.functions.keys import clean_id
 from cartloom.operators import metrics as M
 from cartloom.operators import windows as W
+from cartloom.plans import features as features_plans
+from cartloom.plans.features import fq02_expanded
 from cartloom.plans.registry import Registry
 from cartloom.plans.relational import ORDERS, orders
 from cartloom.session import cut
 from cartloom.sources.tables import table
 
 R = Registry()
+FEATURES_SQL = features_plans.R.sql["fq02_expanded"]
 
 SCORED = f"""{ORDERS}, t AS (SELECT DISTINCT p.prediction_id AS id, model_version AS g, score AS s, CAST(delivered > due AS INT) AS y, risk_level, strftime(bought, '%Y-%m') AS month FROM prediction_log p JOIN o ON o.order_id = lower(trim(p.order_id)) WHERE delivered IS NOT NULL AND due IS NOT NULL AND score IS NOT NULL)"""
 
@@ -168,20 +173,79 @@ def mt16_ordinal(spark, d):
     return label_pairs(spark, d).agg(F.round(F.avg(gap), 8).alias("mae"), F.round(F.avg((gap <= 1).cast("int")), 8).alias("within_1"), F.round(F.avg((gap >= 2).cast("int")), 8).alias("severe"))
 
 
+@R.query(f"WITH {_PAIRS}, l AS (SELECT truth AS label FROM x UNION SELECT guess FROM x), r AS ({_REPORT}), m AS (SELECT sum(support)::DOUBLE AS s, sum(hits)::DOUBLE AS c, sum(support * predicted)::DOUBLE AS tp, sum(support * support)::DOUBLE AS tt, sum(predicted * predicted)::DOUBLE AS pp, avg(hits / nullif(CAST(support AS DOUBLE), 0)) AS ba, avg(coalesce(2 * hits / nullif(CAST(predicted + support AS DOUBLE), 0), 0)) AS mf, sum(support * coalesce(2 * hits / nullif(CAST(predicted + support AS DOUBLE), 0), 0)) AS wf FROM r) SELECT round(c / s, 8) AS accuracy, round(ba, 8) AS balanced_accuracy, round(mf, 8) AS macro_f1, round(wf / s, 8) AS weighted_f1, round(coalesce((c * s - tp) / nullif(sqrt((s * s - pp) * (s * s - tt)), 0), 0), 8) AS mcc FROM m")
+def mt13_summary(spark, d):
+    """Accuracy, balanced accuracy, F1 averages and Matthews' coefficient over all classes."""
+    return rounded(M.class_summary(label_pairs(spark, d).groupBy("truth", "guess").agg(N().alias("n"))))
+
+
 @R.query()
 def mt17_bootstrap(spark, d):
-    """Percentile interval of the Brier score and of the rate of late orders over 200 Poisson resamples."""
+    """Percentile intervals of the Brier score, the rate of late orders and the AUC over 200 Poisson resamples; those of one class are rejected."""
+    rows = cut(scored(spark, d).select("id", "s", "y"))
     gap = F.col("s") - F.col("y")
-    reps = cut(M.bootstrap(scored(spark, d).select("id", "s", "y"), {"brier": F.sum(F.col("w") * gap * gap) / F.sum("w"), "rate": F.sum(F.col("w") * F.col("y")) / F.sum("w")}, 200, 1, "id"))
-    return M.interval(reps, "brier").select(F.lit("brier").alias("metric"), "low", "high").unionByName(M.interval(reps, "rate").select(F.lit("rate").alias("metric"), "low", "high"))
+    sums = M.bootstrap_sums(rows, {"brier": gap * gap, "late": F.col("y")}, 200, 1, "id")
+    valid = cut(sums.where("late > 0 and late < w").select("replicate", (F.col("brier") / F.col("w")).alias("brier"), (F.col("late") / F.col("w")).alias("rate")).join(M.bootstrap_auc(rows, "s", 200, 1, "id"), "replicate"))
+    n = valid.count()
+    return reduce(DataFrame.unionByName, [M.interval(valid, m).select(F.lit(m).alias("metric"), "low", "high", F.lit(n).cast("bigint").alias("n_valid")) for m in ("brier", "rate", "auc")])
+
+
+_SETS = ["late_delivery", "seller_sla"]
+
+
+def two_guesses(spark, d) -> DataFrame:
+    """id, kind, y, s, truth, old, new: the outcome of each prediction and the classes of two rules on it (by score, by risk level)."""
+    kinds = table(spark, d, "prediction_log").select(F.col("prediction_id").alias("id"), F.col("prediction_type").alias("kind")).distinct()
+    name = lambda c: F.when(c, "late").otherwise("in time")
+    return scored(spark, d).where("risk_level is not null").join(kinds, "id").select("id", "kind", "y", "s", name(F.col("y") == 1).alias("truth"), name(F.col("s") >= 0.2).alias("old"), name(F.col("risk_level") == "high").alias("new"))
+
+
+def paired(rows: DataFrame, replicates: int = 200) -> DataFrame:
+    """(delta, low, high, weak_new, weak_old): macro-F1 of `new` less that of `old` on the same resamples, and the late class's F1 of both."""
+    labels = ["in time", "late"]
+    sums = M.class_sums(labels, F.col("truth"), {"a": F.col("new"), "b": F.col("old")})
+    gain = M.macro_f1_of_sums(labels, "a") - M.macro_f1_of_sums(labels, "b")
+    whole = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(n) for n, c in sums.items()])
+    f1 = lambda side: F.coalesce(F.try_divide(2 * F.col(f"{side}h1"), F.col("t1") + F.col(f"{side}p1")), F.lit(0.0))
+    reps = M.bootstrap_sums(rows, sums, replicates, 1, "id").where("t0 > 0 and t1 > 0").select(gain.alias("d"))
+    low, high = M.interval(reps, "d").first()
+    return whole.select(gain.alias("delta"), F.lit(low).cast("double").alias("low"), F.lit(high).cast("double").alias("high"), f1("a").alias("weak_new"), f1("b").alias("weak_old"))
 
 
 @R.query()
-def mt18_28_paired_bootstrap(spark, d):
-    """Interval of the difference of two models' Brier scores on the same resamples, and whether it excludes zero."""
-    gap, flat = F.col("s") - F.col("y"), F.lit(0.1) - F.col("y")
-    reps = M.bootstrap(scored(spark, d).select("id", "s", "y"), {"d": F.sum(F.col("w") * (flat * flat - gap * gap)) / F.sum("w")}, 200, 1, "id")
-    return M.interval(reps, "d").select("low", "high", ((F.col("low") > 0) | (F.col("high") < 0)).alias("excludes_zero"))
+def mt18_paired_bootstrap(spark, d):
+    """Intervals of the differences of two rules on the same resamples: macro-F1 per set, and Brier score and AUC of the score and of one half of it squared."""
+    rows = cut(two_guesses(spark, d))
+    out = [paired(rows.where(F.col("kind") == kind)).select(F.lit(f"macro_f1 {kind}").alias("difference"), "low", "high") for kind in _SETS]
+    gap, other = F.col("s") - F.col("y"), F.col("s") * F.col("s") / 2 - F.col("y")
+    brier = M.bootstrap_sums(rows, {"d": other * other - gap * gap}, 200, 1, "id").select((F.col("d") / F.col("w")).alias("d"))
+    level = M.bootstrap_auc(rows.withColumn("level", (F.col("new") == "late").cast("int")), "level", 200, 1, "id").select("replicate", F.col("auc").alias("b"))
+    auc = M.bootstrap_auc(rows, "s", 200, 1, "id").join(level, "replicate").select((F.col("auc") - F.col("b")).alias("d"))
+    out += [M.interval(brier, "d").select(F.lit("brier").alias("difference"), "low", "high"), M.interval(auc, "d").select(F.lit("auc").alias("difference"), "low", "high")]
+    return reduce(DataFrame.unionByName, out).withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
+
+
+@R.query()
+def mt28_challenger(spark, d):
+    """Whether the rule by risk level replaces the rule by score: on both kinds of prediction its macro-F1 is better beyond chance, and the late class's F1 not worse."""
+    rows = cut(two_guesses(spark, d))
+    return M.challenger_wins(reduce(DataFrame.unionByName, [paired(rows.where(F.col("kind") == kind)) for kind in _SETS]))
+
+
+_AP_MONTH = "c AS (SELECT g, month, s, p, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER (PARTITION BY g, month) AS pos FROM (SELECT g, month, s, sum(y) AS p, sum(1 - y) AS q FROM t WHERE month IS NOT NULL GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY g, month ORDER BY s DESC)), ap AS (SELECT g, month, sum(p * tp / CAST(tp + fp AS DOUBLE)) / nullif(max(pos), 0) AS ap FROM c GROUP BY 1, 2)"
+
+
+@R.query(f"""WITH {SCORED}, {_AP_MONTH}, d AS (SELECT a.g AS old, b.g AS new, b.ap - a.ap AS d FROM ap a JOIN ap b USING (month) WHERE a.g < b.g AND a.ap IS NOT NULL AND b.ap IS NOT NULL), k AS (SELECT old, new, count(*) AS n, avg(d) AS delta, avg(d) - 1.96::DOUBLE * coalesce(stddev_samp(d), 0) / sqrt(count(*)) AS low, count(*) FILTER (WHERE d > 0) AS better FROM d GROUP BY 1, 2)
+  SELECT old, new, n, round(delta, 8) AS delta, round(low, 8) AS low, better, CASE WHEN delta < -0.005 THEN 'DEGRADED_PERFORMANCE' WHEN delta > 0 AND (low > 0 OR better > 0) THEN 'SUPPORTED_INCREMENTAL_SIGNAL' ELSE 'NO_INCREMENTAL_SIGNAL' END AS evidence FROM k""")
+def mt22_evidence(spark, d):
+    """What each pair of models' gain in average precision, month by month, is evidence of."""
+    ap = M.average_precision(scored(spark, d).where("month is not null"), ["g", "month"]).where("ap is not null")
+    per = ap.groupBy("month").agg(F.array_sort(F.collect_list(F.struct("g", "ap"))).alias("v"))  # the models of a month: versions, not data
+    older = per.select("v", F.posexplode("v").alias("at", "o"))
+    pairs = older.select("o", F.explode(F.slice("v", F.col("at") + 2, F.size("v"))).alias("n")).select(F.col("o.g").alias("old"), F.col("n.g").alias("new"), (F.col("n.ap") - F.col("o.ap")).alias("d"))
+    k = pairs.groupBy("old", "new").agg(N().alias("n"), F.avg("d").alias("delta"), (F.avg("d") - 1.96 * F.coalesce(F.stddev_samp("d"), F.lit(0.0)) / F.sqrt(N())).alias("low"), F.count_if(F.col("d") > 0).alias("better"))
+    label = M.evidence_label(F.col("delta"), F.col("low"), F.col("better"), F.lit(True), F.lit(False), F.col("delta") < -0.005)
+    return k.select("old", "new", "n", F.round("delta", 8).alias("delta"), F.round("low", 8).alias("low"), "better", label.alias("evidence"))
 
 
 @R.query(f"""WITH {SCORED}, v AS (SELECT id, y, s, (ascii(substr(sha256(id), 1, 1)) + 1) * 1.0::DOUBLE AS v FROM t), k AS (SELECT y, v, row_number() OVER (ORDER BY s DESC, id) AS by_risk, row_number() OVER (ORDER BY v DESC, id) AS by_value, row_number() OVER (ORDER BY s * v DESC, id) AS by_both, count(*) OVER () AS n FROM v),
@@ -198,11 +262,16 @@ def mt19_budget(spark, d):
     return out
 
 
-@R.query(f"""WITH {SCORED}, u AS (SELECT 'score' AS g, y, s FROM t UNION ALL SELECT 'month', y, CAST(replace(month, '-', '') AS DOUBLE) FROM t WHERE month IS NOT NULL UNION ALL SELECT 'length', y, CAST(length(risk_level) AS DOUBLE) FROM t WHERE risk_level IS NOT NULL), t2 AS (SELECT * FROM u) SELECT feature, round(auc, 8) AS auc, round(greatest(auc, 1 - auc), 8) AS flipped_auc FROM (SELECT g AS feature, auc FROM ({_AUC.replace('FROM t)', 'FROM t2)')}))""")
+def _auc_features():
+    """The numeric features of the expanded table (FQ02), one by one."""
+    return [c for c in "purchase_year purchase_month purchase_day_of_week purchase_hour approval_year approval_month approval_day_of_week approval_hour purchase_to_approval_seconds payment_record_count max_payment_installments total_payment_value item_count unique_product_count unique_seller_count total_item_price total_freight_value mean_freight_value max_freight_value".split()]
+
+
+@R.query(f"""WITH f AS ({FEATURES_SQL}), t2 AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS g, late_delivery AS y, CAST({c} AS DOUBLE) AS s FROM f WHERE {c} IS NOT NULL" for c in _auc_features()) + f""") SELECT feature, round(auc, 8) AS auc, round(greatest(auc, 1 - auc), 8) AS flipped_auc FROM (SELECT g AS feature, auc FROM ({_AUC.replace('FROM t)', 'FROM t2)')}))""")
 def mt20_univariate_auc(spark, d):
-    """Each feature alone as a score: unpivoted, then one AUC per feature."""
-    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), c.cast("double").alias("s")) for n, c in (("score", F.col("s")), ("month", F.replace("month", F.lit("-"), F.lit(""))), ("length", F.length("risk_level")))])
-    rows = scored(spark, d).select("y", F.explode(pairs).alias("f")).select("y", "f.feature", "f.s")
+    """Each feature of the expanded table alone as a score: unpivoted, then one AUC per feature."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("s")) for c in _auc_features()])
+    rows = fq02_expanded(spark, d).select(F.col("late_delivery").alias("y"), F.explode(pairs).alias("f")).select("y", "f.feature", "f.s")
     auc = M.roc_auc(rows, ["feature"])
     return rounded(auc.withColumn("flipped_auc", F.greatest(F.col("auc"), 1 - F.col("auc"))), "feature")
 
@@ -241,7 +310,7 @@ def mt25_votes(spark, d):
 
 
 @R.query(f"WITH {SCORED}, m AS (SELECT g, count(*) AS n, avg((s - y) * (s - y)) AS brier FROM t GROUP BY 1) SELECT min(n) FILTER (WHERE brier <= (SELECT min(brier) FROM m) + 0.005) AS plateau_size, arg_min(g, (brier, g)) AS best FROM m")
-def mt22_26_27_29_choice(spark, d):
+def mt27_plateau(spark, d):
     """The smallest model size within 0.005 of the best, and the best: the tolerance rules of model choice."""
     gap = F.col("s") - F.col("y")
     m = scored(spark, d).groupBy("g").agg(N().alias("n"), F.avg(gap * gap).alias("brier"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cartloom.functions import scalars as S
 from cartloom.functions.keys import clean_id, one_record, zip_code
 from cartloom.operators import contracts as C
+from cartloom.operators import preparation as D
 from cartloom.operators import profile as P
 from cartloom.operators import windows as W
 from cartloom.plans.registry import Registry
@@ -21,6 +22,8 @@ from cartloom.sources.tables import TABLES, table
 from cartloom.streaming import events as E
 
 R = Registry()
+#: The data sets that are described, and their keys.
+FQ12 = {"olist_orders_dataset": "order_id", "olist_order_items_dataset": "order_id", "olist_order_payments_dataset": "order_id", "olist_customers_dataset": "customer_id", "basket_orders": "order_id", "order_products__prior": "product_id", "documents": "doc_id", "split_assignments": "group_key", "prediction_log": "prediction_id"}
 
 
 def N():
@@ -164,6 +167,33 @@ def sp06_policies(spark, d):
     return rows.select("policy", F.when(p == "remove", F.col("all") - F.col("x")).otherwise(F.col("all")).alias("n_kept"), F.col("x").alias("n_conflicting"), F.col("r").alias("n_repeats"), F.when(p == "keep in train", F.col("x")).otherwise(0).alias("n_flagged"), ((p == "fail") & (F.col("x") > 0)).alias("stopped"))
 
 
+_PREPARED = """r AS (SELECT row_index, group_key, coalesce(CAST(customer_rating AS VARCHAR), '-') AS label FROM split_assignments WHERE group_key IS NOT NULL), g AS (SELECT group_key, min(row_index) AS first, min(label) <> max(label) AS conflict, min(label) AS label FROM r GROUP BY 1),
+  q AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY sha256(concat('prepare:', group_key)), group_key) - 1) * 100 AS place, count(*) OVER (PARTITION BY label) AS n FROM g WHERE NOT conflict), f AS (SELECT group_key, first, conflict, CASE WHEN place < n * 70 THEN 'train' WHEN place < n * 85 THEN 'validation' ELSE 'internal_test' END AS split FROM q UNION ALL SELECT group_key, first, conflict, NULL FROM g WHERE conflict)"""
+
+
+@R.query(f"""WITH {_PREPARED}, a AS (SELECT unnest(['REMOVE_FROM_ALL_SPLITS', 'KEEP_IN_TRAIN_ONLY_WITH_FLAG']) AS policy) SELECT policy, row_index, group_key, CASE WHEN conflict THEN CASE WHEN policy LIKE 'KEEP%' THEN 'train' END WHEN row_index = first THEN split END AS split, CASE WHEN conflict THEN policy NOT LIKE 'KEEP%' ELSE row_index <> first END AS excluded,
+  CASE WHEN conflict AND policy NOT LIKE 'KEEP%' THEN 'CONFLICTING_LABEL_GROUP_REMOVED' WHEN NOT conflict AND row_index <> first THEN 'SAME_LABEL_DUPLICATE_REMOVED' END AS exclusion_reason, conflict AND policy LIKE 'KEEP%' AS flagged, CASE WHEN conflict AND policy LIKE 'KEEP%' THEN 'KEEP_IN_TRAIN_ONLY_WITH_FLAG_CONFLICT' END AS flag_reason FROM r JOIN f USING (group_key), a""")
+def sp06_prepared_rows(spark, d):
+    """What becomes of every row under either policy for texts with conflicting labels."""
+    rows = table(spark, d, "split_assignments")
+    parts = [D.prepared_rows(rows, "row_index", "group_key", "customer_rating", action).withColumn("policy", F.lit(action)) for action in (D.REMOVE, D.KEEP)]
+    return parts[0].unionByName(parts[1])
+
+
+@R.query(f"WITH {_PREPARED}, p AS (SELECT * FROM r JOIN f USING (group_key)) SELECT count(*) AS total_input_rows, count(DISTINCT group_key) AS unique_normalized_groups, count(DISTINCT group_key) FILTER (WHERE NOT conflict AND row_index <> first) AS same_label_duplicate_groups, count(*) FILTER (WHERE NOT conflict AND row_index <> first) AS same_label_duplicate_rows_removed, count(DISTINCT group_key) FILTER (WHERE conflict) AS conflicting_label_groups, count(*) FILTER (WHERE conflict) AS conflicting_label_rows_removed, CAST(0 AS BIGINT) AS conflicting_label_rows_flagged, "
+    + ", ".join(f"count(*) FILTER (WHERE split = '{x}' AND row_index = first) AS n_{x}" for x in ("train", "validation", "internal_test")) + " FROM p")
+def sp06_audit(spark, d):
+    return D.preparation_audit(D.prepared_rows(table(spark, d, "split_assignments"), "row_index", "group_key", "customer_rating", D.REMOVE))
+
+
+@R.query()
+def sp09_deficit_quotas(spark, d):
+    """Items, smallest first, to the bucket that lacks most of what they have: four buckets of (low, high) ratings, and a fifth that changes nothing."""
+    rows = table(spark, d, "split_assignments").select(clean_id("sku").alias("item"), (F.col("customer_rating") <= 2).alias("low")).where("item is not null and low is not null")
+    groups = rows.groupBy("item").agg(F.count_if("low").alias("low"), F.count_if(~F.col("low")).alias("high"))
+    return D.deficit_quotas(groups, {"val": (50, 50), "test_balanced": (100, 100), "test_representative": (60, 190), "train": (500, 500)}, {"val_natural": (12, 38)})
+
+
 def quota_groups(groups: DataFrame, order: list, quotas: dict[str, float]) -> DataFrame:
     """groups (with n, their rows) plus bucket: whole groups in the given order until a bucket has its rows, then the next.
 
@@ -381,6 +411,20 @@ def fq12_observations(spark, d):
     return marked.withColumn("n_first", F.lit(first).cast("bigint"))
 
 
+@R.query(" UNION ALL ".join(f"SELECT '{t}' AS dataset, count(*) AS n_rows, count(DISTINCT {k}) AS n_keys, count(*) - count({k}) AS n_null_keys FROM {t}" for t, k in FQ12.items()))
+def fq12_datasets(spark, d):
+    """Rows, keys and null keys of every data set of the reference's kinds: orders, baskets, texts, predictions."""
+    parts = [table(spark, d, t).agg(F.lit(t).alias("dataset"), N().alias("n_rows"), F.countDistinct(k).alias("n_keys"), F.count_if(F.col(k).isNull()).alias("n_null_keys")) for t, k in FQ12.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@R.query("WITH s AS (SELECT order_status, count(*) AS n FROM olist_orders_dataset GROUP BY 1), c AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1), r AS (SELECT customer_rating, count(*) AS n FROM split_assignments GROUP BY 1) SELECT 'orders' AS dataset, order_status AS value, n FROM s UNION ALL SELECT 'texts', lang, n FROM c UNION ALL SELECT 'ratings', CAST(customer_rating AS VARCHAR), n FROM r")
+def fq12_values(spark, d):
+    """How often each status, language label and rating occurs."""
+    parts = [table(spark, d, t).groupBy(F.col(c).cast("string").alias("value")).agg(N().alias("n")).select(F.lit(name).alias("dataset"), "value", "n") for name, t, c in (("orders", "olist_orders_dataset", "order_status"), ("texts", "documents", "lang"), ("ratings", "split_assignments", "customer_rating"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- events and rules
 
 

@@ -11,6 +11,7 @@ from cartloom.functions.keys import zip_code
 from cartloom.operators.similar import near_duplicates
 from cartloom.plans.registry import Registry
 from cartloom.plans.relational import ORDERS, orders
+from cartloom.session import cut
 from cartloom.sources.tables import table
 
 R = Registry()
@@ -80,13 +81,6 @@ def sc21_set_digest(spark, d):
     return ids.groupBy("event_type").agg(N().alias("n_ids"), F.concat_ws(":", *sums).alias("digest"))
 
 
-@R.query("SELECT event_type, sha256(string_agg(CAST(user_id AS VARCHAR), chr(10) ORDER BY CAST(user_id AS VARCHAR))) AS digest FROM (SELECT DISTINCT event_type, user_id FROM events WHERE user_id IS NOT NULL) GROUP BY 1")
-def sc21_sorted_digest(spark, d):
-    """The SHA-256 of the sorted ids, one to a line: for small sets, as each is gathered; sc21_set_digest is for the others."""
-    ids = table(spark, d, "events").where("user_id is not null").select("event_type", F.col("user_id").cast("string").alias("id")).distinct()
-    return ids.groupBy("event_type").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n"), 256).alias("digest"))
-
-
 @R.query("""WITH l AS (SELECT event_id, [value / 10, 3.0, ln(1 + value)] AS z FROM events), e AS (SELECT event_id, z, [exp(x - list_max(z)) for x in z] AS p FROM l) SELECT event_id, round(p[1] / list_sum(p), 6) AS p0, round(p[2] / list_sum(p), 6) AS p1, list_position(z, list_max(z)) - 1 AS best FROM e""")
 def sc25_softmax(spark, d):
     z = F.array(F.col("value") / 10, F.lit(3.0), F.log1p("value"))
@@ -94,6 +88,13 @@ def sc25_softmax(spark, d):
     return rows.select("event_id", F.round(F.col("p")[0], 6).alias("p0"), F.round(F.col("p")[1], 6).alias("p1"), S.argmax(F.col("z")).alias("best"))
 
 
+@R.query()
+def sc25_temperature(spark, d):
+    """The temperature at which the softmax of the three logits fits whether a value is below 30, 30 to 60, or above."""
+    rows = table(spark, d, "events").where("value is not null").select(F.array(F.col("value") / 10, F.lit(3.0), F.log1p("value")).alias("z"), F.when(F.col("value") < 30, 1).when(F.col("value") < 60, 2).otherwise(0).alias("y"))
+    return spark.createDataFrame([(S.fit_temperature(rows, "z", "y"),)], "temperature double")
+
+
 # --- texts
 
 
@@ -282,3 +283,36 @@ def tx32_tfidf(spark, d):
     w = (1 + F.log("tf")) * (F.log(F.lit(float(1 + n)) / (1 + F.col("df"))) + 1)
     rows = f.join(df, "term").select("doc_id", "term", w.alias("w"))
     return rows.select("doc_id", "term", F.round(F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id"))), 6).alias("weight"))
+
+
+_WORDS12 = "SELECT doc_id, 'word' AS block, unnest(list_concat(w, [concat(w[i], ' ', w[i + 1]) for i in range(1, len(w))])) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM documents WHERE text IS NOT NULL)"
+_CHARS35 = "SELECT doc_id, 'char' AS block, unnest(flatten([[substr(p, i, n) for i in range(1, greatest(length(p) - n, 0) + 2)] for n in [3, 4, 5] if n = 3 OR length(p) >= n])) AS term FROM (SELECT doc_id, unnest([concat(' ', x, ' ') for x in regexp_extract_all(lower(text), '[a-z'']+')]) AS p FROM documents WHERE text IS NOT NULL)"
+
+
+@R.query(f"""WITH t AS ({_WORDS12} UNION ALL {_CHARS35}), n AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL), f AS (SELECT doc_id, block, term, count(*) AS tf FROM t GROUP BY 1, 2, 3), a AS (SELECT block, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM f GROUP BY 1, 2 HAVING count(*) >= 5),
+  v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY total DESC, term) AS rank FROM a) WHERE rank <= 2000), w AS (SELECT doc_id, block, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM f JOIN v USING (block, term), n) SELECT doc_id, block, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, block)), 6) AS weight FROM w""")
+def tx32_union(spark, d):
+    """Two blocks of features side by side: runs of one and two words, and runs of three to five characters inside words (padded by a
+    blank on both sides); of each the 2,000 most frequent of those in at least five documents, sublinear, each block of unit length.
+    """
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0)).alias("w"))
+    pairs = docs.select("doc_id", F.lit("word").alias("block"), F.explode(F.concat("w", T.ngrams(F.col("w"), 2))).alias("term"))
+    # words are counted first, so that a word's characters are taken apart once per document
+    per_word = docs.select("doc_id", F.explode("w").alias("word")).groupBy("doc_id", "word").agg(N().alias("k"))
+    padded = F.concat(F.lit(" "), "word", F.lit(" "))
+    grams = F.flatten(F.array(*[F.when(F.length(padded) >= n, T.char_ngrams(padded, n)).otherwise(F.array(padded) if n == 3 else F.array().cast("array<string>")) for n in (3, 4, 5)]))
+    chars = per_word.select("doc_id", F.lit("char").alias("block"), F.explode(grams).alias("term"), "k").groupBy("doc_id", "block", "term").agg(F.sum("k").alias("tf"))
+    f = cut(pairs.groupBy("doc_id", "block", "term").agg(N().alias("tf")).unionByName(chars))
+    n = docs.count()
+    counts = f.groupBy("block", "term").agg(N().alias("df"), F.sum("tf").alias("total")).where("df >= 5")
+    rank = F.row_number().over(Window.partitionBy("block").orderBy(F.desc("total"), "term"))  # a limit of rank: each task keeps the first 2,000 of its own
+    v = counts.withColumn("rank", rank).where("rank <= 2000").select("block", "term", "df")
+    w = (1 + F.log("tf")) * (F.log(F.lit(float(1 + n)) / (1 + F.col("df"))) + 1)
+    rows = f.join(F.broadcast(v), ["block", "term"]).select("doc_id", "block", "term", w.alias("w"))  # 4,000 terms
+    return rows.select("doc_id", "block", "term", F.round(F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id", "block"))), 6).alias("weight"))
+
+
+@R.query()
+def tx33_stems(spark, d):
+    """Light Arabic stems of every text, each different text once."""
+    return T.stem_views(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "stems")

@@ -2,10 +2,12 @@
 
 import datetime as dt
 import gzip
+import math
 import random
 import statistics
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from cartloom.functions import text as T
 from cartloom.operators import baskets as B
 from cartloom.operators import contracts as C
 from cartloom.operators import metrics as M
+from cartloom.operators import preparation as D
 from cartloom.operators import profile as P
 from cartloom.operators import windows as W
 from cartloom.operators.similar import near_duplicates
@@ -363,10 +366,95 @@ def test_ranking_metrics(spark):
     assert (got[1].precision, got[1].recall, got[1].ap, got[2].recall) == (pytest.approx(1 / 3), 0.5, 0.25, 0.0)
 
 
-def test_bootstrap_weights(spark):
-    rows = spark.range(4000).select("id", (F.col("id") % 2).alias("y"))
-    reps = M.bootstrap(rows, {"n": F.sum("w"), "m": F.sum(F.col("w") * F.col("y")) / F.sum("w")}, 20, 1, "id").collect()
-    assert len(reps) == 20 and all(abs(r.n - 4000) < 300 and abs(r.m - 0.5) < 0.05 for r in reps)
+def test_bootstrap_sums_are_poisson(spark):
+    rows = spark.range(5000).select("id", (F.col("id") % 4 == 0).cast("int").alias("y"))
+    got = {r.replicate: r for r in M.bootstrap_sums(rows, {"y": F.col("y")}, 30, 1, "id").collect()}
+    again = {r.replicate: r for r in M.bootstrap_sums(rows.repartition(7), {"y": F.col("y")}, 30, 1, "id").collect()}
+    assert got == again and sorted(got) == list(range(1, 31))
+    sizes = [r.w for r in got.values()]
+    assert all(abs(w - 5000) < 5 * 5000**0.5 for w in sizes) and len(set(sizes)) > 20
+    assert 0.5 < statistics.pvariance(sizes) / 5000 < 2 and all(abs(r.y / r.w - 0.25) < 0.03 for r in got.values())
+    weights = M.poisson_weights(np.arange(20_000), 3, 1)
+    assert abs(weights.mean() - 1) < 0.02 and abs((weights == 0).mean() - math.exp(-1)) < 0.01
+
+
+def test_bootstrap_auc_by_hand(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.randrange(2), rng.choice([0.1, 0.2, 0.5, rng.random()])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, y int, s double")
+    got = {r.replicate: r.auc for r in M.bootstrap_auc(df, "s", 5, 3, "id").collect()}
+    hashes = {r.id: r.h for r in df.select("id", F.xxhash64("id").alias("h")).collect()}
+    weights = M.poisson_weights(np.array([hashes[i] for i, *_ in rows]), 5, 3)
+    for k in range(5):
+        pos = [(s, w) for (_, y, s), w in zip(rows, weights[:, k]) if y]
+        neg = [(s, w) for (_, y, s), w in zip(rows, weights[:, k]) if not y]
+        wins = sum(a * b * ((s > t) + (s == t) / 2) for s, a in pos for t, b in neg)
+        assert got[k + 1] == pytest.approx(wins / sum(w for _, w in pos) / sum(w for _, w in neg))
+    one = M.bootstrap_auc(df.where("y = 1"), "s", 4, 3, "id").collect()
+    assert [r.auc for r in one] == [None] * 4  # resamples of one class are rejected
+
+
+def test_class_summary_by_hand(spark):
+    cells = [("a", "a", 5), ("a", "b", 2), ("b", "b", 3), ("c", "a", 1), ("b", "d", 1)]
+    got = M.class_summary(spark.createDataFrame(cells, "truth string, guess string, n bigint")).first()
+    t, p = {"a": 7, "b": 4, "c": 1, "d": 0}, {"a": 6, "b": 5, "c": 0, "d": 1}
+    s, c = 12, 8
+    mcc = (c * s - sum(t[k] * p[k] for k in t)) / math.sqrt((s * s - sum(x * x for x in p.values())) * (s * s - sum(x * x for x in t.values())))
+    assert (got.accuracy, got.balanced_accuracy, got.mcc) == (pytest.approx(c / s), pytest.approx((5 / 7 + 3 / 4 + 0) / 3), pytest.approx(mcc))
+    assert M.class_summary(spark.createDataFrame([("a", "a", 3)], "truth string, guess string, n bigint")).first().mcc == 0
+
+
+def test_temperature(spark):
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=(4000, 3)) * 2
+    p = np.exp(z / 2.5)
+    y = [int(rng.choice(3, p=q / q.sum())) for q in p]
+    df = spark.createDataFrame([(list(map(float, a)), b) for a, b in zip(z, y)], "z array<double>, y int")
+    assert S.fit_temperature(df, "z", "y") == pytest.approx(2.5, rel=0.1)
+    assert S.fit_temperature(df.limit(0), "z", "y") == 1.0
+
+
+def test_light_stems(spark):
+    words = {"والكتاب": "كتاب", "المعلمون": "معلم", "بالمدرسة": "مدرس", "كتابها": "كتاب", "و": "و", "ال": "ال", "books": "books", "وقت": "وقت"}
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert {r.w: r.s for r in df.select("w", T.light_stem(F.col("w")).alias("s")).collect()} == words
+    docs = spark.createDataFrame([(1, "والكتاب books"), (2, "والكتاب books"), (3, None), (4, "")], "id int, text string")
+    assert {r.id: r.stems for r in T.stem_views(docs).collect()} == {1: "كتاب books", 2: "كتاب books", 3: None, 4: ""}
+
+
+def test_prepared_rows(spark):
+    rows = [(1, "k1", 5), (2, "k1", 5), (3, "k2", 1), (4, "k2", 2), (5, "k3", None), (6, "k3", 3), (7, None, 1), *[(10 + i, f"g{i}", i % 2) for i in range(40)]]
+    df = spark.createDataFrame(rows, "row int, key string, label int").withColumn("split", F.lit("old"))
+    removed = {r.row_index: r for r in D.prepared_rows(df, "row", "key", "label", D.REMOVE).collect()}
+    assert set(removed) == {r[0] for r in rows} - {7}
+    assert (removed[2].excluded, removed[2].exclusion_reason, removed[2].split) == (True, D.COPY_REMOVED, None) and not removed[1].excluded
+    assert all(removed[i].exclusion_reason == D.CONFLICT_REMOVED and removed[i].split is None for i in (3, 4, 5, 6))
+    kept = {r.row_index: r for r in D.prepared_rows(df, "row", "key", "label", D.KEEP).collect()}
+    assert all(kept[i].split == "train" and kept[i].flagged and not kept[i].excluded for i in (3, 4, 5, 6))
+    for label in (0, 1):
+        splits = [removed[10 + i].split for i in range(40) if i % 2 == label]
+        assert (splits.count("train"), splits.count("validation"), splits.count("internal_test")) == (14, 3, 3)
+    with pytest.raises(C.ContractError):
+        D.prepared_rows(df, "row", "key", "label", D.FAIL)
+    audit = D.preparation_audit(D.prepared_rows(df, "row", "key", "label", D.KEEP)).first()
+    assert (audit.total_input_rows, audit.same_label_duplicate_rows_removed, audit.conflicting_label_groups, audit.conflicting_label_rows_flagged) == (46, 1, 2, 4)
+
+
+def test_deficit_quotas(spark):
+    rng = random.Random(6)
+    groups = [(f"p{i}", rng.randrange(0, 4), rng.randrange(0, 9)) for i in range(400)]
+    df = spark.createDataFrame(groups, "item string, low bigint, high bigint")
+    targets = {"val": (20, 20), "test": (30, 90), "train": (100, 200)}
+    four = [tuple(r) for r in D.deficit_quotas(df, targets).collect()]
+    five = [tuple(r) for r in D.deficit_quotas(df, targets, {"natural": (10, 30)}).collect()]
+    assert [r for r in five if r[1] != "natural"] == four and len({r[0] for r in five}) == len(five)
+    for name, (low, high) in (targets | {"natural": (10, 30)}).items():
+        assert (sum(r[2] for r in five if r[1] == name), sum(r[3] for r in five if r[1] == name)) == (low, high)
+    size = {g: (a, b) for g, a, b in groups}
+    assert all(0 < r[2] + r[3] and r[2] <= size[r[0]][0] and r[3] <= size[r[0]][1] for r in five)
+    assert list(D.take_by_deficit(iter([("a", 3, 0), ("b", 0, 1)]), {"x": (2, 0), "y": (5, 5)})) == [("a", "y", 3, 0), ("b", "y", 0, 1)]
+    short = [tuple(r) for r in D.deficit_quotas(df.limit(3), {"all": (1000, 1000)}).collect()]
+    assert len(short) == sum(a + b > 0 for _, a, b in [tuple(r) for r in df.limit(3).collect()])
 
 
 def test_quota_groups_later_bucket_changes_nothing(spark):
