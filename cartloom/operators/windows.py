@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from cartloom.operators.asof import in_pieces, time_cuts
+from cartloom.operators.asof import before_pieces, in_pieces, time_cuts
 from cartloom.session import cut, shuffle_width
 
 DAY_US = 86_400_000_000
@@ -158,6 +158,21 @@ def prior_medians(df: DataFrame, key: str, at: str, tie: str, value: str, out: s
     return done.select("_row.*", F.col("_m").alias(out))
 
 
+def previous_rows(df: DataFrame, key: str, at: str, tie: str, columns: list[str], cuts: DataFrame | None = None) -> DataFrame:
+    """df plus prev_<c> for each of `columns`: the values of the key's row before, in (at, tie) order; null for a key's first row.
+
+    A large key is cut at quantiles of its times; a piece's first row takes the last row of the pieces before it. Rows without a key
+    or time are left out.
+    """
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(key).cast("string").alias("_entity"), micros(at).alias("_us"), F.col(tie).alias("_tie"), F.struct(*columns).alias("_c")).where("_entity is not null and _us is not null")
+    cuts = time_cuts(rows.select("_entity", "_us"), shuffle_width(df.sparkSession)) if cuts is None else cuts
+    rows = in_pieces(rows, cuts)
+    ends = before_pieces(rows.select("_entity", "_piece", F.struct("_us", "_tie", "_c").alias("_end")), cuts, F.max, "_end")
+    before = F.lag("_c").over(Window.partitionBy("_entity", "_piece").orderBy("_us", "_tie"))
+    rows = rows.withColumn("_before", before).join(F.broadcast(ends), ["_entity", "_piece"], "left").withColumn("_before", F.coalesce("_before", "_end._c"))
+    return rows.select("_row.*", *[F.col(f"_before.{c}").alias(f"prev_{c}") for c in columns])
+
+
 def cuts_of(df: DataFrame, key: str, at: str) -> DataFrame:
     """The cuts of df's large keys (time_cuts), for several of the functions here; df should be a table or `cut`."""
     rows = df.select(F.col(key).cast("string").alias("_entity"), micros(at).alias("_us")).where("_entity is not null and _us is not null")

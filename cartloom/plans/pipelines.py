@@ -302,18 +302,6 @@ def breaches(spark, d) -> DataFrame:
     return rows.select(F.col("order_id").alias("id"), "seller", F.col("bought").alias("ts"), (F.col("shipped") > F.col("deadline")).cast("int").alias("y"), "price", "freight", "delivered", W.micros("bought").alias("us"))
 
 
-@R.query(f"""WITH {ORDERS}, {ITEMS}, {_BREACH} SELECT id, seller, y, row_number() OVER p - 1 AS prior_n, round(coalesce(avg(y) OVER b, -1), 8) AS prior_rate, round(coalesce(CASE WHEN count(*) OVER r >= 3 THEN avg(y) OVER r END, -1), 8) AS rate_30, round(coalesce(freight / nullif(price, 0), -1), 6) AS freight_ratio,
-  (SELECT count(*) FROM k x WHERE x.seller = k.seller AND x.ts >= k.ts - INTERVAL 7 DAY AND (x.ts, x.id) < (k.ts, k.id)) AS load_7d FROM k WINDOW p AS (PARTITION BY seller ORDER BY ts, id), b AS (PARTITION BY seller ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), r AS (PARTITION BY seller ORDER BY ts, id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)""")
-def fq04_05_seller_history(spark, d):
-    """Single-seller orders with the seller's history before each; all windows share one shuffle by seller. -1: no history."""
-    key, order = ["seller"], ["ts", "id"]
-    none = lambda c: F.coalesce(c, F.lit(-1.0))
-    return breaches(spark, d).select(
-        "id", "seller", "y", W.prior_count(key, order).alias("prior_n"), F.round(none(F.avg("y").over(W.before(key, order))), 8).alias("prior_rate"),
-        F.round(none(W.prior_rows(F.avg("y"), key, order, 30, 3)), 8).alias("rate_30"), F.round(none(F.try_divide("freight", "price")), 6).alias("freight_ratio"), W.trailing_load(key, "us", "id", 7).alias("load_7d"),
-    )
-
-
 @R.query(f"""WITH {ORDERS}, {ITEMS}, {_BREACH}, dd AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, sum(y) AS y FROM k GROUP BY 1) SELECT a.day, CAST(coalesce(sum(b.n) FILTER (WHERE b.day >= a.day - 7), 0) AS BIGINT) AS n_7d, round(sum(b.y) FILTER (WHERE b.day >= a.day - 30) / CAST(sum(b.n) FILTER (WHERE b.day >= a.day - 30) AS DOUBLE), 8) AS rate_30d FROM dd a LEFT JOIN dd b ON b.day < a.day GROUP BY 1""")
 def fq07_store_days(spark, d):
     dd = breaches(spark, d).groupBy(F.to_date("ts").alias("day")).agg(N().alias("n"), F.sum("y").alias("y")).withColumn("k", F.datediff("day", F.lit("1970-01-01")))

@@ -11,6 +11,7 @@ from cartloom.operators import profile as P
 from cartloom.operators import windows as W
 from cartloom.plans.problems import _PREDICTIONS, iso_time
 from cartloom.plans.registry import Registry
+from cartloom.session import cut
 from cartloom.sources.tables import table, tables
 
 R = Registry()
@@ -254,11 +255,11 @@ def jn19_20_split_overlap(spark, d):
 @R.query("""WITH h AS (SELECT DISTINCT seller_id, history_id, valid_from, seller_tier, seller_state FROM seller_history), v AS (SELECT *, lag(history_id) OVER w AS p, lag(seller_tier) OVER w AS t, lag(seller_state) OVER w AS s FROM h WINDOW w AS (PARTITION BY seller_id ORDER BY valid_from, history_id))
   SELECT seller_id, history_id, t AS old_tier, seller_tier AS new_tier, s AS old_state, seller_state AS new_state FROM v WHERE p IS NOT NULL AND (t IS DISTINCT FROM seller_tier OR s IS DISTINCT FROM seller_state)""")
 def jn21_version_diff(spark, d):
-    h = table(spark, d, "seller_history").select("seller_id", "history_id", "valid_from", "seller_tier", "seller_state").distinct()
-    w = Window.partitionBy("seller_id").orderBy("valid_from", "history_id")
-    v = h.select("*", F.lag("history_id").over(w).alias("p"), F.lag("seller_tier").over(w).alias("old_tier"), F.lag("seller_state").over(w).alias("old_state"))
-    changed = ~F.col("old_tier").eqNullSafe(F.col("seller_tier")) | ~F.col("old_state").eqNullSafe(F.col("seller_state"))
-    return v.where(F.col("p").isNotNull() & changed).select("seller_id", "history_id", "old_tier", F.col("seller_tier").alias("new_tier"), "old_state", F.col("seller_state").alias("new_state"))
+    """Versions of a seller that differ from the one before; a seller with many versions is split over tasks."""
+    h = cut(table(spark, d, "seller_history").select("seller_id", "history_id", "valid_from", "seller_tier", "seller_state").distinct())
+    v = W.previous_rows(h, "seller_id", "valid_from", "history_id", ["history_id", "seller_tier", "seller_state"])
+    changed = ~F.col("prev_seller_tier").eqNullSafe(F.col("seller_tier")) | ~F.col("prev_seller_state").eqNullSafe(F.col("seller_state"))
+    return v.where(F.col("prev_history_id").isNotNull() & changed).select("seller_id", "history_id", F.col("prev_seller_tier").alias("old_tier"), F.col("seller_tier").alias("new_tier"), F.col("prev_seller_state").alias("old_state"), F.col("seller_state").alias("new_state"))
 
 
 # --- aggregations

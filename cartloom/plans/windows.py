@@ -106,9 +106,11 @@ def wn11_store_wide(spark, d):
 
 @R.query(f"WITH {SELLER_ORDERS} SELECT seller, id, date_diff('day', min(ts) OVER (PARTITION BY seller), ts) AS tenure_days, date_diff('day', lag(ts) OVER ({_PART}), ts) AS gap_days FROM so")
 def wn12_13_tenure_gap(spark, d):
-    w = Window.partitionBy("seller")
-    prev = F.lag("ts").over(w.orderBy("ts", "id"))
-    return seller_orders(spark, d).select("seller", "id", F.datediff("ts", F.min("ts").over(w)).cast("long").alias("tenure_days"), F.datediff("ts", prev).cast("long").alias("gap_days"))
+    """Days since the seller's first order and since the one before; a large seller is split over tasks."""
+    rows = cut(seller_orders(spark, d).select("seller", "id", "ts"))
+    first = rows.groupBy("seller").agg(F.min("ts").alias("first"))
+    both = W.previous_rows(rows, "seller", "ts", "id", ["ts"]).join(first, "seller")
+    return both.select("seller", "id", F.datediff("ts", "first").cast("long").alias("tenure_days"), F.datediff("ts", "prev_ts").cast("long").alias("gap_days"))
 
 
 @R.query("""WITH p AS (SELECT l_partkey AS item, count(DISTINCT l_orderkey) AS support FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY support DESC, item) AS rank, count(*) OVER () AS n FROM p)
@@ -157,7 +159,7 @@ def wn18_19_recency_weights(spark, d):
 def wn20_category_codes(spark, d):
     """0-based codes in the order of the sorted categories: ranked over the distinct values, then joined."""
     part = table(spark, d, "part")
-    codes = part.select("p_brand").where("p_brand is not null").distinct().withColumn("c", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("p_brand")) - 1)
+    codes = W.positions(part.select("p_brand").where("p_brand is not null").distinct(), [F.col("p_brand")])[0].withColumnRenamed("position", "c")
     return part.join(codes, "p_brand", "left").select("p_partkey", F.coalesce(F.col("c"), F.lit(-1)).cast("long").alias("brand_code"))
 
 

@@ -69,6 +69,17 @@ def test_split_trailing_is_the_plain_windows(spark):
     assert split == {r.id: (near(r.r), near(r.m), r.l) for r in plain.collect()}
 
 
+def test_previous_rows_of_a_large_key(spark):
+    rng = random.Random(8)
+    rows = [("hot" if rng.random() < 0.7 else rng.choice("abcd"), i, T0 + DAY * rng.randrange(50), rng.choice([None, 1, 2])) for i in range(400)] + [(None, 400, T0, 1)]
+    got = {r.id: (r.prev_id, r.prev_v) for r in W.previous_rows(spark.createDataFrame(rows, "k string, id int, t timestamp, v int"), "k", "t", "id", ["id", "v"]).collect()}
+    want = {}
+    for k in {r[0] for r in rows} - {None}:
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[1]))
+        want |= {b[1]: (a[1], a[3]) if a else (None, None) for a, b in zip([None, *own], own)}
+    assert got == want
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_prior_medians_split_a_large_key(spark, seed):
     rng = random.Random(seed)
