@@ -188,8 +188,9 @@ def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.logical_and.accumulate(a == b, axis=1).sum(axis=1)
 
 
-def suffix_array(reps: DataFrame, depth: int, places: bool = False) -> DataFrame:
-    """(span, rep, mark[, at], n_train, n_held): the suffixes in cross-split intervals, with the interval's number and its members of each side.
+def suffix_array(reps: DataFrame, depth: int, places: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(span, rep, mark[, at], n_train, n_held): the suffixes in cross-split intervals, with the interval's number and its members of each side;
+    and the kept table behind it, to be discarded after use.
 
     A task reads its stretch of the sorted array and compares each suffix with the one before; where they have fewer than
     `depth` words in common an interval ends. It holds the interval it is in, at most its own stretch of the array. The first
@@ -259,7 +260,7 @@ def suffix_array(reps: DataFrame, depth: int, places: bool = False) -> DataFrame
     whole = pieces.groupBy("span").agg(F.sum("n_train").alias("_t"), F.sum("n_held").alias("_h"))
     # `whole` has at most two rows per task
     joined = array.join(F.broadcast(whole), "span", "left").withColumn("n_train", F.coalesce("_t", "n_train")).withColumn("n_held", F.coalesce("_h", "n_held"))
-    return joined.where("n_train > 0 and n_held > 0").drop("_t", "_h", "border")
+    return joined.where("n_train > 0 and n_held > 0").drop("_t", "_h", "border"), array
 
 
 def near_classes(reps: DataFrame, share: float = SHARE) -> DataFrame:
@@ -267,7 +268,7 @@ def near_classes(reps: DataFrame, share: float = SHARE) -> DataFrame:
 
     Similarity: runs of SPAN words that both have, of all different runs of either. Texts of fewer words are similar to none.
     """
-    array = suffix_array(reps, SPAN)
+    array, kept_array = suffix_array(reps, SPAN)
     per_text = Window.partitionBy("rep")
     n = F.shiftright("mark", 2).cast("int")
     need = F.ceil(F.col("n") * share - 1e-9)
@@ -288,6 +289,7 @@ def near_classes(reps: DataFrame, share: float = SHARE) -> DataFrame:
     hits = F.least(F.lit(HITS), F.ceil(F.least("n_t", "n_h") * share - 1e-9))
     pairs = a.join(b, "span").where(alike).groupBy("rep_t", "rep_h").agg(F.count(F.lit(1)).alias("hits"), F.first(hits).alias("least"))
     candidates = cut(pairs.where("hits >= least").select("rep_t", "rep_h"))
+    discard(kept_array)
 
     def pick(side: str) -> DataFrame:
         wanted = candidates.select(F.col(side).alias("rep")).distinct()
@@ -350,11 +352,12 @@ def coverage(docs: DataFrame, least: int = 8) -> DataFrame:
     """
     texts = cut(encoded(docs))
     reps = cut(classes(texts))
-    array = suffix_array(reps, least, places=True)
+    array, kept_array = suffix_array(reps, least, places=True)
     at = array.where("shiftright(mark, 1) % 2 = 1").select("rep", F.explode("at").alias("at"))
     before = F.lag("at").over(Window.partitionBy("rep").orderBy("at"))
     gain = F.least(F.lit(least), F.coalesce(F.col("at") - before, F.lit(least)))
-    covered = at.select("rep", gain.alias("gain")).groupBy("rep").agg(F.sum("gain").alias("covered"))
+    covered = cut(at.select("rep", gain.alias("gain")).groupBy("rep").agg(F.sum("gain").alias("covered")))
+    discard(kept_array)
     short = reps.where(F.col("train") & F.col("held") & (F.size("words") < least)).select("rep", F.size("words").cast("bigint").alias("covered"))
     own = texts.where("held").select("doc_id", "same_as", F.size("words").alias("n_words")).join(texts.groupBy("same_as").agg(F.min("doc_id").alias("rep")), "same_as")
     return own.join(covered.unionByName(short), "rep", "left").select("doc_id", "n_words", F.coalesce("covered", F.lit(0)).alias("covered"))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.session import cut
+from cartloom.session import cut, discard
 
 SPLITS = ("train", "validation", "test")
 SHARES = (0.70, 0.15, 0.15)
@@ -95,22 +95,26 @@ def split_groups(records: DataFrame, label: str | None, labels: list, shares: tu
     levels = [F.col("size") > sums[0] / LARGE, F.col("size") <= sums[0] / LARGE]
     per_level = atoms.agg(*[F.count_if(level) for level in levels]).first()
     lacking = np.outer(share, sums)
-    out = None
+    out, used = None, [atoms]
     for level, number in zip(levels, per_level):
         if out is not None and number:
             placed = out.join(atoms, "component").groupBy("split").agg(*[F.sum(c) for c in columns]).collect()  # a row per split
             for row in placed:
                 lacking[names.index(row[0])] -= np.array(row[1:], dtype=float)
         if number:
-            found = _anneal_level(atoms.where(level), columns, np.maximum(lacking, 0.0), names, share, seed, -(-number // BLOCK))
+            found, chains = _anneal_level(atoms.where(level), columns, np.maximum(lacking, 0.0), names, share, seed, -(-number // BLOCK))
+            used.append(chains)
             out = found if out is None else out.unionByName(found)
     if out is None:
         return atoms.select("component", F.lit(None).cast("string").alias("split"), "mixed")
-    return out.join(atoms.select("component", "mixed"), "component")
+    out = cut(out.join(atoms.select("component", "mixed"), "component"))
+    for kept in used:
+        discard(kept)
+    return out
 
 
-def _anneal_level(atoms: DataFrame, columns: list[str], lacking: np.ndarray, names: tuple[str, ...], share: np.ndarray, seed: int, blocks: int) -> DataFrame:
-    """(component, split) of the best of CHAINS chains of each block, each toward its part of what is lacking."""
+def _anneal_level(atoms: DataFrame, columns: list[str], lacking: np.ndarray, names: tuple[str, ...], share: np.ndarray, seed: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """(component, split) of the best of CHAINS chains of each block, each toward its part of what is lacking; and the kept table of all chains."""
     portion = lacking / np.maximum(lacking.sum(axis=0), 1e-9)
     steps = np.cumsum(share)[:-1]
 
@@ -128,4 +132,4 @@ def _anneal_level(atoms: DataFrame, columns: list[str], lacking: np.ndarray, nam
     chains = dealt.withColumn("_chain", F.explode(F.array(*[F.lit(c) for c in range(CHAINS)])))
     found = cut(chains.groupBy("_block", "_chain").applyInPandas(search, f"component {kind}, _block int, _chain int, split string, _cost double"))
     best = found.groupBy("_block").agg(F.min_by("_chain", F.struct("_cost", "_chain")).alias("_chain"))
-    return found.join(best, ["_block", "_chain"]).select("component", "split")
+    return found.join(best, ["_block", "_chain"]).select("component", "split"), found

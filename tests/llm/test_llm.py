@@ -224,7 +224,7 @@ def test_interval_over_borders(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, train boolean, held boolean")
     reps = overlap.classes(overlap.encoded(df))
     for depth in (3, 8):
-        got = overlap.suffix_array(reps, depth).collect()
+        got = overlap.suffix_array(reps, depth)[0].collect()
         members = [r for r in rows if r[0] % 7]
         assert {(r.n_train, r.n_held) for r in got} == {(sum(r[2] for r in members), sum(r[3] for r in members))}
         assert len(got) == len(members) * (10 - depth + 1) and len({r.span for r in got}) == 10 - depth + 1
