@@ -40,7 +40,14 @@ def time_cuts(timeline: DataFrame, pieces: int) -> DataFrame:
             found.sort()
             want = -(-heavy[entity] * pieces // total)
             out.append((entity, sorted({found[i * len(found) // want] for i in range(1, want)})))
-    return timeline.sparkSession.createDataFrame(out, "_entity string, _cuts array<bigint>")
+    cuts = timeline.sparkSession.createDataFrame(out, "_entity string, _cuts array<bigint>")
+    cuts._cartloom_none = not out
+    return cuts
+
+
+def none_cut(cuts: DataFrame) -> bool:
+    """Whether time_cuts found no large entity, so that the steps for these can be left out of the plan."""
+    return getattr(cuts, "_cartloom_none", False)
 
 
 def _piece():
@@ -49,6 +56,8 @@ def _piece():
 
 def in_pieces(timeline: DataFrame, cuts: DataFrame) -> DataFrame:
     """timeline plus _piece: 0, or the part of a cut entity that a row's time lies in."""
+    if none_cut(cuts):
+        return timeline.withColumn("_piece", F.lit(0))
     # `cuts` has at most `pieces` rows: an entity is in it only above 1/pieces of all rows
     return timeline.join(F.broadcast(cuts), "_entity", "left").withColumn("_piece", F.when(F.col("_cuts").isNull(), 0).otherwise(_piece())).drop("_cuts")
 
@@ -64,6 +73,13 @@ def before_pieces(rows: DataFrame, cuts: DataFrame, total: Callable[[str], Colum
     return grid.select("_entity", "_piece", total(name).over(earlier).alias(name))
 
 
+def with_earlier(rows: DataFrame, totals: DataFrame, cuts: DataFrame, total: Callable[[str], Column], name: str, out: str) -> DataFrame:
+    """rows plus `out`: before_pieces of `totals` for the piece of each row; null for a first piece and for entities that are not cut."""
+    if none_cut(cuts):
+        return rows.withColumn(out, F.lit(None).cast(totals.schema[name].dataType))
+    return rows.join(F.broadcast(before_pieces(totals, cuts, total, name).withColumnRenamed(name, out)), ["_entity", "_piece"], "left")
+
+
 def changes_in_force(versions: DataFrame, entity: str, valid_from: str, known_at: str, tie: str, attributes: list[str], pieces: int | None = None) -> DataFrame:
     """The changes of the version in force: _entity, _us (when), number (1, 2, ...), attributes; in the shared folder.
 
@@ -84,12 +100,10 @@ def changes_in_force(versions: DataFrame, entity: str, valid_from: str, known_at
     moments = in_pieces(moments, cuts)
     per_piece = Window.partitionBy("_entity", "_piece").orderBy("_us")
     beaten = F.max("_rank").over(per_piece.rowsBetween(Window.unboundedPreceding, -1))
-    earlier = before_pieces(moments, cuts, F.max, "_rank").withColumnRenamed("_rank", "_earlier")
-    ranked = moments.withColumn("_beaten", beaten).join(F.broadcast(earlier), ["_entity", "_piece"], "left").withColumn("_beaten", F.greatest("_beaten", "_earlier"))
+    ranked = with_earlier(moments.withColumn("_beaten", beaten), moments, cuts, F.max, "_rank", "_earlier").withColumn("_beaten", F.greatest("_beaten", "_earlier"))
     won = ranked.where(F.col("_beaten").isNull() | (F.col("_rank") > F.col("_beaten")))
     won = cut(won.select("_entity", "_piece", "_us", F.row_number().over(per_piece).alias("_place"), F.lit(1).alias("_one"), *[F.col(f"_attributes.{a}").alias(a) for a in attributes]))
-    offsets = before_pieces(won, cuts, F.sum, "_one").withColumnRenamed("_one", "_offset")
-    numbered = won.join(F.broadcast(offsets), ["_entity", "_piece"], "left")
+    numbered = with_earlier(won, won, cuts, F.sum, "_one", "_offset")
     return numbered.select("_entity", "_us", (F.col("_place") + F.coalesce("_offset", F.lit(0))).cast("int").alias("number"), *attributes)
 
 
@@ -114,8 +128,8 @@ def as_known(events: DataFrame, entity: str, at: str, changes: DataFrame, attrib
     timeline = in_pieces(timeline, cuts)
     local = Window.partitionBy("_entity", "_piece").orderBy("_us", F.desc("_change")).rowsBetween(Window.unboundedPreceding, 0)
     counted = timeline.withColumn("_local", F.sum("_change").over(local)).where("_change = 0")
-    offsets = before_pieces(in_pieces(changes.select("_entity", "_us", F.lit(1).alias("_change")), cuts), cuts, F.sum, "_change").withColumnRenamed("_change", "_offset")
-    numbered = counted.join(F.broadcast(offsets), ["_entity", "_piece"], "left").select("_row", "_entity", (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("int").alias("version_number"))
+    of_changes = in_pieces(changes.select("_entity", "_us", F.lit(1).alias("_change")), cuts)
+    numbered = with_earlier(counted, of_changes, cuts, F.sum, "_change", "_offset").select("_row", "_entity", (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("int").alias("version_number"))
     wide = changes.select("_entity", F.col("number").alias("version_number"), F.struct(*attributes).alias("_attributes"))
     found = numbered.join(wide, ["_entity", "version_number"], "left").drop("_entity")
     told = [*[F.col(f"_attributes.{a}").alias(a) for a in attributes], F.coalesce("version_number", F.lit(0)).alias("version_number")]

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from cartloom.operators.asof import before_pieces, in_pieces, time_cuts
+from cartloom.operators.asof import in_pieces, none_cut, time_cuts, with_earlier
 from cartloom.session import cut, shuffle_width
 
 DAY_US = 86_400_000_000
@@ -72,11 +72,14 @@ def running_by_time(df: DataFrame, ties: list[str], amounts: dict[str, str], pie
     pieces = pieces or shuffle_width(df.sparkSession)
     cuts = time_cuts(df.select("_entity", "_us"), pieces) if cuts is None else cuts
     rows = in_pieces(df, cuts)
+    local = Window.partitionBy("_entity", "_piece").orderBy("_us", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({f"_l_{n}": F.sum(c).over(local) for n, c in amounts.items()})
+    if none_cut(cuts):
+        return out.select(*df.columns, *[F.coalesce(f"_l_{n}", F.lit(0)).alias(f"cum_{n}") for n in amounts])
     totals = rows.join(F.broadcast(cuts.select("_entity")), "_entity", "left_semi").groupBy("_entity", "_piece").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in amounts.items()])
     earlier = Window.partitionBy("_entity").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_entity", "_piece", *[F.sum(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in amounts])
-    local = Window.partitionBy("_entity", "_piece").orderBy("_us", *ties).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumns({f"_l_{n}": F.sum(c).over(local) for n, c in amounts.items()}).join(F.broadcast(offsets), ["_entity", "_piece"], "left")
+    out = out.join(F.broadcast(offsets), ["_entity", "_piece"], "left")
     return out.select(*df.columns, *[(F.coalesce(f"_l_{n}", F.lit(0)) + F.coalesce(f"_o_{n}", F.lit(0))).alias(f"cum_{n}") for n in amounts])
 
 
@@ -107,18 +110,9 @@ def prior_totals(df: DataFrame, key: str, at: str, tie: str, value: str) -> Data
     return out.select(*df.columns, "prior_n", F.col(f"mean_{value}").alias("prior_mean"), F.col(f"std_{value}").alias("prior_std"))
 
 
-def prior_medians(df: DataFrame, key: str, at: str, tie: str, value: str, out: str, cuts: DataFrame | None = None) -> DataFrame:
-    """df plus `out`: the median of `value` over the rows of the key before each, in (at, tie) order; null with none; nulls are skipped.
-
-    A task goes through a piece of a key in order with its values so far in a sorted list. A large key is cut at quantiles of its
-    times. Of n values before a piece and m in it, the medians within the piece are among the earlier values of rank n / 2 - m to
-    (n + m) / 2: these are sent to it, found by counts per piece and range of values, and how many are below them. So a piece
-    handles a few times its own rows, whatever the key has. Rows without a key or time are left out.
-    """
-    pieces = shuffle_width(df.sparkSession)
-    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(key).cast("string").alias("_entity"), micros(at).alias("_us"), F.col(tie).alias("_tie"), F.col(value).cast("double").alias("_v")).where("_entity is not null and _us is not null")
-    cuts = time_cuts(rows.select("_entity", "_us"), pieces) if cuts is None else cuts
-    rows = in_pieces(rows, cuts)
+def _with_earlier_values(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The rows of prior_medians, and for the pieces of cut keys (_own false) the earlier values that their medians may be, with how many
+    values there are below these and in all before the piece."""
     heavy = rows.join(F.broadcast(cuts.select("_entity")), "_entity", "left_semi").where("_v is not null").select("_entity", "_piece", "_v")
     ranges = heavy.groupBy("_entity").agg(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], F.lit(20 * RANGES)).alias("_edges"))
     ranged = heavy.join(F.broadcast(ranges), "_entity").withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
@@ -134,7 +128,22 @@ def prior_medians(df: DataFrame, key: str, at: str, tie: str, value: str, out: s
     lists = needs.groupBy("_entity").agg(F.collect_list(F.struct(F.col("_piece").alias("p"), "_a", "_b")).alias("_needs"))
     to = F.filter("_needs", lambda x: (x["p"] > F.col("_piece")) & (x["_a"] <= F.col("_range")) & (x["_b"] >= F.col("_range")))
     sent = ranged.join(F.broadcast(lists), "_entity").select("_entity", F.explode(to).alias("_to"), "_v").select("_entity", F.col("_to.p").alias("_piece"), "_v", F.lit(False).alias("_own"))
-    both = rows.withColumn("_own", F.lit(True)).unionByName(sent, allowMissingColumns=True).join(F.broadcast(needs.select("_entity", "_piece", "_below", "_before")), ["_entity", "_piece"], "left")
+    return rows.withColumn("_own", F.lit(True)).unionByName(sent, allowMissingColumns=True).join(F.broadcast(needs.select("_entity", "_piece", "_below", "_before")), ["_entity", "_piece"], "left")
+
+
+def prior_medians(df: DataFrame, key: str, at: str, tie: str, value: str, out: str, cuts: DataFrame | None = None) -> DataFrame:
+    """df plus `out`: the median of `value` over the rows of the key before each, in (at, tie) order; null with none; nulls are skipped.
+
+    A task goes through a piece of a key in order with its values so far in a sorted list. A large key is cut at quantiles of its
+    times. Of n values before a piece and m in it, the medians within the piece are among the earlier values of rank n / 2 - m to
+    (n + m) / 2: these are sent to it, found by counts per piece and range of values, and how many are below them. So a piece
+    handles a few times its own rows, whatever the key has. Rows without a key or time are left out.
+    """
+    pieces = shuffle_width(df.sparkSession)
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(key).cast("string").alias("_entity"), micros(at).alias("_us"), F.col(tie).alias("_tie"), F.col(value).cast("double").alias("_v")).where("_entity is not null and _us is not null")
+    cuts = time_cuts(rows.select("_entity", "_us"), pieces) if cuts is None else cuts
+    rows = in_pieces(rows, cuts)
+    both = rows.withColumns({"_own": F.lit(True), "_below": F.lit(0), "_before": F.lit(0)}) if none_cut(cuts) else _with_earlier_values(rows, cuts)
     order = ["_entity", "_piece", "_own", "_us", "_tie"]
     ready = both.repartition(pieces, "_entity", "_piece").sortWithinPartitions(*order).select("_entity", "_piece", "_own", "_v", F.coalesce("_below", F.lit(0)).alias("_below"), F.coalesce("_before", F.lit(0)).alias("_before"), "_row")
 
@@ -167,9 +176,9 @@ def previous_rows(df: DataFrame, key: str, at: str, tie: str, columns: list[str]
     rows = df.select(F.struct(*df.columns).alias("_row"), F.col(key).cast("string").alias("_entity"), micros(at).alias("_us"), F.col(tie).alias("_tie"), F.struct(*columns).alias("_c")).where("_entity is not null and _us is not null")
     cuts = time_cuts(rows.select("_entity", "_us"), shuffle_width(df.sparkSession)) if cuts is None else cuts
     rows = in_pieces(rows, cuts)
-    ends = before_pieces(rows.select("_entity", "_piece", F.struct("_us", "_tie", "_c").alias("_end")), cuts, F.max, "_end")
+    ends = rows.select("_entity", "_piece", F.struct("_us", "_tie", "_c").alias("_last"))
     before = F.lag("_c").over(Window.partitionBy("_entity", "_piece").orderBy("_us", "_tie"))
-    rows = rows.withColumn("_before", before).join(F.broadcast(ends), ["_entity", "_piece"], "left").withColumn("_before", F.coalesce("_before", "_end._c"))
+    rows = with_earlier(rows.withColumn("_before", before), ends, cuts, F.max, "_last", "_end").withColumn("_before", F.coalesce("_before", "_end._c"))
     return rows.select("_row.*", *[F.col(f"_before.{c}").alias(f"prev_{c}") for c in columns])
 
 

@@ -138,7 +138,7 @@ def handoffs(spark, d) -> DataFrame:
 def seller_history(rows: DataFrame) -> DataFrame:
     """(id, prior_n, mean_y, std_h, median_h, late_30d, late_90d, days_30d, load_7d) of handoffs; a large seller is split over tasks."""
     narrow = rows.select("id", "seller", "ts", "y", "h")
-    cuts = cut(W.cuts_of(narrow, "seller", "ts"))
+    cuts = W.cuts_of(narrow, "seller", "ts")
     past = W.prior_stats(narrow, "seller", "ts", "id", ["y", "h"], cuts).drop("std_y", "mean_h")
     median = W.prior_medians(narrow, "seller", "ts", "id", "h", "median_h", cuts).select("id", "median_h")
     frames = seller_frames(narrow, cuts, "seller", "ts", "id", "y", "h").select("id", "late_30d", "late_90d", "days_30d", "load_7d")
