@@ -35,12 +35,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-        large = cut(both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct())
+        # read twice below, from one exchange: Spark runs equal stages of a plan once
+        large = both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
         low = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(low, "src").where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
         then, after = _kept(small.unionByName(low.select("src", F.col("m").alias("dst"))).distinct())
         discard(now)
-        discard(large)
         now, same, before = then, after == before, after
         if same:
             return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())

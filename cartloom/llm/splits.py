@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cartloom.session import cut, discard
@@ -89,8 +89,10 @@ def split_groups(records: DataFrame, label: str | None, labels: list, shares: tu
     place = F.when(known, F.array_position(F.array(*[F.lit(n) for n in names]), F.col("_low")) - 1).otherwise(-1)
     atoms = records.where("component is not null").groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min(old).alias("_low"), F.max(old).alias("_high"), *counts)
     columns = ["size", *[f"c{i}" for i in range(len(counts))]]
-    atoms = cut(atoms.select("component", *columns, F.coalesce(place, F.lit(-1)).cast("int").alias("_before"), F.coalesce(~known, F.lit(False)).alias("mixed")))
-    sums = np.array([x or 0 for x in atoms.agg(*[F.sum(c) for c in columns]).first()], dtype=float)
+    atoms = atoms.select("component", *columns, F.coalesce(place, F.lit(-1)).cast("int").alias("_before"), F.coalesce(~known, F.lit(False)).alias("mixed"))
+    seen = Observation()  # the sums are taken while the atoms are written
+    atoms = cut(atoms.observe(seen, *[F.sum(c).alias(c) for c in columns]))
+    sums = np.array([seen.get[c] or 0 for c in columns], dtype=float)
     share = np.array(shares, dtype=float) / sum(shares)
     levels = [F.col("size") > sums[0] / LARGE, F.col("size") <= sums[0] / LARGE]
     per_level = atoms.agg(*[F.count_if(level) for level in levels]).first()
