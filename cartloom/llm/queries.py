@@ -73,6 +73,19 @@ def p1_balance(spark: SparkSession, d: str) -> DataFrame:
     return per.select("*", (F.col("n_records") / F.sum("n_records").over(Window.partitionBy("record_table"))).alias("share"), target[F.col("split")].alias("target_share"))
 
 
+def p1_checks(spark: SparkSession, d: str) -> DataFrame:
+    """record_table, n_records, n_torn, balanced: each record once; authors, items and text keys of documents in several splits; all shares within two points of their targets."""
+    rows = cut(p1_assign(spark, d))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("record_id"), author().alias("user_id"), clean_id("sku").alias("sku"))
+    keys = assignments(spark, d).groupBy(F.col("row_index").alias("record_id")).agg(F.max("group_key").alias("group_key"))
+    named = docs.join(keys, "record_id", "left").select("record_id", F.explode(F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), k)) for k in ("user_id", "sku", "group_key")])).alias("key")).where("key is not null")
+    torn = rows.where("record_table = 'documents'").join(named, "record_id").groupBy("key").agg((F.min("split") != F.max("split")).alias("torn")).where("torn").count()
+    target = F.create_map(*[F.lit(x) for pair in zip(SPLITS, SHARES) for x in pair])
+    per = rows.groupBy("record_table", "split").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy("record_table")))
+    out = per.groupBy("record_table").agg(F.sum("n").alias("n_records"), F.every(F.abs(F.col("n") / F.col("all") - target[F.col("split")]) <= 0.02).alias("balanced"))
+    return out.select("record_table", "n_records", F.when(F.col("record_table") == "documents", torn).otherwise(0).cast("bigint").alias("n_torn"), "balanced")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = together(table(spark, d, "order_products__prior"), "order_id", "product_id", min_both=8, min_share=0.001)
     often = (F.col("n_both") * F.col("n_baskets") >= 3 * F.col("n_a") * F.col("n_b")) & (F.col("n_both") * 1000 >= F.col("n_baskets"))
@@ -123,6 +136,15 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_pack(spark, d))
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """n_documents that are packed; n_over: containers above the capacity; n_parted: documents in several pieces that would fit into one; n_gaps: documents whose pieces do not follow each other."""
+    packed = cut(p8_pack(spark, d))
+    boxes = packed.groupBy("container").agg(F.sum("tokens").alias("t")).agg(F.count_if(F.col("t") > packing.CAPACITY).alias("n_over"))
+    docs = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), F.max(F.col("first_token") + F.col("tokens")).alias("end"))
+    per = docs.agg(F.count(F.lit(1)).alias("n_documents"), F.count_if((F.col("n") > 1) & (F.col("t") <= packing.CAPACITY)).alias("n_parted"), F.count_if(F.col("end") != F.col("t")).alias("n_gaps"))
+    return per.withColumn("n_over", F.lit(boxes.first()[0]).cast("bigint"))
+
+
 def _drawn(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     items = cut(packing.sized(spread(docs.select("doc_id", "source", "text")), carry=["source"]))
@@ -137,6 +159,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(_drawn(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """source, n_foreign, n_beyond: rows of the mix whose document is of another source, and uses beyond max_repeats, of each target's source that has documents."""
+    mix = p9_mix(spark, d).join(table(spark, d, "documents").select("doc_id", F.col("source").alias("own")), "doc_id").join(table(spark, d, "mix_targets"), "source")
+    return mix.groupBy("source").agg(F.count_if(F.col("own") != F.col("source")).alias("n_foreign"), F.count_if(F.col("use") > F.col("max_repeats")).alias("n_beyond"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents").select("doc_id", "text", "lang"))
     return langid.mislabelled(docs, langid.language_segments(docs))
@@ -152,7 +180,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return langid.language_segments(spread(table(spark, d, "documents").select("doc_id", "text", "lang")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_assign, p1_balance, p5_found, p5_pairs, p7_found, p7_report, p7_coverage, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_documents, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_assign, p1_balance, p1_checks, p5_found, p5_pairs, p7_found, p7_report, p7_coverage, p8_pack, p8_fill, p8_checks, p9_mix, p9_shares, p9_checks, p10_found, p10_documents, p10_segments)}
 
 _PAIRS = """WITH l AS (SELECT DISTINCT order_id, product_id FROM order_products__prior WHERE product_id IS NOT NULL AND order_id IS NOT NULL),
   n AS (SELECT count(DISTINCT order_id) AS n FROM order_products__prior), s AS (SELECT product_id, count(*) AS c FROM l GROUP BY 1),
@@ -194,3 +222,11 @@ SQL |= {
       b AS (SELECT r.g AS g FROM u GROUP BY 1 HAVING bool_or(train) AND bool_or(held)), v AS (SELECT DISTINCT doc_id, unnest(range(r.i, r.i + least(m, 8))) AS at_word FROM u JOIN b ON b.g = u.r.g WHERE held)
       SELECT w.doc_id, held_split AS split, source, len(w) AS n_words, CAST(coalesce(x.n, 0) AS BIGINT) AS covered FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM v GROUP BY 1) x USING (doc_id) WHERE held AND len(w) > 0""",
 }
+
+# what must hold of any right result
+SQL |= {
+    "p1_checks": """SELECT 'documents' AS record_table, count(*) AS n_records, CAST(0 AS BIGINT) AS n_torn, true AS balanced FROM documents
+      UNION ALL SELECT 'user_partitions', count(*), 0, true FROM (SELECT user_id FROM user_partitions WHERE user_id IS NOT NULL UNION SELECT user_id FROM basket_orders WHERE user_id IS NOT NULL)""",
+    "p8_checks": "SELECT count(*) AS n_documents, CAST(0 AS BIGINT) AS n_parted, CAST(0 AS BIGINT) AS n_gaps, CAST(0 AS BIGINT) AS n_over FROM documents WHERE text <> ''",
+    "p9_checks": "SELECT source, CAST(0 AS BIGINT) AS n_foreign, CAST(0 AS BIGINT) AS n_beyond FROM mix_targets WHERE target_share > 0 AND max_repeats > 0 AND source IN (SELECT source FROM documents WHERE text <> '')",
+}
